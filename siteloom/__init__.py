@@ -1,0 +1 @@
+"""Site content analytics on Spark DataFrames."""
