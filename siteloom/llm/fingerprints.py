@@ -40,7 +40,7 @@ def edit(text: str, other: str) -> str:
     return text[: len(text) - n] + other[:n]
 
 
-def with_neighbour(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[str]]:
+def with_neighbour(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Deal rows out so that each one is followed by the next in descending id.
 
     Ids are cut into ranges of like counts by a quantile sketch. The first row of each
@@ -63,7 +63,7 @@ def with_neighbour(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         places = F.array(*home)
     dealt = rows.withColumn("at", F.explode(places)).select("id", "text", F.col("at.bucket").alias("bucket"), F.col("at.guest").alias("guest"))
-    return dealt.repartitionById(max(1, len(cuts) + 1), F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc_nulls_last("id"), "text"), ["id"]
+    return dealt.repartitionById(max(1, len(cuts) + 1), F.col("bucket")).sortWithinPartitions("bucket", "guest", F.desc_nulls_last("id"), "text")
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -97,8 +97,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         if waiting:  # only without any id that is not null: the row is its own neighbour
             yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(done(waiting, waiting[1], waiting[2]), kinds, strict=True)], names=names)
 
-    dealt, _ = with_neighbour(df, id_col, text_col)
-    return dealt.mapInArrow(run, "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_neighbour(df, id_col, text_col).mapInArrow(run, "id long, n_chars long, edited string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def edited_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -128,6 +127,18 @@ def _bits(column: Column, start: int, stop: int) -> Column:
     return F.shiftrightunsigned(F.shiftleft(column, start), 64 - (stop - start))
 
 
+def near_counts(rows: DataFrame, asked: Column, radius: int = 3, blocks: int = 4) -> DataFrame:
+    """``(fingerprint, n_near)`` of the asked rows of ``rows (id, fingerprint)``: other rows within ``radius``.
+
+    Copies are counted by fingerprint, so a group of copies is one entry of a table.
+    """
+    sizes = rows.groupBy("fingerprint").agg(F.count("*").alias("n"), F.max(asked).alias("asked"))
+    mine = sizes.where("asked").select("fingerprint", F.col("n").alias("own"))
+    pairs = near_matches(sizes, mine, radius, blocks)
+    others = pairs.join(sizes.select("fingerprint", "n"), "fingerprint").groupBy(F.col("asked").alias("fingerprint")).agg(F.sum("n").alias("others"))
+    return mine.join(others, "fingerprint", "left").select("fingerprint", (F.col("own") - 1 + F.coalesce("others", F.lit(0))).alias("n_near"))
+
+
 def near_matches(marks: DataFrame, asked: DataFrame, radius: int = 3, blocks: int = 4) -> DataFrame:
     """All pairs (asked fingerprint, other fingerprint) within ``radius`` differing bits.
 

@@ -32,8 +32,8 @@ LEAST, SPREAD = 100, 6
 SKETCHED = {
     "word_length": ("least(4000, 20 * word_chars div n_words)", 2, True),
     "symbols": ("1000 * n_symbols div word_chars", 5, False),
-    "dup_lines": ("least(4000, 1000 * n_dup_lines div n_words)", 5, False),
-    "repeats": ("1000 * n_repeat_words div n_words", 15, False),
+    "dup_lines": ("least(4000, 1000 * n_dup_lines div n_words)", 20, False),
+    "repeats": ("1000 * n_repeat_words div n_words", 50, False),
 }
 
 

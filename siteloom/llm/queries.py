@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import chat, fingerprints, mixing, neardup, packing, quality, tokenfile, urlfilter, warc, wrappers
+from siteloom.llm.common import materialize
 
 #: Files of the public tokenizers; both are parameters of the operators.
 PACKED_WITH, WRITTEN_WITH = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -26,8 +27,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fingerprints.edited_digests(_table(spark, sf_dir, "documents"))
-    return found.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    """``n_near``: for every asked document, how many others lie within three bits, by the block tables."""
+    found = materialize(fingerprints.edited_digests(_table(spark, sf_dir, "documents")), "fingerprints")
+    near = fingerprints.near_counts(found.select("id", "fingerprint"), F.col("id") % ASKED == 0)
+    joined = found.join(near, "fingerprint", "left")
+    n_near = F.when(F.col("id") % ASKED == 0, F.col("n_near"))
+    return joined.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", n_near.alias("n_near"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

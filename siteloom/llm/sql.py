@@ -1 +1,81 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB twins of the queries that SQL can express."""
+
+from __future__ import annotations
+
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_ESC = r"regexp_replace(text, '([<\[])(\\*)(\||/?s>|/?INST\])', '\1\\\2\3', 'g')"
+
+OP4 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+h AS (SELECT digest, max(page_id) AS head FROM p WHERE n >= 1000 GROUP BY digest)
+SELECT page_id, n::BIGINT AS payload_bytes, p.digest AS payload_digest, CASE WHEN head IS NULL OR head = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN head <> page_id THEN head END AS refers_to
+FROM p LEFT JOIN h ON p.digest = h.digest AND n >= 1000"""
+
+OP6 = """
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '<[^>]*$', '') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(replace(x, '<br>', ' '), '</?b>', '', 'g'), '\\s*</?(p|h1)>\\s*', chr(10), 'g') AS x FROM a),
+c AS (SELECT page_id, url, list_filter(list_transform(string_split(x, chr(10)), lambda l: trim(regexp_replace(regexp_replace(replace(replace(l, '&quot;', '"'), '&amp;', chr(1)), '&amp$', chr(1)), '\\s+', ' ', 'g'))), lambda l: l <> '') AS x FROM b),
+d AS (SELECT page_id, url, replace(array_to_string(x, chr(10)), chr(1), '&') AS text FROM c)
+SELECT page_id, url, text, length(text)::BIGINT AS n_chars FROM d"""
+
+OP7 = f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss, sum(12 + length(role) + 1 + length({_ESC}) + 11) AS formatted_chars FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g"""
+
+OP8 = f"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][nth % 3 + 1]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM s),
+o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, nth) AS place FROM w),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
+m AS (SELECT *, min_by(level, place) FILTER (level * weight <= cap) OVER () AS least_level FROM l),
+t AS (SELECT source, source_size, coalesce(least(least_level * weight, cap), cap) AS target FROM m),
+b AS (SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS passes FROM b)
+SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN before + size / 2.0::DOUBLE < target - passes * source_size THEN 1 ELSE 0 END))::BIGINT AS taken FROM p"""
+
+_BINS = "[{'m': 'word_length', 'bin': least(4000, 20 * word_chars // n_words)}, {'m': 'symbols', 'bin': 1000 * n_symbols // word_chars}, {'m': 'dup_lines', 'bin': least(4000, 1000 * n_dup_lines // n_words)}, {'m': 'repeats', 'bin': 1000 * n_repeat_words // n_words}]"
+_QUARTS = "{0} AS (SELECT {1} m, max(total) AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 2 * total) AS q2, min(bin) FILTER (4 * upto >= 3 * total) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {1} m ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {1} m) AS total FROM (SELECT {1} m, bin, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"
+_STEP = "CASE f.m WHEN 'word_length' THEN 2 WHEN 'dup_lines' THEN 20 WHEN 'repeats' THEN 50 ELSE 5 END"
+
+OP9 = f"""
+WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, {_WORD}) AS words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {_WORD})) AS lines FROM t),
+x AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM x), (SELECT unnest([0, 1, 2]) AS k) WHERE c > 1 GROUP BY doc_id),
+m AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN r USING (doc_id)),
+f0 AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+e AS (SELECT doc_id, lang, source, b.m AS m, b.bin AS bin FROM (SELECT *, unnest({_BINS}) AS b FROM f0 WHERE NOT base_failed)),
+sk AS (SELECT lang, source, m, bin, count(*) AS n FROM e GROUP BY ALL),
+{_QUARTS.format('own', 'lang, source,')},
+{_QUARTS.format('byl', 'lang,')},
+{_QUARTS.format('ovr', '')},
+lim AS (SELECT f.lang, f.source, f.m, CASE WHEN f.total >= 100 THEN f.q2 WHEN g.total >= 100 THEN g.q2 ELSE o.q2 END AS mid,
+  6 * ({_STEP} + CASE WHEN f.total >= 100 THEN f.q3 - f.q1 WHEN g.total >= 100 THEN g.q3 - g.q1 ELSE o.q3 - o.q1 END) AS wide
+  FROM own f JOIN byl g ON f.lang IS NOT DISTINCT FROM g.lang AND f.m = g.m JOIN ovr o ON f.m = o.m),
+v AS (SELECT e.doc_id, bool_and(bin <= mid + wide AND (e.m <> 'word_length' OR bin >= mid - wide)) AS ok FROM e JOIN lim ON e.lang IS NOT DISTINCT FROM lim.lang AND e.source IS NOT DISTINCT FROM lim.source AND e.m = lim.m GROUP BY e.doc_id)
+SELECT f0.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, CASE WHEN base_failed THEN false ELSE coalesce(ok, true) END AS kept FROM f0 LEFT JOIN v USING (doc_id)"""
+
+_HOST = "translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PATH = "regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1)"
+_FITS = "(host = '{0}' OR ends_with(host, '.{0}')) AND starts_with(path, '{1}')"
+_RULE = "CASE " + " ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for h, p in (("example.org", "/en/1"), ("example.org", "/es/"), ("com", "/fr/"), ("com", "/de/"), ("org", "/"))) + " END"
+
+OP10 = f"""
+WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages), r AS (SELECT *, {_RULE} AS rule FROM p)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host || path IN (SELECT host || path FROM p WHERE contains(url, '?utm_source=')) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+ORACLES: dict[str, str] = {
+    "op4_warc_archives": OP4,
+    "op6_html_main_text": OP6,
+    "op7_chat_formatting": OP7,
+    "op8_source_mixing": OP8,
+    "op9_quality_rules": OP9,
+    "op10_url_filters": OP10,
+}
