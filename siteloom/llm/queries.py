@@ -30,9 +30,9 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_near``: for every asked document, how many others lie within three bits, by the block tables."""
     found = materialize(fingerprints.edited_digests(_table(spark, sf_dir, "documents")), "fingerprints")
     near = fingerprints.near_counts(found.select("id", "fingerprint"), F.col("id") % ASKED == 0)
-    joined = found.join(near, "fingerprint", "left")
-    n_near = F.when(F.col("id") % ASKED == 0, F.col("n_near"))
-    return joined.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", n_near.alias("n_near"))
+    asked = F.coalesce(F.col("id") % ASKED == 0, F.lit(False))
+    joined = found.where(asked).join(near, "fingerprint").unionByName(found.where(~asked).withColumn("n_near", F.lit(None).cast("long")))
+    return joined.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near")
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
