@@ -14,7 +14,7 @@ gets the class of all it reaches over links. How pairs are found:
   never all pairs of a group.
 
 A tree is planned on the driver from a bounded sample of distinct fingerprints
-(``SAMPLE``); every fingerprint is routed through it. The sample moves thresholds, that
+(``SAMPLE``) and is bounded in size (``MOST``); every fingerprint is routed through it. The sample moves thresholds, that
 is balance, and never decides which pairs are found.
 
 Defined cases: null text counts as empty; no words give fingerprint zero, linked like
@@ -36,8 +36,9 @@ from siteloom.llm.common import materialize, partitions
 from siteloom.llm.graph import components
 from siteloom.llm.simhash import _mix, shingle_hashes, vote
 
-#: Distinct fingerprints that trees are planned on; the shard size that planning aims at.
-SAMPLE, SHARD = 8192, 2048
+#: Distinct fingerprints that trees are planned on; the shard size that planning aims at;
+#: into how many shards, overlaps aside, the driver's tree of a range may go at most.
+SAMPLE, SHARD, MOST = 8192, 2048, 512
 _LEAST = 48  # below so many sampled fingerprints, shares come from the binomial law instead
 
 
@@ -62,7 +63,23 @@ def _array(marks: list[bytes], words: int) -> np.ndarray:
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+    """Differing bits over the last axis, at most 255, word by word."""
+    total = np.bitwise_count(x[..., 0] ^ y[..., 0])
+    for k in range(1, x.shape[-1]):
+        total = total + np.bitwise_count(x[..., k] ^ y[..., k])
+    return total
+
+
+def _linked(x: np.ndarray, radius: int, block: int = 128) -> np.ndarray:
+    """The rows of ``x`` that any other row links to, in blocks of rows against all later ones."""
+    active = np.zeros(len(x), bool)
+    for at in range(0, len(x), block):
+        near = _apart(x[at : at + block][:, None, :], x[at:][None, :, :]) <= radius
+        some = np.arange(near.shape[0])
+        near[some, some] = False  # of itself
+        active[at : at + block] |= near.any(axis=1)
+        active[at:] |= near.any(axis=0)
+    return np.flatnonzero(active)
 
 
 class Forest:
@@ -73,13 +90,27 @@ class Forest:
         bits = 64 * self.words
         edges = [bits * i // parts for i in range(parts + 1)]
         self.nodes: list[tuple] = []  # (vantage, mask, m, left, right), or (shard number,)
-        self.leaves = 0
+        self.ranges: list[tuple[np.ndarray, int]] = []  # of each shard: mask and width of its bit range
         rng = np.random.default_rng(seed)
         self.roots = []
         for a, b in zip(edges, edges[1:], strict=False):
             mask = np.packbits((np.arange(bits) >= a) & (np.arange(bits) < b)).view(">u8").astype(np.uint64)
             self.roots.append(self._grow(sample, float(count), mask, b - a, shard, rng))
 
+    @classmethod
+    def within(cls, x: np.ndarray, mask: np.ndarray, width: int, r: int, shard: int) -> Forest:
+        """A tree over the rows of one shard, which goes on in the shard's bit range."""
+        tree = cls.__new__(cls)
+        tree.words, tree.r, tree.nodes, tree.ranges = x.shape[1], r, [], []
+        rng = np.random.default_rng(len(x))
+        some = x[rng.choice(len(x), min(len(x), SAMPLE), replace=False)]
+        tree.roots = [tree._grow(some, float(len(x)), mask, width, shard, rng)]
+        return tree
+
+    @property
+    def leaves(self) -> int:
+        return len(self.ranges)
+
     def _grow(self, sample: np.ndarray, count: float, mask: np.ndarray, width: int, shard: int, rng: np.random.Generator, depth: int = 0) -> int:
         at = len(self.nodes)
         self.nodes.append(())
@@ -103,7 +134,7 @@ class Forest:
                 cut = None
         if cut is None:
             self.nodes[at] = (self.leaves,)
-            self.leaves += 1
+            self.ranges.append((mask, width))
             return at
         _, v, m, left, right = cut
         inside = _apart(sample & mask, v & mask)
@@ -131,14 +162,14 @@ class Forest:
 def shard_links(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning set of the links within ``radius`` among the rows of ``x``.
 
-    Pivots first: each takes the rows left within the radius, so pivots are further
+    Rows without any link go first, which are most. Then pivots: each takes the rows left within the radius, so pivots are further
     apart than it. A link between two stars then has an end that is no pivot and lies
     within twice the radius of the other star's pivot; only those are compared.
     """
     links: list[tuple[int, int]] = []
     stars: list[np.ndarray] = []
-    left = np.arange(len(x))
-    y = x
+    left = _linked(x, radius)
+    y = x[left]
     while len(left):
         near = _apart(y, y[0]) <= radius
         star = left[near]
@@ -181,11 +212,24 @@ def shard_links(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return links
 
 
-def fingerprint_links(marks: DataFrame, radius: int, parts: int, words: int = 1, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """``(a, b)`` links of distinct fingerprints ``mark`` that span all pairs within ``radius``."""
+def large_shard_links(x: np.ndarray, radius: int, bit_range: tuple[np.ndarray, int], r: int, shard: int) -> list[tuple[int, int]]:
+    """:func:`shard_links` of a shard of any size: a large one is parted by a tree of its own first."""
+    if len(x) <= 4 * shard:
+        return shard_links(x, radius)
+    tree = Forest.within(x, *bit_range, r, shard)
+    return [(int(rows[a]), int(rows[b])) for _, rows in tree.route(x) for a, b in shard_links(x[rows], radius)]
+
+
+def fingerprint_links(marks: DataFrame, radius: int, parts: int, words: int = 1, shard: int = SHARD, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
+    """``(a, b)`` links of distinct fingerprints ``mark`` that span all pairs within ``radius``.
+
+    The driver's trees stop at ``most`` shards' worth of parting, whatever the number of
+    fingerprints; past it shards grow, and tasks go on parting theirs.
+    """
     spark: SparkSession = marks.sparkSession
     planned = [bytes(r[0]) for r in marks.orderBy(F.xxhash64("mark"), "mark").select("mark").limit(sample).collect()]
-    forest = Forest(_array(planned, words), marks.count(), radius, parts, shard)
+    count = marks.count()
+    forest = Forest(_array(planned, words), count, radius, parts, max(shard, count // most))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -196,20 +240,26 @@ def fingerprint_links(marks: DataFrame, radius: int, parts: int, words: int = 1,
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number, np.int32)), kept.cast(pa.binary())], names=["shard", "mark"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        now = None
+        held: list[np.ndarray] = []
+        now = -1
 
         def linked() -> pa.RecordBatch:
-            found = shard_links(_array(held, words), radius)
-            return pa.RecordBatch.from_arrays([pa.array([held[i] for i, _ in found], pa.binary()), pa.array([held[j] for _, j in found], pa.binary())], names=["a", "b"])
+            x = np.concatenate(held)
+            found = large_shard_links(x, radius, forest.ranges[now], forest.r, shard)
+            ends = [pa.array([x[i].astype(">u8").tobytes() for i in side], pa.binary()) for side in ([i for i, _ in found], [j for _, j in found])]
+            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
 
         for b in batches:
-            for number, mark in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if number != now and held:
+            numbers, x = b.column(0).to_numpy(), _array(b.column(1).to_pylist(), words)
+            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
+            for at, stop in zip(cuts, cuts[1:], strict=False):
+                if at == stop:
+                    continue
+                if numbers[at] != now and held:
                     yield linked()
                     held = []
-                now = number
-                held.append(mark)
+                now = int(numbers[at])
+                held.append(x[at:stop])
         if held:
             yield linked()
 
@@ -217,11 +267,11 @@ def fingerprint_links(marks: DataFrame, radius: int, parts: int, words: int = 1,
     return dealt.repartition(partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(link, "a binary, b binary")
 
 
-def near_classes(marks: DataFrame, radius: int = 4, parts: int = 3, words: int = 1, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
+def near_classes(marks: DataFrame, radius: int = 4, parts: int = 3, words: int = 1, shard: int = SHARD, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
     """``(id, mark, class_id)`` for each row of ``marks (id, mark)``: the least id its links reach."""
     marks = materialize(marks, "marks")
     distinct = materialize(marks.groupBy("mark").agg(F.min("id").alias("least")), "distinct")
-    stars = components(fingerprint_links(distinct, radius, parts, words, shard, sample))
+    stars = components(fingerprint_links(distinct, radius, parts, words, shard, sample, most))
     placed = distinct.join(stars.withColumnRenamed("node", "mark"), "mark", "left").withColumn("center", F.coalesce("center", "mark"))
     least = placed.groupBy("center").agg(F.min("least").alias("class_id"))
     classes = placed.join(least, "center").select("mark", "class_id")
@@ -234,7 +284,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 2, radius: int = 19, parts: int = 10) -> DataFrame:
-    """The rows of ``df`` whose id is the least of their class; rows without an id stay.
+    """The rows of ``df`` whose id is the least of their class.
+
+    The id is the document: rows that repeat a kept id stay with it, rows without one stay.
+
 
     The defaults are five-word shingles and an estimated similarity of 0.8: shingle sets
     of Jaccard 0.8 have cosine 0.89, that is 15 % or 19 of 128 differing bits.

@@ -50,6 +50,9 @@ def test_forest_loses_no_link(words, radius, parts):
     forest = neardup.Forest(x[:200], len(x), radius, parts, shard=40)
     found = [(int(at[a]), int(at[b])) for _, at in forest.route(x) for a, b in neardup.shard_links(x[at], radius)]
     want = [(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if int(np.bitwise_count(x[i] ^ x[j]).sum()) <= radius]
+    coarse = neardup.Forest(x[:200], len(x), radius, parts, shard=400)
+    large = [(int(at[a]), int(at[b])) for n, at in coarse.route(x) for a, b in neardup.large_shard_links(x[at], radius, coarse.ranges[n], coarse.r, 20)]
+    assert classes(len(x), large) == classes(len(x), want)
     assert forest.leaves > parts and set(map(lambda p: tuple(sorted(p)), found)) <= set(want)
     assert classes(len(x), found) == classes(len(x), want)
 
@@ -68,8 +71,9 @@ def test_documents(spark):
     for kw in ({}, {"parts": 2}):
         got = {r.id: (r.mark.hex(), r.class_id) for r in neardup.near_duplicates(df, **kw).collect()}
         assert got == {ids[i]: (f"{marks[i]:016x}", least[of[i]]) for i in range(len(docs))}
-    small = neardup.near_classes(neardup.text_fingerprints(df), shard=8, sample=64)
-    assert {r.id: r.class_id for r in small.collect()} == {ids[i]: least[of[i]] for i in range(len(docs))}
+    for most in (512, 2):  # trees of the driver, or of the tasks
+        small = neardup.near_classes(neardup.text_fingerprints(df), shard=8, sample=64, most=most)
+        assert {r.id: r.class_id for r in small.collect()} == {ids[i]: least[of[i]] for i in range(len(docs))}
 
 
 def test_null_ids_repeats_and_empty(spark):
