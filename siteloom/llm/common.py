@@ -32,6 +32,12 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/siteloom/{tag}-{uuid.uuid4().hex}"
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Have the driver delete a folder of intermediate data when it ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -40,6 +46,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
+    until_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

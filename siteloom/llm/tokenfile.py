@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import cut_points, materialize, new_path, partitions, range_bucket
+from siteloom.llm.common import cut_points, materialize, new_path, partitions, range_bucket, until_exit
 from siteloom.llm.files import attempt_name, opened
 from siteloom.llm.tokens import encoder
 
@@ -120,7 +120,7 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
     Only files of attempts that succeeded are in the manifest, so tasks may be retried.
     """
     spark = df.sparkSession
-    folder = folder or new_path(spark, "tokens")
+    own, folder = folder is None, folder or new_path(spark, "tokens")
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cuts = cut_points(rows, "id", partitions(spark))
 
@@ -146,7 +146,10 @@ def write_token_files(df: DataFrame, tokenizer: str, folder: str | None = None,
             yield pa.RecordBatch.from_pydict(row, pa.schema([("part", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("documents", pa.int64()), ("tokens", pa.int64())]))
 
     dealt = rows.repartitionById(len(cuts) + 1, range_bucket("id", cuts)).sortWithinPartitions(F.asc_nulls_first("id"), "text")
-    return materialize(dealt.mapInArrow(run, "part int, path string, size long, documents long, tokens long"), "manifest")
+    manifest = materialize(dealt.mapInArrow(run, "part int, path string, size long, documents long, tokens long"), "manifest")
+    if own:
+        until_exit(spark, folder)
+    return manifest
 
 
 def read_token_files(spark: SparkSession, manifest: DataFrame, keep_ids: bool = True) -> DataFrame:

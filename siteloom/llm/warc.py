@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import materialize, new_path, partitions
+from siteloom.llm.common import materialize, new_path, partitions, until_exit
 from siteloom.llm.files import attempt_name, opened
 
 #: Least payload that a revisit may stand for.
@@ -215,7 +215,7 @@ class ArchiveReader:
 
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:
     """Write every row as a record; returns the manifest ``(part, path, size, records)`` of finished archives."""
-    folder = folder or new_path(pages.sparkSession, "archives")
+    own, folder = folder is None, folder or new_path(pages.sparkSession, "archives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = sink = None
@@ -235,7 +235,10 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             sink.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "size": [size], "records": [n]}, pa.schema([("part", pa.int32()), ("path", pa.string()), ("size", pa.int64()), ("records", pa.int64())]))
 
-    return materialize(with_roles(pages, id_col, url_col, html_col, least).mapInArrow(run, "part int, path string, size long, records long"), "manifest")
+    manifest = materialize(with_roles(pages, id_col, url_col, html_col, least).mapInArrow(run, "part int, path string, size long, records long"), "manifest")
+    if own:
+        until_exit(pages.sparkSession, folder)
+    return manifest
 
 
 _RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
