@@ -5,8 +5,8 @@ time 0 to 1, linear between knots. Its integral is the source's weight; weights
 the budget, and no source gets more than ``repeat`` times its size (the excess is shared
 again by weight until all fit). Documents of a source stand in a fixed pseudo-random
 order; whole passes over the source and a last part of one make up its target. The
-words that came before an occurrence, as a share of the target, give its training
-position: the time at which the schedule has asked for as many words.
+words that came before an occurrence, as a share of all that are taken of its kind, give
+its training position: the time at which the schedule has asked for that share.
 
 Defined cases: null text has size 0; a null source is a source, last in order; empty and
 zero-word documents have size 0 and go with the passes that reach them; ties in the
@@ -26,6 +26,8 @@ from siteloom.llm.common import materialize
 BUDGET, REPEAT = 1.5, 2
 #: Schedules dealt to the sources in order: (time, weight) knots with integrals 3, 1 and 2.
 SCHEDULES = (((0.0, 4.5), (1.0, 1.5)), ((0.0, 0.5), (1.0, 1.5)), ((0.0, 2.0), (1.0, 2.0)))
+#: Kinds of documents by size: over 1/20 of their source, over 1/100, over 1/400, the rest.
+FINE = (20, 100, 400)
 _ADDED = ("source_size", "target", "taken", "copies", "positions")
 
 
@@ -81,33 +83,61 @@ def source_targets(sizes: DataFrame, schedules: tuple = SCHEDULES, budget: float
 def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "size", schedules: tuple = SCHEDULES, budget: float = BUDGET, repeat: int = REPEAT) -> DataFrame:
     """``rows`` with ``source_size``, ``target``, ``taken``, ``copies`` and ``positions``.
 
-    ``rows`` is read twice, so it should be a stored table. The order within a source is
-    by MD5 of the id. Its first 12 bits deal a source, the hot one too, over 4,096
-    stretches: sums of the stretches give where each begins, and only a stretch is
-    sorted in one task. The last occurrence is the one whose middle the target passes.
+    ``rows`` is read several times, so it should be a stored table. The order within a
+    source is by MD5 of the id. Its first 12 bits deal a source, the hot one too, over
+    4,096 stretches: sums of the stretches give where each begins, and only a stretch is
+    sorted in one task. Every document is taken in whole passes over its source. Of the
+    part of a pass that is left, each kind of documents, from the largest to the smallest,
+    takes its share of what is still missing, so only a small document's size is off.
     """
-    source = F.col(source_col)
+    source, size = F.col(source_col), F.col(size_col)
+    targets = source_targets(rows.select(source.alias("source"), size.alias("size")), schedules, budget, repeat).withColumnRenamed("source", "_of")
     key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    targets = source_targets(rows.select(source.alias("source"), F.col(size_col).alias("size")), schedules, budget, repeat)
-    targets = targets.withColumnRenamed("source", "_of")
-    keyed = rows.withColumn("_key", key).withColumn("_stretch", F.substring("_key", 1, 3))
-    sums = rows.select(source.alias("_source"), F.substring(key, 1, 3).alias("_part"), F.col(size_col).alias("_n")).groupBy("_source", "_part").agg(F.sum("_n").alias("_sum"))
-    ahead = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sums.withColumn("_begin", F.coalesce(F.sum("_sum").over(ahead), F.lit(0))).drop("_sum")
-    begins = begins.join(targets, F.col("_source").eqNullSafe(F.col("_of"))).drop("_of")
-    inside = Window.partitionBy(source_col, "_stretch").orderBy("_key", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("_inside", F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
-    placed = placed.join(begins, source.eqNullSafe(F.col("_source")) & (F.col("_stretch") == F.col("_part")))
-    before = F.col("_begin") + F.col("_inside")
+
+    def kinds(df: DataFrame) -> DataFrame:
+        """With the source's figures, the place in its order, and the kind: 0 for the largest documents."""
+        out = df.join(targets, source.eqNullSafe(F.col("_of"))).drop("_of")
+        kind = F.size(F.filter(F.array(*map(F.lit, FINE)), lambda n: size * n <= F.col("source_size")))
+        return out.withColumn("_key", key).withColumn("_stretch", F.substring("_key", 1, 3)).withColumn("_kind", kind)
+
+    light = kinds(rows.select(id_col, source_col, size_col))
+    sums = light.groupBy(source_col, "_kind", "_stretch").agg(F.sum(size_col).alias("_sum"))
+    whole = Window.partitionBy(source_col, "_kind")
+    ahead = whole.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy(source_col).orderBy("_kind").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    begins = sums.select(
+        source.alias("_s"), F.col("_kind").alias("_k"), F.col("_stretch").alias("_p"),
+        F.coalesce(F.sum("_sum").over(ahead), F.lit(0)).alias("_begin"), F.sum("_sum").over(whole).alias("_mass"), F.sum("_sum").over(smaller).alias("_rest"),
+    )
+    begins = materialize(begins, "begins")
+    inside = Window.partitionBy(source_col, "_kind", "_stretch").orderBy("_key", id_col, size_col).rowsBetween(Window.unboundedPreceding, -1)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    part = F.col("target") - passes * F.col("source_size")
-    copies = (passes + (before + F.col(size_col) / 2 < part).cast("long")).cast("int")
-    placed = placed.withColumn("_before", before).withColumn("copies", copies)
-    whole = integral(F.col("segments"))
-    share = lambda j: (j * F.col("source_size") + F.col("_before") + F.col(size_col) / 2) / F.col("target")
-    turns = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: inverse(F.col("segments"), share(j) * whole)))
-    taken = (F.col("copies") * F.col(size_col)).cast("long")
-    return placed.withColumn("taken", taken).withColumn("positions", F.coalesce(turns, F.expr("array()").cast("array<double>"))).select(*rows.columns, *_ADDED)
+    middle = F.col("_before") + size / 2
+
+    def placed(df: DataFrame, gone: DataFrame | None) -> DataFrame:
+        """With the words before each document of its kind and the share that its kind is to take."""
+        out = df.withColumn("_inside", F.coalesce(F.sum(size_col).over(inside), F.lit(0)))
+        out = out.join(begins, source.eqNullSafe(F.col("_s")) & (F.col("_kind") == F.col("_k")) & (F.col("_stretch") == F.col("_p"))).drop("_s", "_k", "_p")
+        if gone is None:
+            out = out.withColumn("_gone", F.lit(0).cast("long"))
+        else:
+            out = out.join(gone, source.eqNullSafe(F.col("_s")) & (F.col("_kind") == F.col("_k")), "left").drop("_s", "_k")
+        left = F.col("target") - F.col("_passes") * F.col("source_size") - F.coalesce("_gone", F.lit(0))
+        out = out.withColumn("_before", F.col("_begin") + F.col("_inside")).withColumn("_passes", passes)
+        return out.withColumn("_share", left * F.col("_mass") / F.greatest("_rest", F.lit(1)))
+
+    gone = None  # (source, kind): words that larger kinds took; a row a source and kind
+    for k in range(len(FINE)):
+        took = placed(light.where(F.col("_kind") == k), gone).where(middle < F.col("_share")).groupBy(source.alias("_s")).agg(F.sum(size_col).alias("_gone"))
+        later = took.select("_s", F.explode(F.array(*map(F.lit, range(k + 1, len(FINE) + 1)))).alias("_k"), "_gone")
+        gone = materialize((later if gone is None else gone.union(later)).groupBy("_s", "_k").agg(F.sum("_gone").alias("_gone")), "gone")
+    full = placed(kinds(rows), gone)
+    full = full.withColumn("copies", (F.col("_passes") + (middle < F.col("_share")).cast("long")).cast("int"))
+    demand = F.col("_passes") * F.col("_mass") + F.least(F.greatest("_share", F.lit(0.0)), F.col("_mass"))
+    at = lambda j: (j * F.col("_mass") + middle) / demand * integral(F.col("segments"))
+    turns = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: inverse(F.col("segments"), at(j))))
+    taken = (F.col("copies") * size).cast("long")
+    return full.withColumn("taken", taken).withColumn("positions", F.coalesce(turns, F.expr("array()").cast("array<double>"))).select(*rows.columns, *_ADDED)
 
 
 def in_training_order(mixed: DataFrame) -> DataFrame:
