@@ -2,9 +2,10 @@
 
 The byte-level and word-end tokenizers supported here never merge across a single
 space or newline between two other characters, so a text falls apart there into
-pieces that can be encoded alone. Few of them are new in a batch: the others come
-from a bounded cache, which one Python worker keeps between tasks. A text with any
-other run of spaces or newlines goes to the tokenizer whole.
+pieces that can be encoded alone, and so it does before marks that end a word. Few
+pieces are new in a batch: the others come from a bounded cache, which one Python worker
+keeps between tasks. A text with any other run of spaces or newlines goes to the
+tokenizer whole.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import pyarrow.compute as pc
 #: Words that one worker keeps; past it the cache starts anew.
 CACHED = 800_000
 _CHUNK = 4 << 20  # characters that are split at once
+_MARKS = r"""(\pL)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)([ \n])"""
 
 
 class Encoder:
@@ -31,9 +33,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cached = cached
-        # Only one id can end the pieces of a joined text, and only if no merge reaches over it.
-        joint = self._plain(["\n", " a\n a", " a"])
-        self.joint = joint[0][0] if len(joint[0]) == 1 and joint[1] == joint[2] + joint[0] + joint[2] else None
+        #: Whether white space leaves no trace in the ids.
+        self.blind = len({tuple(x) for x in self._plain(["a", " a", "\na"])}) == 1
+        # New words are encoded many at once, joined by a text with an id that no word has.
+        self.head, self.between, self.char = ("", " | ", "|") if self.blind else (" ", "\n", "\n")
+        one, two, joint = self._plain([self.head + "a", self.head + "a" + self.between + self.head + "a", self.char])
+        self.joint = joint[0] if len(joint) == 1 and two == one + joint + one else None
         self._clear()
 
     def _clear(self) -> None:
@@ -56,14 +61,14 @@ class Encoder:
         self.cache.update(zip(words, range(at, at + len(words)), strict=True))
 
     def _learn(self, new: list[str]) -> None:
-        """Put ids of new words into the cache: of many at once, where the tokenizer parts them at newlines."""
+        """Put ids of new words into the cache."""
         alone = new
         if self.joint is not None:
-            alone = [w for w in new if w[:1] != " " or "\n" in w]
-            many = [w for w in new if w[:1] == " " and "\n" not in w]
+            many = [w for w in new if w.startswith(self.head) and self.char not in w]
+            alone = [w for w in new if not w.startswith(self.head) or self.char in w]
             for at in range(0, len(many), 256):
                 part = many[at : at + 256]
-                ids = np.array(self._plain(["\n".join(part)])[0], np.uint32)
+                ids = np.array(self._plain([self.between.join(part)])[0], np.uint32)
                 ends = np.flatnonzero(ids == self.joint)
                 if len(ends) != len(part) - 1:
                     alone += part
@@ -106,10 +111,13 @@ class Encoder:
         return out
 
     def _encode(self, texts: list[str], group: list[int], out: list) -> None:
-        """Each text as pieces: " word" after a space, "\\nword" after a newline, split by Arrow."""
+        """Each text as pieces, split by Arrow: words with the space or newline before them, and
+        the ASCII marks, but apostrophes, between a letter and the next space or newline."""
         whole = pa.array([texts[i] for i in group], pa.large_string())
-        # A mark before each space or newline keeps them at the head of the piece that follows.
-        parts = pc.split_pattern(pc.replace_substring(pc.replace_substring(whole, " ", "\x00 "), "\n", "\x00\n"), "\x00")
+        marked = pc.replace_substring_regex(whole, _MARKS, r"\1" + "\x00" + r"\2\3")
+        for space in (" ", "\n"):
+            marked = pc.replace_substring(marked, space, "\x00" if self.blind else "\x00" + space)
+        parts = pc.split_pattern(marked, "\x00")
         if any("\x00" in texts[i] for i in group):
             clean = [i for i in group if "\x00" not in texts[i]]
             for i in group:
