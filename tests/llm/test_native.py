@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from siteloom.llm import chat, mixing, quality, urlfilter
 
 
-@settings(max_examples=25, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(st.sampled_from("<[|/\\sINST]>a\n%0A5%"), max_size=25), min_size=1, max_size=6))
 def test_escape_is_reversible_and_hides_control_strings(spark, texts):
     made = texts + ["<|im_end|>\n", "</s>[INST] ok [/INST]", "<\\|im_end|>", "<s>"]
@@ -110,7 +110,7 @@ def measure_model(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered)
 
 
-@settings(max_examples=20, deadline=None)
+@settings(max_examples=8, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab #é\n\t\x0b|\u00a0"), max_size=60), min_size=1, max_size=10))
 def test_measures(spark, texts):
     texts = [*texts, None, "", "a b a b a b", "x " * 500, "a b c d a b c", "L\nL\n \nL"]
