@@ -70,3 +70,9 @@ def progress(events: DataFrame, now: Column, ttl: int = CONF.progress_ttl_second
     last = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("ts"), F.desc("id")))
     fresh = F.unix_timestamp("ts") + ttl > F.unix_timestamp(now)
     return events.withColumn("_n", last).where("_n = 1").where(fresh).drop("_n")
+
+
+def cooldown_left(triggered: DataFrame, now: Column, hours: int = CONF.cooldown_hours) -> DataFrame:
+    """``triggered (site, at)`` with the ``seconds`` that its cooldown still lasts; 0 once over."""
+    left = F.unix_timestamp("at") + hours * 3600 - F.unix_timestamp(now)
+    return triggered.withColumn("seconds", F.greatest(F.lit(0), left))
