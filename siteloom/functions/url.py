@@ -55,7 +55,7 @@ def with_scheme(text: str | Column) -> Column:
 
 
 def format_error(url: str | Column) -> Column:
-    """Why a URL is no site address; null if it is one."""
+    """Why a URL is no site address, in fixed words; null if it is one."""
     u = _c(url)
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     netloc = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)

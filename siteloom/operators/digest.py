@@ -11,6 +11,7 @@ from siteloom.operators.curate import section_rank
 
 
 def footer(title: Column) -> Column:
+    """Fixed value: the closing sentence."""
     return F.concat(F.lit("This document helps AI systems understand "), title, F.lit("'s purpose and offerings."))
 
 
