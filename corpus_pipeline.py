@@ -2,29 +2,53 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm import mixing, neardup, packing, quality
-from siteloom.llm.common import materialize
+from siteloom.llm.common import MADE, new_path, sweep, until_exit
 from siteloom.llm.queries import PACKED_WITH, tokenizer
 
 
+#: Tables that the stages so far have stored for themselves.
+_STORED: list[str] = []
+
+
+def _stage(fn):
+    """A stage begins when the one before it is written, so what that one stored can go, unless it is still read."""
+
+    @wraps(fn)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, _STORED, docs)
+        before = len(MADE)
+        out = fn(spark, docs, sf_dir)
+        _STORED.extend(MADE[before:])
+        return out
+
+    return staged
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the learnt limits reject go."""
     return quality.keep_good(docs)
 
 
+@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the least id stays."""
     return neardup.keep_one(docs)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
     return mixing.mixed_corpus(docs)
 
 
+@_stage
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences."""
     packed = packing.pack_documents(docs, tokenizer(PACKED_WITH))
@@ -39,5 +63,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        until_exit(spark, path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs

@@ -32,6 +32,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/siteloom/{tag}-{uuid.uuid4().hex}"
 
 
+#: Tables of :func:`materialize`, in the order in which this session made them.
+MADE: list[str] = []
+
+
+def sweep(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
+    """Delete those tables of ``paths`` that ``reader`` does not read."""
+    files = reader.inputFiles()
+    for path in [p for p in paths if not any(p.rsplit("/", 1)[1] in f for f in files)]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        paths.remove(path)
+
+
 def until_exit(spark: SparkSession, path: str) -> None:
     """Have the driver delete a folder of intermediate data when it ends."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -47,6 +60,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     until_exit(df.sparkSession, path)
+    MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

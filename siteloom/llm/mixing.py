@@ -153,5 +153,7 @@ def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The rows of ``df`` as the mix takes them, repeats included, in training order."""
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"))
-    return in_training_order(mix(materialize(rows, "sized"), "id", "source")).select("row.*")
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size"), F.monotonically_increasing_id().alias("number"))
+    stored = materialize(rows, "sized")  # numbers are fixed once stored
+    plan = mix(stored.select("id", "source", "size", "number"), "id", "source").where("copies > 0").select("number", "positions")
+    return in_training_order(stored.select("number", "row").join(plan, "number")).select("row.*")
