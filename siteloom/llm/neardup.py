@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import materialize, partitions
 from siteloom.llm.graph import components
+from siteloom.llm.setjoin import near_copies
 from siteloom.llm.simhash import _mix, shingle_hashes, vote
 
 #: Distinct fingerprints that trees are planned on; the shard size that planning aims at;
@@ -283,15 +284,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return near_classes(text_fingerprints(df, id_col, text_col, width, words), radius, parts, words)
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, words: int = 2, radius: int = 19, parts: int = 10) -> DataFrame:
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """The rows of ``df`` whose id is the least of their class.
 
     The id is the document: rows that repeat a kept id stay with it, rows without one stay.
-
-
-    The defaults are five-word shingles and an estimated similarity of 0.8: shingle sets
-    of Jaccard 0.8 have cosine 0.89, that is 15 % or 19 of 128 differing bits.
+    Links are exact: Jaccard similarity of ``width``-word shingle sets of 0.8 or more.
     """
-    classes = near_duplicates(df, id_col, text_col, width, radius, parts, words)
+    classes = near_copies(df, id_col, text_col, width)
     lost = classes.where(F.col("id") > F.col("class_id")).select(F.col("id").alias(id_col)).distinct()
     return df.join(lost, id_col, "left_anti").select(df.columns)
