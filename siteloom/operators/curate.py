@@ -92,10 +92,15 @@ def section_rank(name: str | Column) -> Column:
     return F.when(at > 0, at).otherwise(F.lit(999)).cast("long")
 
 
-def page_entry(number: Column, url: str, title: str, content: str) -> Column:
-    """One page as a numbered block of a prompt."""
+def page_entry(number: Column, url: str, title: str, content: str, first_paragraph: str | None = None, h2s: str | None = None) -> Column:
+    """One page as a numbered block of a prompt; without content of size, its first paragraph and first h2 headings."""
     text = F.coalesce(F.col(content), F.lit(""))
-    body = F.when(F.length(F.trim(text)) > 50, F.concat(F.lit("   Content:\n"), preview(text, 2000), F.lit("\n"))).when(text == "", "   Content: [EMPTY PAGE - NO CONTENT]\n").otherwise("")
+    para = F.substring(F.coalesce(F.col(first_paragraph), F.lit("")), 1, 200) if first_paragraph else F.lit("")
+    heads = F.slice(F.coalesce(F.col(h2s), F.array().cast("array<string>")), 1, 5) if h2s else F.array().cast("array<string>")
+    shown = F.when(para != "", F.concat(F.lit("   Preview: "), para, F.lit("...\n"))).otherwise("")
+    listed = F.when(F.size(heads) > 0, F.concat(F.lit("   Sections: "), F.array_join(heads, ", "), F.lit("\n"))).otherwise("")
+    none = (text == "") & (para == "") & (F.size(heads) == 0)
+    body = F.when(F.length(F.trim(text)) > 50, F.concat(F.lit("   Content:\n"), preview(text, 2000), F.lit("\n"))).when(none, "   Content: [EMPTY PAGE - NO CONTENT]\n").otherwise(F.concat(shown, listed))
     name = F.when(F.coalesce(F.col(title), F.lit("")) == "", "Untitled").otherwise(F.col(title))
     return F.concat(number.cast("string"), F.lit(". URL: "), F.col(url), F.lit("\n   Title: "), name, F.lit("\n"), body)
 
