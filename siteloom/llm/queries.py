@@ -96,7 +96,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listed keys are those of URLs with a tracking parameter, whatever else the key occurs with."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
-    listed = pages.where(F.col("url").contains("?utm_source=")).select(F.concat(urlfilter.url_host(), urlfilter.url_path()).alias("key"))
+    listed = pages.where(F.col("url").rlike(r"^[^?#]*\?([^#]*&)?utm_source=")).select(F.concat(urlfilter.url_host(), urlfilter.url_path()).alias("key"))
     return urlfilter.judge_urls(pages, listed, "page_id")
 
 
