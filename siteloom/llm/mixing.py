@@ -10,9 +10,10 @@ its training position: the time at which the schedule has asked for that share.
 
 Defined cases: null text has size 0; a null source is a source, last in order; empty and
 zero-word documents have size 0 and go with the passes that reach them; ties in the
-order are broken by id and size; repeated rows are documents of their own; an empty
-table gives an empty result; :func:`mixed_corpus`
-keeps other columns whatever their names.
+order are broken by id and size; where all documents of a kind have size 0, their place
+in the order stands for the share of words before them; repeated rows are documents of
+their own; very long texts are counted whole; an empty table gives an empty result;
+:func:`mixed_corpus` keeps other columns whatever their names.
 """
 
 from __future__ import annotations
@@ -134,7 +135,11 @@ def mix(rows: DataFrame, id_col: str = "doc_id", source_col: str = "source", siz
     full = placed(kinds(rows), gone)
     full = full.withColumn("copies", (F.col("_passes") + (middle < F.col("_share")).cast("long")).cast("int"))
     demand = F.col("_passes") * F.col("_mass") + F.least(F.greatest("_share", F.lit(0.0)), F.col("_mass"))
-    at = lambda j: (j * F.col("_mass") + middle) / demand * integral(F.col("segments"))
+    shown = F.conv(F.substring("_key", 1, 8), 16, 10).cast("double") / (1 << 32)  # of documents without words
+
+    def at(j: Column) -> Column:
+        return F.coalesce(F.try_divide(j * F.col("_mass") + middle, demand), shown) * integral(F.col("segments"))
+
     turns = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda j: inverse(F.col("segments"), at(j))))
     taken = (F.col("copies") * size).cast("long")
     return full.withColumn("taken", taken).withColumn("positions", F.coalesce(turns, F.expr("array()").cast("array<double>"))).select(*rows.columns, *_ADDED)

@@ -81,11 +81,11 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In training order by first occurrence; documents that are not taken come last, by hash."""
+    """In training order by ``position``, that of the first occurrence; documents that are not taken come last, by hash."""
     docs = _table(spark, sf_dir, "documents")
     mixed = mixing.mix(mixing.sized(docs))
     ordered = mixed.withColumn("first", F.coalesce(F.get("positions", F.lit(0)), 2 + F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20))).repartitionByRange("first").sortWithinPartitions("first")
-    return ordered.select("doc_id", "size", "source_size", "target", "taken")
+    return ordered.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("positions", F.lit(0)), 6).alias("position"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,12 +29,12 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
 OP8 = f"""
 WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nth FROM d GROUP BY source),
-w AS (SELECT *, [3.0, 1.0, 2.0][nth % 3 + 1]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM s),
+w AS (SELECT *, [4.5, 0.5, 2.0][nth % 3 + 1]::DOUBLE AS w0, [-3.0, 1.0, 0.0][nth % 3 + 1]::DOUBLE AS slope, [3.0, 1.0, 2.0][nth % 3 + 1]::DOUBLE AS weight, (2 * source_size)::DOUBLE AS cap FROM s),
 o AS (SELECT *, row_number() OVER (ORDER BY cap / weight, nth) AS place FROM w),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM o),
 m AS (SELECT *, min_by(level, place) FILTER (level * weight <= cap) OVER () AS least_level FROM l),
-t AS (SELECT source, source_size, coalesce(least(least_level * weight, cap), cap) AS target FROM m),
-c AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes,
+t AS (SELECT source, source_size, weight, w0, slope, coalesce(least(least_level * weight, cap), cap) AS target FROM m),
+c AS (SELECT d.*, t.source_size, t.target, weight, w0, slope, CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size) ELSE 0 END AS passes,
   (size * 20 <= t.source_size)::INT + (size * 100 <= t.source_size)::INT + (size * 400 <= t.source_size)::INT AS kind FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 b AS (SELECT *, target - passes * source_size AS part, sum(size) OVER (PARTITION BY source, kind) AS mass, sum(size) OVER (PARTITION BY source ORDER BY kind RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest,
   coalesce(sum(size) OVER (PARTITION BY source, kind ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0::DOUBLE AS middle FROM c),
@@ -42,8 +42,11 @@ k0 AS (SELECT source, sum(size) AS n FROM b WHERE kind = 0 AND middle < part * m
 k1 AS (SELECT b.source, sum(size) AS n FROM b LEFT JOIN k0 ON b.source IS NOT DISTINCT FROM k0.source WHERE kind = 1 AND middle < (part - coalesce(k0.n, 0)) * mass / greatest(rest, 1) GROUP BY b.source),
 k2 AS (SELECT b.source, sum(size) AS n FROM b LEFT JOIN k0 ON b.source IS NOT DISTINCT FROM k0.source LEFT JOIN k1 ON b.source IS NOT DISTINCT FROM k1.source WHERE kind = 2 AND middle < (part - coalesce(k0.n, 0) - coalesce(k1.n, 0)) * mass / greatest(rest, 1) GROUP BY b.source),
 p AS (SELECT b.*, (part - CASE WHEN kind > 0 THEN coalesce(k0.n, 0) ELSE 0 END - CASE WHEN kind > 1 THEN coalesce(k1.n, 0) ELSE 0 END - CASE WHEN kind > 2 THEN coalesce(k2.n, 0) ELSE 0 END) * mass / greatest(rest, 1) AS share
-  FROM b LEFT JOIN k0 ON b.source IS NOT DISTINCT FROM k0.source LEFT JOIN k1 ON b.source IS NOT DISTINCT FROM k1.source LEFT JOIN k2 ON b.source IS NOT DISTINCT FROM k2.source)
-SELECT doc_id, size, source_size, target, (size * (passes + CASE WHEN middle < share THEN 1 ELSE 0 END))::BIGINT AS taken FROM p"""
+  FROM b LEFT JOIN k0 ON b.source IS NOT DISTINCT FROM k0.source LEFT JOIN k1 ON b.source IS NOT DISTINCT FROM k1.source LEFT JOIN k2 ON b.source IS NOT DISTINCT FROM k2.source),
+z AS (SELECT *, passes + CASE WHEN middle < share THEN 1 ELSE 0 END AS copies, passes * mass + least(greatest(share, 0), mass) AS demand FROM p),
+y AS (SELECT *, weight * CASE WHEN demand > 0 THEN middle / demand ELSE ('0x' || substring(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE END AS asked FROM z)
+SELECT doc_id, size, source_size, target, (size * copies)::BIGINT AS taken,
+  CASE WHEN copies > 0 THEN round(CASE WHEN asked <= 0 THEN 0 ELSE least(2 * asked / (w0 + sqrt(greatest(0, w0 * w0 + 2 * slope * asked))), 1) END, 6) END AS position FROM y"""
 
 _BINS = "[{'m': 'word_length', 'bin': least(4000, 20 * word_chars // n_words)}, {'m': 'symbols', 'bin': 1000 * n_symbols // word_chars}, {'m': 'dup_lines', 'bin': least(4000, 1000 * n_dup_lines // n_words)}, {'m': 'repeats', 'bin': 1000 * n_repeat_words // n_words}]"
 _QUARTS = "{0} AS (SELECT {1} m, max(total) AS total, min(bin) FILTER (4 * upto >= total) AS q1, min(bin) FILTER (4 * upto >= 2 * total) AS q2, min(bin) FILTER (4 * upto >= 3 * total) AS q3 FROM (SELECT *, sum(n) OVER (PARTITION BY {1} m ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {1} m) AS total FROM (SELECT {1} m, bin, sum(n) AS n FROM sk GROUP BY ALL)) GROUP BY ALL)"

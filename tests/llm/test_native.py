@@ -91,6 +91,16 @@ def test_mixing(spark):
     assert mixing.mix(mixing.sized(df.limit(0))).count() == 0
 
 
+def test_documents_without_words(spark):
+    """Kinds and sources in which no document has a word."""
+    for rows in ([(1, "a b c", "x"), (2, "", "x"), (3, "w w w w w", "y")], [(1, "", "x"), (2, None, "x"), (3, "w w", None)], [(1, "", "x")]):
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        out = mixing.mix(mixing.sized(df)).collect()
+        assert len(out) == len(rows) and all(len(r.positions) == r.copies and all(0 <= p <= 1 for p in r.positions) for r in out)
+        assert all(r.taken == r.copies * r.size and r.copies <= 2 for r in out)
+        assert mixing.mixed_corpus(df).count() == sum(r.copies for r in out)
+
+
 def test_positions_follow_the_schedule(spark):
     rows = [(i, "w", s) for s in "ab" for i in range(ord(s) * 1000, ord(s) * 1000 + 1000)]
     out = mixing.mix(mixing.sized(spark.createDataFrame(rows, "doc_id long, text string, source string")), budget=0.5).collect()
