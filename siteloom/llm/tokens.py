@@ -4,7 +4,8 @@ The byte-level and word-end tokenizers supported here never merge across a singl
 space or newline between two other characters, so a text falls apart there into
 pieces that can be encoded alone, and so it does before marks that end a word. Few
 pieces are new in a batch: the others come from a bounded cache, which one Python worker
-keeps between tasks. A text with any other run of spaces or newlines goes to the
+keeps between tasks. A text in which a space or newline touches other white space, of
+any script, or its start or end, and a text with the string of an added token, go to the
 tokenizer whole.
 """
 
@@ -20,18 +21,27 @@ import pyarrow.compute as pc
 #: Words that one worker keeps; past it the cache starts anew.
 CACHED = 800_000
 _CHUNK = 4 << 20  # characters that are split at once
+#: White space of Unicode, and the separators that some tools count as such.
+_WHITE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_WHOLE = rf"^[ \n]|[ \n]$|[ \n]{_WHITE}|{_WHITE}[ \n]"
 _MARKS = r"""(\pL)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)([ \n])"""
 
 
 class Encoder:
-    """Ids of texts; equal to the tokenizer's own, without special tokens."""
+    """Ids of texts; equal to the tokenizer's own, which adds none to them.
 
-    def __init__(self, path: str, cached: int = CACHED) -> None:
+    A text that holds the string of an added token gets its id, as from the library.
+    With ``literal`` such a string is text like any other, which is safer for texts of
+    unknown origin.
+    """
+
+    def __init__(self, path: str, cached: int = CACHED, literal: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        self.added = [] if literal else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cached = cached
         #: Whether white space leaves no trace in the ids.
         self.blind = len({tuple(x) for x in self._plain(["a", " a", "\na"])}) == 1
@@ -95,10 +105,11 @@ class Encoder:
         out: list[np.ndarray | None] = [None] * len(texts)
         group: list[int] = []
         size = 0
+        whole = pc.match_substring_regex(pa.array(texts, pa.large_string()), _WHOLE).to_pylist()
         for i, t in enumerate(texts):
             if not t:
                 out[i] = np.empty(0, np.uint32)
-            elif t[0] in " \n" or t[-1] in " \n" or "  " in t or "\n\n" in t or " \n" in t or "\n " in t:
+            elif whole[i] or any(a in t for a in self.added):
                 out[i] = np.array(self._plain([t])[0], np.uint32)
             else:
                 group.append(i)
@@ -139,6 +150,6 @@ class Encoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str, cached: int = CACHED) -> Encoder:
+def encoder(path: str, cached: int = CACHED, literal: bool = False) -> Encoder:
     """The encoder of this Python worker."""
-    return Encoder(path, cached)
+    return Encoder(path, cached, literal)

@@ -10,12 +10,14 @@ import pytest
 import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from siteloom.llm import packing, tokenfile
 from siteloom.llm.tokens import Encoder
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 TOOLS = {n: Encoder(public_tokenizers.path(n), cached=50) for n in FILES}
+PLAIN = {n: Tokenizer.from_file(public_tokenizers.path(n)) for n in FILES}  # never altered
 ODD = ["", " ", "\n", "a\nb", "a\n\nb", " x ", "it's we'll 's", "İstanbul ΣΑΣ", "Á ́b", "a\tb c\r\nd", "\x00 a", "<|endoftext|> a", "日本 語\n1 23", "x" * 3000]
 
 
@@ -25,7 +27,24 @@ ODD = ["", " ", "\n", "a\nb", "a\n\nb", " x ", "it's we'll 's", "İstanbul ΣΑ
 def test_encoder_equals_the_tokenizer(name, texts):
     tool = TOOLS[name]
     texts = texts + ODD
-    assert [x.tolist() for x in tool.encode(texts)] == [tool.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in tool.encode(texts)] == [PLAIN[name].encode(t, add_special_tokens=False).ids for t in texts]
+
+
+WHITE = " \n\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2007\u200a\u200b\u2028\u2029\u202f\u205f\u3000"
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_odd_white_space_and_added_tokens(name):
+    rng = random.Random(11)
+    tool = Encoder(public_tokenizers.path(name))
+    atoms = [*WHITE, *"  \n\n", *"aaeÉΣ日١1.,'s!", "<|endoftext|>", "<|startoftext|>", "word", "'ll", "e\u0301"]
+    texts = ["".join(rng.choices(atoms, [2] * len(WHITE) + [20] * 4 + [5] * (len(atoms) - len(WHITE) - 4), k=rng.randint(1, 24))) for _ in range(20_000)]
+    want = PLAIN[name].encode_batch_fast(texts, add_special_tokens=False)
+    wrong = [t for t, x, y in zip(texts, tool.encode(texts), want, strict=True) if x.tolist() != y.ids]
+    assert not wrong
+    literal = Encoder(public_tokenizers.path(name), literal=True)
+    marked = "foo <|endoftext|> bar"
+    assert len(literal.encode([marked])[0]) > len(tool.encode([marked])[0])
 
 
 def one_by_one(lengths, capacity):
@@ -72,13 +91,13 @@ def fixture(spark):
     rng = random.Random(1)
     words = "alpha beta gamma delta the of".split()
     docs = [(i, " ".join(rng.choices(words, k=rng.choice([0, 1, 5, 40, 200])))) for i in range(150)]
-    docs += [(200, None), (201, ""), (202, "the " * 700), (7, "alpha"), (7, "alpha"), (None, "no id")]
+    docs += [(200, None), (201, ""), (202, "the " * 700), (203, "a <|endoftext|> b"), (204, "a.a\u3000 \xa0 \xa0\r"), (205, "long line " * 30_000), (7, "alpha"), (7, "alpha"), (None, "no id")]
     return docs, spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, length int")
 
 
 def test_packing_round_trip(spark):
     docs, df = fixture(spark)
-    path, tool = public_tokenizers.path(FILES[1]), TOOLS[FILES[1]].tokenizer
+    path, tool = public_tokenizers.path(FILES[1]), PLAIN[FILES[1]]
     rows = packing.pack_documents(df, path, capacity=128).collect()
     want = []
     for i, t in docs:
@@ -93,7 +112,7 @@ def test_packing_round_trip(spark):
 
 def test_token_files(spark):
     docs, df = fixture(spark)
-    path, tool = public_tokenizers.path(FILES[0]), TOOLS[FILES[0]].tokenizer
+    path, tool = public_tokenizers.path(FILES[0]), PLAIN[FILES[0]]
     manifest = tokenfile.write_token_files(df, path)
     rows = tokenfile.read_token_files(spark, manifest).collect()
     order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, d[1] is not None, d[1] or ""))
