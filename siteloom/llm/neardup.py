@@ -29,18 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import materialize, partitions
 from siteloom.llm.graph import components
-from siteloom.llm.setjoin import near_copies
+from siteloom.llm.setjoin import by_shard, near_copies
 from siteloom.llm.simhash import _mix, shingle_hashes, vote
+from siteloom.llm.vptree import SAMPLE, SHARD, Forest, apart
 
-#: Distinct fingerprints that trees are planned on; the shard size that planning aims at;
-#: into how many shards, overlaps aside, the driver's tree of a range may go at most.
-SAMPLE, SHARD, MOST = 8192, 2048, 512
-_LEAST = 48  # below so many sampled fingerprints, shares come from the binomial law instead
+#: Into how many shards, overlaps aside, the driver's tree of a range may go at most.
+MOST = 512
+_NAME = 9  # bytes of a key before the fingerprint
 
 
 def text_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, words: int = 1) -> DataFrame:
@@ -63,19 +63,11 @@ def _array(marks: list[bytes], words: int) -> np.ndarray:
     return np.frombuffer(b"".join(marks), ">u8").astype(np.uint64).reshape(-1, words)
 
 
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Differing bits over the last axis, at most 255, word by word."""
-    total = np.bitwise_count(x[..., 0] ^ y[..., 0])
-    for k in range(1, x.shape[-1]):
-        total = total + np.bitwise_count(x[..., k] ^ y[..., k])
-    return total
-
-
 def _linked(x: np.ndarray, radius: int, block: int = 128) -> np.ndarray:
     """The rows of ``x`` that any other row links to, in blocks of rows against all later ones."""
     active = np.zeros(len(x), bool)
     for at in range(0, len(x), block):
-        near = _apart(x[at : at + block][:, None, :], x[at:][None, :, :]) <= radius
+        near = apart(x[at : at + block][:, None, :], x[at:][None, :, :]) <= radius
         some = np.arange(near.shape[0])
         near[some, some] = False  # of itself
         active[at : at + block] |= near.any(axis=1)
@@ -83,83 +75,6 @@ def _linked(x: np.ndarray, radius: int, block: int = 128) -> np.ndarray:
     return np.flatnonzero(active)
 
 
-class Forest:
-    """Vantage-point trees on bit ranges; ``route`` gives the shards of each fingerprint."""
-
-    def __init__(self, sample: np.ndarray, count: int, radius: int, parts: int, shard: int = SHARD, seed: int = 7) -> None:
-        self.words, self.radius, self.r = sample.shape[1], radius, radius // parts
-        bits = 64 * self.words
-        edges = [bits * i // parts for i in range(parts + 1)]
-        self.nodes: list[tuple] = []  # (vantage, mask, m, left, right), or (shard number,)
-        self.ranges: list[tuple[np.ndarray, int]] = []  # of each shard: mask and width of its bit range
-        rng = np.random.default_rng(seed)
-        self.roots = []
-        for a, b in zip(edges, edges[1:], strict=False):
-            mask = np.packbits((np.arange(bits) >= a) & (np.arange(bits) < b)).view(">u8").astype(np.uint64)
-            self.roots.append(self._grow(sample, float(count), mask, b - a, shard, rng))
-
-    @classmethod
-    def within(cls, x: np.ndarray, mask: np.ndarray, width: int, r: int, shard: int) -> Forest:
-        """A tree over the rows of one shard, which goes on in the shard's bit range."""
-        tree = cls.__new__(cls)
-        tree.words, tree.r, tree.nodes, tree.ranges = x.shape[1], r, [], []
-        rng = np.random.default_rng(len(x))
-        some = x[rng.choice(len(x), min(len(x), SAMPLE), replace=False)]
-        tree.roots = [tree._grow(some, float(len(x)), mask, width, shard, rng)]
-        return tree
-
-    @property
-    def leaves(self) -> int:
-        return len(self.ranges)
-
-    def _grow(self, sample: np.ndarray, count: float, mask: np.ndarray, width: int, shard: int, rng: np.random.Generator, depth: int = 0) -> int:
-        at = len(self.nodes)
-        self.nodes.append(())
-        cut = None
-        if count > shard and depth < 3 * width:
-            if len(sample) >= _LEAST:
-                tries = sample[rng.choice(len(sample), 3, replace=False)]
-            else:
-                tries = rng.integers(0, 1 << 63, (3, self.words), dtype=np.uint64) << np.uint64(1)
-            for v in tries:
-                if len(sample) >= _LEAST:
-                    d = _apart(sample & mask, v & mask)
-                else:
-                    d = rng.binomial(width, 0.5, 512)
-                for m in {int(np.median(d)), int(np.median(d)) - 1}:
-                    left, right = float(np.mean(d <= m + self.r)), float(np.mean(d > m))
-                    worst = max(left, right)
-                    if right > 0 and (cut is None or worst < cut[0]):
-                        cut = (worst, v, m, left, right)
-            if cut and cut[0] > 0.93:  # a dense spot: more levels would copy, not part
-                cut = None
-        if cut is None:
-            self.nodes[at] = (self.leaves,)
-            self.ranges.append((mask, width))
-            return at
-        _, v, m, left, right = cut
-        inside = _apart(sample & mask, v & mask)
-        lower = self._grow(sample[inside <= m + self.r], count * left, mask, width, shard, rng, depth + 1)
-        upper = self._grow(sample[inside > m], count * right, mask, width, shard, rng, depth + 1)
-        self.nodes[at] = (v & mask, mask, m, lower, upper)
-        return at
-
-    def route(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """(shard, rows of ``x``) over all trees."""
-        waiting = [(root, np.arange(len(x))) for root in self.roots]
-        while waiting:
-            at, rows = waiting.pop()
-            if not len(rows):
-                continue
-            node = self.nodes[at]
-            if len(node) == 1:
-                yield node[0], rows
-                continue
-            v, mask, m, lower, upper = node
-            d = _apart(x[rows] & mask, v)
-            waiting += [(lower, rows[d <= m + self.r]), (upper, rows[d > m])]
-
-
 def shard_links(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """A spanning set of the links within ``radius`` among the rows of ``x``.
 
@@ -172,7 +87,7 @@ def shard_links(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
     left = _linked(x, radius)
     y = x[left]
     while len(left):
-        near = _apart(y, y[0]) <= radius
+        near = apart(y, y[0]) <= radius
         star = left[near]
         stars.append(star)
         links += [(int(star[0]), int(i)) for i in star[1:]]
@@ -193,7 +108,7 @@ def shard_links(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
         found: dict[int, list[np.ndarray]] = {}
         for k in range(0, len(members), 256):
             part = members[k : k + 256]
-            d = _apart(x[part][:, None, :], pivots[None, :, :])
+            d = apart(x[part][:, None, :], pivots[None, :, :])
             rows, cols = np.nonzero(d <= 2 * radius)
             for j in np.unique(cols):
                 if find(int(j)) != find(i):
@@ -202,9 +117,9 @@ def shard_links(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
             if find(i) == find(j):
                 continue
             mine, other = np.concatenate(groups), stars[j]
-            other = other[_apart(x[other], x[star[0]]) <= 2 * radius]
+            other = other[apart(x[other], x[star[0]]) <= 2 * radius]
             for k in range(0, len(mine), 256):
-                d = _apart(x[mine[k : k + 256]][:, None, :], x[other][None, :, :]) <= radius
+                d = apart(x[mine[k : k + 256]][:, None, :], x[other][None, :, :]) <= radius
                 if d.any():
                     a, b = np.argwhere(d)[0]
                     links.append((int(mine[k + a]), int(other[b])))
@@ -221,61 +136,64 @@ def large_shard_links(x: np.ndarray, radius: int, bit_range: tuple[np.ndarray, i
     return [(int(rows[a]), int(rows[b])) for _, rows in tree.route(x) for a, b in shard_links(x[rows], radius)]
 
 
-def fingerprint_links(marks: DataFrame, radius: int, parts: int, words: int = 1, shard: int = SHARD, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
-    """``(a, b)`` links of distinct fingerprints ``mark`` that span all pairs within ``radius``.
+def _key() -> Column:
+    """A node: null flag, the least id so that bytes sort like numbers, and the fingerprint ``mark``."""
+    least = F.lpad(F.hex(F.coalesce("least", F.lit(0)).bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.unhex(F.when(F.isnull("least"), "01").otherwise("00")), F.unhex(least), F.col("mark"))
+
+
+def _key_id(key: Column) -> Column:
+    number = F.conv(F.hex(F.substring(key, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.hex(F.substring(key, 1, 1)) == "00", number)
 
-    The driver's trees stop at ``most`` shards' worth of parting, whatever the number of
-    fingerprints; past it shards grow, and tasks go on parting theirs.
+
+def fingerprint_links(nodes: DataFrame, radius: int, parts: int, words: int = 1, shard: int = SHARD, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
+    """``(a, b)`` links of ``nodes (key)`` that span all pairs within ``radius``.
+
+    A key is any nine bytes and a fingerprint. The driver's trees stop at ``most`` shards'
+    worth of parting, whatever the number of fingerprints; past it shards grow, and tasks
+    go on parting theirs.
     """
-    spark: SparkSession = marks.sparkSession
-    planned = [bytes(r[0]) for r in marks.orderBy(F.xxhash64("mark"), "mark").select("mark").limit(sample).collect()]
-    count = marks.count()
+    spark: SparkSession = nodes.sparkSession
+    planned = [bytes(r[0])[_NAME:] for r in nodes.orderBy(F.xxhash64("key"), "key").select("key").limit(sample).collect()]
+    count = nodes.count()
     forest = Forest(_array(planned, words), count, radius, parts, max(shard, count // most))
+    wide = _NAME + 8 * words
+
+    def keys(column: pa.Array) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, wide)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = np.frombuffer(b"".join(b.column(0).to_pylist()), f"S{8 * words}")
-            raw = np.frombuffer(x.tobytes(), ">u8").astype(np.uint64).reshape(-1, words)
-            for number, rows in forest.route(raw):
-                kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * words), len(rows), [None, pa.py_buffer(raw[rows].astype(">u8").tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number, np.int32)), kept.cast(pa.binary())], names=["shard", "mark"])
+            raw = keys(b.column(0))
+            marks = np.ascontiguousarray(raw[:, _NAME:]).view(">u8").astype(np.uint64)
+            for number, rows in forest.route(marks):
+                kept = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(rows), [None, pa.py_buffer(raw[rows].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), number, np.int32)), kept.cast(pa.binary())], names=["shard", "key"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        now = -1
-
-        def linked() -> pa.RecordBatch:
-            x = np.concatenate(held)
-            found = large_shard_links(x, radius, forest.ranges[now], forest.r, shard)
-            ends = [pa.array([x[i].astype(">u8").tobytes() for i in side], pa.binary()) for side in ([i for i, _ in found], [j for _, j in found])]
-            return pa.RecordBatch.from_arrays(ends, names=["a", "b"])
-
-        for b in batches:
-            numbers, x = b.column(0).to_numpy(), _array(b.column(1).to_pylist(), words)
-            cuts = [0, *(np.flatnonzero(np.diff(numbers)) + 1).tolist(), len(numbers)]
-            for at, stop in zip(cuts, cuts[1:], strict=False):
-                if at == stop:
-                    continue
-                if numbers[at] != now and held:
-                    yield linked()
-                    held = []
-                now = int(numbers[at])
-                held.append(x[at:stop])
-        if held:
-            yield linked()
-
-    dealt = marks.select("mark").mapInArrow(deal, "shard int, mark binary")
+        for number, b in by_shard(batches):
+            raw = keys(b.column(1))
+            x = np.ascontiguousarray(raw[:, _NAME:]).view(">u8").astype(np.uint64)
+            found = large_shard_links(x, radius, forest.ranges[number], forest.r, shard)
+            ends = [pa.array([raw[i].tobytes() for i in side], pa.binary()) for side in ([i for i, _ in found], [j for _, j in found])]
+            yield pa.RecordBatch.from_arrays(ends, names=["a", "b"])
+
+    dealt = nodes.select("key").mapInArrow(deal, "shard int, key binary")
     return dealt.repartition(partitions(spark), "shard").sortWithinPartitions("shard").mapInArrow(link, "a binary, b binary")
 
 
 def near_classes(marks: DataFrame, radius: int = 4, parts: int = 3, words: int = 1, shard: int = SHARD, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
-    """``(id, mark, class_id)`` for each row of ``marks (id, mark)``: the least id its links reach."""
+    """``(id, mark, class_id)`` for each row of ``marks (id, mark)``: the least id its links reach.
+
+    A node's name sorts by its least id, so the center of a component names its class and
+    nothing is joined by component, of which one may hold a third of all nodes.
+    """
     marks = materialize(marks, "marks")
-    distinct = materialize(marks.groupBy("mark").agg(F.min("id").alias("least")), "distinct")
+    distinct = materialize(marks.groupBy("mark").agg(F.min("id").alias("least")).select("mark", _key().alias("key")), "distinct")
     stars = components(fingerprint_links(distinct, radius, parts, words, shard, sample, most))
-    placed = distinct.join(stars.withColumnRenamed("node", "mark"), "mark", "left").withColumn("center", F.coalesce("center", "mark"))
-    least = placed.groupBy("center").agg(F.min("least").alias("class_id"))
-    classes = placed.join(least, "center").select("mark", "class_id")
+    placed = distinct.join(stars.withColumnRenamed("node", "key"), "key", "left")
+    classes = placed.select("mark", _key_id(F.coalesce("center", "key")).alias("class_id"))
     return marks.join(classes, "mark", "left")
 
 
@@ -288,7 +206,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
     """The rows of ``df`` whose id is the least of their class.
 
     The id is the document: rows that repeat a kept id stay with it, rows without one stay.
-    Links are exact: Jaccard similarity of ``width``-word shingle sets of 0.8 or more.
+    Candidates come from SimHash fingerprints through vantage-point trees; a link is a
+    Jaccard similarity of ``width``-word shingle sets of 0.8 or more.
     """
     classes = near_copies(df, id_col, text_col, width)
     lost = classes.where(F.col("id") > F.col("class_id")).select(F.col("id").alias(id_col)).distinct()

@@ -64,6 +64,13 @@ def word_hashes(data: bytes) -> np.ndarray:
     return _mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending distinct values and where each begins in the sorted array; faster than ``np.unique`` on few."""
+    h = np.sort(h)
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    return h[first], first
+
+
 def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct word 3-grams as hashes, and their weights 16 * (1 + ln count), rounded.
 
@@ -76,7 +83,9 @@ def terms(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(w) - k + 1, np.uint64)
     for i in range(k):
         h += w[i : len(w) - k + 1 + i] * _GRAM[i]
-    h, n = np.unique(h, return_counts=True)
+    total = len(h)
+    h, first = distinct(h)
+    n = np.diff(np.r_[first, total])
     return h, np.rint(16 * (1 + np.log(n))).astype(np.int64)
 
 
@@ -87,7 +96,8 @@ def _sums(rows: np.ndarray) -> np.ndarray:
     for at in range(0, n, _BLOCK):
         part = rows[at : at + _BLOCK]
         bits = np.unpackbits(part.astype(">u8").view(np.uint8).reshape(len(part), words * 8), axis=1)
-        total += bits.sum(axis=0, dtype=np.int64)
+        for k in range(0, len(part), 255):  # so many ones at most fit a byte
+            total += np.add.reduce(bits[k : k + 255], axis=0, dtype=np.uint8)
     return 2 * total - n
 
 

@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pytest
 from conftest import DATA, same_rows
+from test_setjoin import near, shingled
 
 import corpus_pipeline
-from siteloom.llm import neardup, packing, quality
+from siteloom.llm import packing, quality
 from siteloom.llm.queries import PACKED_WITH, QUERIES, tokenizer
 from siteloom.llm.sql import ORACLES
 
@@ -42,19 +43,19 @@ def test_run_equals_the_stages_one_by_one(spark, corpus):
     assert not ids & {300, 301, 302} and ids >= set(range(270))
     good = kept.collect()
     once = corpus_pipeline.near_dedup(spark, kept, corpus)
-    marks = {}
-    for m in neardup.text_fingerprints(kept, width=5, words=2).collect():
-        marks[m.id] = int.from_bytes(m.mark, "big")
-    root = {i: i for i in marks}
+    sets = {}
+    for r in good:
+        sets.setdefault(r.doc_id, shingled(r.text))  # rows that repeat an id repeat its text here
+    root = {i: i for i in sets}
 
     def find(i):
         while root[i] != i:
             i = root[i]
         return i
 
-    for i in marks:
-        for j in marks:
-            if i < j and (marks[i] ^ marks[j]).bit_count() <= 19:
+    for i in sets:
+        for j in sets:
+            if i < j and near(sets[i], sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     assert sorted(r.doc_id for r in once.collect()) == sorted(r.doc_id for r in good if find(r.doc_id) == r.doc_id)
