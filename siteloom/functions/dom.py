@@ -1,7 +1,8 @@
-"""A lenient HTML tree and what needs one: exact fingerprints, Markdown, titles.
+"""A lenient HTML tree and the facts of a page that are read from it.
 
-Used through Arrow UDFs where patterns are not exact: nested containers, attributes with
-``>``, subtree removal by selector, the full set of entities.
+One Arrow pass parses each distinct page of a batch once and gives all its facts:
+titles, descriptions, content, menu, links and fingerprint. Nothing recurses, so depth
+of nesting is no limit.
 """
 
 from __future__ import annotations
@@ -9,21 +10,49 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
+from urllib.parse import urljoin
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteloom.conf import CONF
-from siteloom.functions.html import NOISY, NOISY_VOID, SCRIPT_PHRASES
 
+#: Elements that never carry content.
+NOISY = frozenset("script style noscript iframe svg canvas video audio source track embed object".split())
+#: Phrases of pages that ask for scripts.
+SCRIPT_PHRASES = ("requires javascript", "javascript is required", "enable javascript", "please enable javascript", "you need to enable javascript")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Parts of a class or id, and attributes, of boxes that are no content.
 NOISY_CLASS = ("ad-", "ads-", "intercom", "hubspot", "drift", "cookie", "gdpr", "consent", "popup", "modal", "overlay")
 NOISY_ID = ("ad-",)
 NOISY_ATTRIBUTES = ("data-analytics", "data-tracking")
 
+_REST = r"""[^"'>]*(?:"[^"]*"[^"'>]*|'[^']*'[^"'>]*)*"""
+_TOKEN = re.compile(
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)(?=[\s/>])(?P<of>{_REST})>(?P<code>.*?)(?:</(?P=raw)\s*>|\Z)"
+    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>{_REST})>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
+    re.S | re.I,
+)
+_ATTR = re.compile(r"""([^\s/>=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+
+
+def attributes(rest: str) -> dict[str, str | None]:
+    """Names in lower case to decoded values, null without one; of a repeated name the last."""
+    if not rest or rest.isspace():
+        return {}
+    found: dict[str, str | None] = {}
+    for name, value in _ATTR.findall(rest):
+        if not value:
+            found[name.lower()] = None
+            continue
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        found[name.lower()] = unescape(value)
+    return found
+
 
 class Element:
     __slots__ = ("tag", "attrs", "kids")
@@ -32,70 +61,99 @@ class Element:
         self.tag, self.attrs, self.kids = tag, attrs or {}, []
 
     def walk(self) -> Iterator[Element]:
-        yield self
-        for k in self.kids:
-            if isinstance(k, Element):
-                yield from k.walk()
+        """The element and all below it, in page order."""
+        waiting = [self]
+        while waiting:
+            e = waiting.pop()
+            yield e
+            waiting.extend(k for k in reversed(e.kids) if k.__class__ is Element)
 
     def first(self, *tags: str) -> Element | None:
         return next((e for e in self.walk() if e.tag in tags), None)
 
-    def strings(self) -> Iterator[str]:
-        for k in self.kids:
-            if isinstance(k, str):
-                yield k
+    def strings(self, without: frozenset[str] = frozenset()) -> Iterator[str]:
+        """Texts inside, in page order, but those inside elements ``without``."""
+        waiting = [iter(self.kids)]
+        while waiting:
+            for k in waiting[-1]:
+                if k.__class__ is not Element:
+                    yield k
+                elif k.tag not in without:
+                    waiting.append(iter(k.kids))
+                    break
             else:
-                yield from k.strings()
-
-    def text(self, between: str = " ") -> str:
-        return between.join(s.strip() for s in self.strings() if s.strip())
-
-
-class _Builder(HTMLParser):
-    """End tags close the nearest open element of their name; strays are dropped."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.root = Element("")
-        self.path = [self.root]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        e = Element(tag, dict(attrs))
-        self.path[-1].kids.append(e)
-        if tag not in VOID:
-            self.path.append(e)
+                waiting.pop()
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.path[-1].kids.append(Element(tag, dict(attrs)))
+    def text(self, between: str = " ", without: frozenset[str] = frozenset()) -> str:
+        return between.join(t for s in self.strings(without) if (t := s.strip()))
 
-    def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.path) - 1, 0, -1):
-            if self.path[i].tag == tag:
-                del self.path[i:]
-                return
 
-    def handle_data(self, data: str) -> None:
-        self.path[-1].kids.append(data)
+def _closed(rest: str) -> bool:
+    """Whether a start tag ends in a slash that is no part of a value."""
+    return rest.endswith("/") and not re.search(r"""=\s*[^\s"'/>][^\s"'>]*$|=\s*/[^\s"'>]*$""", rest)
 
 
 def tree(html: str) -> Element:
-    b = _Builder()
-    b.feed(html)
-    b.close()
-    return b.root
+    """End tags close the nearest open element of their name; stray ones are dropped."""
+    root = Element("")
+    path = [root]
+    open_tags: dict[str, int] = {}
+    pos = 0
+
+    def say(text: str) -> None:
+        kids = path[-1].kids
+        text = unescape(text) if "&" in text else text
+        if kids and kids[-1].__class__ is str:
+            kids[-1] += text
+        else:
+            kids.append(text)
+
+    for m in _TOKEN.finditer(html):
+        start = m.start()
+        if start > pos:
+            say(html[pos:start])
+        pos = m.end()
+        if raw := m["raw"]:
+            e = Element(raw.lower(), attributes(m["of"]))
+            if m["code"]:
+                e.kids.append(m["code"])
+            path[-1].kids.append(e)
+        elif tag := m["tag"]:
+            tag = tag.lower()
+            if not m["end"]:
+                e = Element(tag, attributes(m["rest"]))
+                path[-1].kids.append(e)
+                if tag not in VOID and not _closed(m["rest"]):
+                    path.append(e)
+                    open_tags[tag] = open_tags.get(tag, 0) + 1
+            elif open_tags.get(tag):
+                while True:
+                    gone = path.pop().tag
+                    open_tags[gone] -= 1
+                    if gone == tag:
+                        break
+    if pos < len(html):
+        say(html[pos:])
+    return root
 
 
 def _noisy(e: Element) -> bool:
-    if e.tag in NOISY or e.tag in NOISY_VOID or any(a in e.attrs for a in NOISY_ATTRIBUTES):
+    if e.tag in NOISY:
         return True
+    if not e.attrs:
+        return False
     cls, name = e.attrs.get("class") or "", e.attrs.get("id") or ""
-    return any(x in cls for x in NOISY_CLASS) or any(x in name for x in NOISY_ID)
+    return any(a in e.attrs for a in NOISY_ATTRIBUTES) or any(x in cls for x in NOISY_CLASS) or any(x in name for x in NOISY_ID)
 
 
-def prune(e: Element) -> Element:
+def prune(root: Element) -> Element:
     """The tree without noisy elements and all inside them."""
-    e.kids = [prune(k) if isinstance(k, Element) else k for k in e.kids if isinstance(k, str) or not _noisy(k)]
-    return e
+    waiting = [root]
+    while waiting:
+        e = waiting.pop()
+        e.kids = [k for k in e.kids if k.__class__ is str or not _noisy(k)]
+        waiting.extend(k for k in e.kids if k.__class__ is Element)
+    return root
 
 
 def normal(text: str) -> str:
@@ -103,83 +161,155 @@ def normal(text: str) -> str:
 
 
 def nav_links(root: Element, most: int = 20) -> list[str]:
+    """Cleaned link targets of all menus and headers, distinct, in order."""
     found: dict[str, None] = {}
-    for box in root.walk():
-        if box.tag in ("nav", "header"):
-            for a in box.walk():
-                href = a.attrs.get("href") if a.tag == "a" else None
-                if href is None or href.startswith(("#", "javascript:")):
-                    continue
-                href = re.sub(r"\?.*$", "", href).rstrip("/")
-                if href:
-                    found[href] = None
+    waiting = [(root, False)]
+    while waiting:
+        e, inside = waiting.pop()
+        inside = inside or e.tag in ("nav", "header")
+        href = e.attrs.get("href") if inside and e.tag == "a" else None
+        if href and not href.startswith(("#", "javascript:")):
+            href = re.sub(r"\?.*$", "", href).rstrip("/")
+            if href:
+                found[href] = None
+        waiting.extend((k, inside) for k in reversed(e.kids) if k.__class__ is Element)
     return list(found)[:most]
 
 
-def semantic_text(html: str, most: int = CONF.fingerprint_chars) -> str:
-    """Lines that identify a page's meaning, from the pruned tree."""
-    root = prune(tree(html))
-    metas = [e for e in root.walk() if e.tag == "meta"]
-    meta = lambda attr, name: next((e.attrs.get("content") for e in metas if e.attrs.get(attr) == name), None)
+def _meta(elements: list[Element], attribute: str, name: str) -> str:
+    """Content of the first ``meta`` whose ``attribute`` is ``name``; '' if none."""
+    return next((e.attrs.get("content") or "" for e in elements if e.tag == "meta" and e.attrs.get(attribute) == name), "")
+
+
+def _one_of(elements: list[Element], *tests) -> Element | None:
+    for test in tests:
+        found = next((e for e in elements if test(e)), None)
+        if found is not None:
+            return found
+    return None
+
+
+def _tag(name: str):
+    return lambda e: e.tag == name
+
+
+def _has(attribute: str, value: str):
+    return lambda e: e.attrs.get(attribute) == value
+
+
+def _classed(name: str):
+    return lambda e: name in (e.attrs.get("class") or "").split()
+
+
+def content_box(elements: list[Element]) -> Element | None:
+    """The element that a crawl takes for the content."""
+    return _one_of(elements, _tag("main"), _tag("article"), _has("role", "main"), _classed("content"), _has("id", "content"), _tag("body"))
+
+
+def main_text(root: Element) -> str:
+    box = content_box(list(root.walk()))
+    return re.sub(r"\s+", " ", box.text(without=NOISY)).strip() if box else ""
+
+
+def title(elements: list[Element]) -> str:
+    """First text of the first title that has one."""
+    found = next((e for e in elements if e.tag == "title" and e.kids), None)
+    return next((k for k in found.kids if k.__class__ is str), "").strip() if found else ""
+
+
+def pruned_text(root: Element, most: int = CONF.fingerprint_chars) -> str:
+    """Lines that identify a page's meaning, of a pruned tree; absent parts have no line."""
+    elements = list(root.walk())
     out = []
-    if title := root.first("title"):
-        out.append("TITLE:" + normal("".join(title.strings())))
-    for label, attr, name in (("DESC:", "name", "description"), ("OG_TITLE:", "property", "og:title"), ("OG_DESC:", "property", "og:description")):
-        if value := meta(attr, name):
+    if (found := next((e for e in elements if e.tag == "title"), None)) is not None:
+        out.append("TITLE:" + normal("".join(found.strings())))
+    for label, attribute, name in (("DESC:", "name", "description"), ("OG_TITLE:", "property", "og:title"), ("OG_DESC:", "property", "og:description")):
+        if value := _meta(elements, attribute, name):
             out.append(label + normal(value))
-    by = lambda test: next((e for e in root.walk() if test(e)), None)
-    main = (
-        root.first("main") or root.first("article") or by(lambda e: e.attrs.get("id") == "content") or by(lambda e: e.attrs.get("id") == "main")
-        or by(lambda e: "content" in (e.attrs.get("class") or "").split()) or root.first("body")
-    )
-    if main and (text := normal(main.text())[:most]):
+    box = _one_of(elements, _tag("main"), _tag("article"), _has("id", "content"), _has("id", "main"), _classed("content"), _tag("body"))
+    if box and (text := normal(box.text())[:most]):
         out.append("CONTENT:" + text)
     if links := nav_links(root):
         out.append("NAV:" + ",".join(links))
     return "\n".join(out)
 
 
-def visible_length(html: str) -> int:
+def semantic_text(html: str, most: int = CONF.fingerprint_chars) -> str:
+    return pruned_text(prune(tree(html)), most)
+
+
+def visible_length(root: Element) -> int:
     """Characters of text whose parent is an element below the body, without scripts and styles."""
-    body = tree(html).first("body")
+    body = root.first("body")
     if not body:
         return 0
-    parts = [k.strip() for e in body.walk() if e is not body and e.tag not in ("script", "style", "noscript") for k in e.kids if isinstance(k, str) and k.strip()]
+    parts = [t for e in body.walk() if e is not body and e.tag not in ("script", "style", "noscript") for k in e.kids if k.__class__ is str and (t := k.strip())]
     return len(" ".join(parts))
 
 
-def needs_render(html: str, least: int = CONF.min_visible_chars) -> bool:
+def needs_render(html: str, root: Element | None = None, least: int = CONF.min_visible_chars) -> bool:
     at = html.lower().find("<body")
-    return visible_length(html) < least or at >= 0 and any(p in html[at:].lower() for p in SCRIPT_PHRASES)
+    return visible_length(root or tree(html)) < least or at >= 0 and any(p in html[at:].lower() for p in SCRIPT_PHRASES)
+
+
+def link_targets(url: str | None, html: str) -> list[tuple[str, str | None]]:
+    """``(href, target)`` of every link in page order; the target is null where the two make no URL."""
+    found = []
+    for m in _TOKEN.finditer(html):
+        if (m["tag"] or "").lower() == "a" and not m["end"]:
+            href = attributes(m["rest"]).get("href")
+            if href is not None:
+                found.append((href, joined(url, href)))
+    return found
+
+
+def joined(base: str | None, href: str | None) -> str | None:
+    """RFC 3986 resolution with dot segments; null where either side is no URL."""
+    try:
+        return None if base is None or href is None else urljoin(base, href)
+    except ValueError:
+        return None
 
 
 _BLOCKS = frozenset("p div section article main header footer aside nav ul ol table tr blockquote pre figure".split())
+_SILENT = frozenset("script style noscript head img svg template".split())
 
 
 def markdown(html: str) -> str:
     """Content of a page as Markdown: headings, paragraphs, links, emphasis, lists, quotes, code; no images."""
-    root = tree(html)
-    by = lambda test: next((e for e in root.walk() if test(e)), None)
-    box = (
-        root.first("main") or root.first("article") or by(lambda e: e.attrs.get("role") == "main") or by(lambda e: "content" in (e.attrs.get("class") or "").split())
-        or by(lambda e: e.attrs.get("id") == "content") or root.first("body")
-    )
+    box = content_box(list(tree(html).walk()))
     return re.sub(r"\n{3,}", "\n\n", _md(box)).strip() if box else ""
 
 
-def _md(e: Element, depth: int = 0, index: int | None = None) -> str:
-    if e.tag in ("script", "style", "noscript", "head", "img", "svg", "template"):
+def _md(root: Element) -> str:
+    """Insides first: a frame is (element, depth of lists, number in its list, kids left, parts, items so far)."""
+    done = ""
+    frames: list[list] = [[root, 0, None, iter(root.kids), [], 0]]
+    while frames:
+        frame = frames[-1]
+        e, depth, index, kids, parts, _ = frame
+        if e.tag not in _SILENT and e.tag != "pre":
+            for k in kids:
+                if k.__class__ is str:
+                    parts.append(re.sub(r"\s+", " ", k))
+                    continue
+                frame[5] += k.tag == "li"
+                frames.append([k, depth + (e.tag in ("ul", "ol")), frame[5] if e.tag == "ol" else None, iter(k.kids), [], 0])
+                break
+            if frames[-1] is not frame:
+                continue
+        frames.pop()
+        done = _md_of(e, depth, index, "".join(parts))
+        if frames:
+            frames[-1][4].append(done)
+    return done
+
+
+def _md_of(e: Element, depth: int, index: int | None, text: str) -> str:
+    if e.tag in _SILENT:
         return ""
     if e.tag == "pre":
         return "\n\n" + "\n".join("    " + x for x in "".join(e.strings()).strip("\n").split("\n")) + "\n\n"
-    inner, n = [], 0
-    for k in e.kids:
-        if isinstance(k, str):
-            inner.append(re.sub(r"\s+", " ", k))
-        else:
-            n += k.tag == "li"
-            inner.append(_md(k, depth + (e.tag in ("ul", "ol")), n if e.tag == "ol" else None))
-    text = "".join(inner)
     if re.fullmatch("h[1-6]", e.tag):
         return f"\n\n{'#' * int(e.tag[1])} {text.strip()}\n\n"
     if e.tag in ("b", "strong", "i", "em") and text.strip():
@@ -200,11 +330,53 @@ def _md(e: Element, depth: int = 0, index: int | None = None) -> str:
     return f"\n\n{text.strip()}\n\n" if e.tag in _BLOCKS else text
 
 
-def _each(fn):
-    return lambda s: pd.Series([None if x is None else fn(x) for x in s])
+FACTS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("title", "description", "og_title", "og_description", "text")]
+    + [T.StructField("nav", T.ArrayType(T.StringType())), T.StructField("visible", T.LongType()), T.StructField("needs_render", T.BooleanType()), T.StructField("hash", T.StringType())]
+)
+
+
+def page_facts(html: str) -> tuple:
+    """Values of :data:`FACTS`; what the fingerprint needs is read last, as it prunes the tree."""
+    root = tree(html)
+    elements = list(root.walk())
+    metas = [_meta(elements, a, n).strip() for a, n in (("name", "description"), ("property", "og:title"), ("property", "og:description"))]
+    before = (title(elements), *metas, main_text(root))
+    visible, render = visible_length(root), needs_render(html, root)
+    pruned = prune(root)
+    return (*before, nav_links(pruned), visible, render, hashlib.sha256(pruned_text(pruned).encode()).hexdigest())
+
+
+def _each(fn, *names: str):
+    """A function over a column of pages; each distinct page of a batch is read once, null stays null."""
+
+    def run(column: pd.Series) -> pd.Series:
+        known = {x: None if x is None else fn(x) for x in set(column)}
+        if names:
+            return pd.DataFrame([known[x] or (None,) * len(names) for x in column], columns=list(names), dtype=object)
+        return pd.Series([known[x] for x in column], dtype=object)
+
+    return run
 
 
+facts = F.pandas_udf(_each(page_facts, *FACTS.names), FACTS, F.PandasUDFType.SCALAR)
+semantic_hash = F.pandas_udf(_each(lambda x: hashlib.sha256(semantic_text(x).encode()).hexdigest()), T.StringType(), F.PandasUDFType.SCALAR)
+semantic_text_of = F.pandas_udf(_each(semantic_text), T.StringType(), F.PandasUDFType.SCALAR)
 markdown_of = F.pandas_udf(_each(markdown), T.StringType(), F.PandasUDFType.SCALAR)
-semantic_text_exact = F.pandas_udf(_each(semantic_text), T.StringType(), F.PandasUDFType.SCALAR)
-semantic_hash_exact = F.pandas_udf(_each(lambda x: hashlib.sha256(semantic_text(x).encode()).hexdigest()), T.StringType(), F.PandasUDFType.SCALAR)
-visible_length_exact = F.pandas_udf(_each(visible_length), T.LongType(), F.PandasUDFType.SCALAR)
+unescaped = F.pandas_udf(_each(unescape), T.StringType(), F.PandasUDFType.SCALAR)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("target", T.StringType())])))
+def links_of(url: pd.Series, html: pd.Series) -> pd.Series:
+    return pd.Series([[] if h is None else [{"href": a, "target": t} for a, t in link_targets(u, h)] for u, h in zip(url, html, strict=True)])
+
+
+@F.pandas_udf(T.StringType())
+def resolved(base: pd.Series, href: pd.Series) -> pd.Series:
+    return pd.Series([joined(b, h) for b, h in zip(base, href, strict=True)], dtype=object)
+
+
+def page_hash(html: str | Column) -> Column:
+    """Fingerprint of a page, '' for an empty one."""
+    h = F.col(html) if isinstance(html, str) else html
+    return F.when(h == "", "").otherwise(semantic_hash(h))

@@ -1,99 +1,30 @@
-"""HTML expressions by pattern, inside generated code.
-
-They match the lenient tree of ``functions.dom`` on pages without nested containers and
-without ``>`` inside attributes; the tree is the reference for all others.
-"""
+"""HTML expressions by pattern, for what is defined by a pattern; ``functions.dom`` reads the tree."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siteloom.functions.text import normal
-from siteloom.functions.url import _c, nav_href
-
-#: Elements that never carry content.
-NOISY = ("script", "style", "noscript", "iframe", "svg", "canvas", "video", "audio", "object")
-NOISY_VOID = ("source", "track", "embed")
-#: Phrases of pages that ask for scripts.
-SCRIPT_PHRASES = ("requires javascript", "javascript is required", "enable javascript", "please enable javascript", "you need to enable javascript")
-#: Entities decoded by pattern, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&nbsp;", " "), ("&#39;", "'"), ("&amp;", "&"))
+from siteloom.functions.dom import unescaped
+from siteloom.functions.url import _c
 
-NOISE = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in NOISY) + "|" + "|".join(rf"<{t}\b[^>]*>" for t in NOISY_VOID) + "|<!--.*?-->"
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
-def decoded(text: str | Column) -> Column:
-    out = _c(text)
-    for name, char in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
-
-
-def title(html: str | Column) -> Column:
-    return F.trim(decoded(F.regexp_extract(_c(html), TITLE, 1)))
+def stripped(text: str | Column) -> Column:
+    """Without white space of any script at both ends."""
+    return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
 
 
 def raw_title(html: str | Column) -> Column:
     """Title as written, entities and all, for drift."""
-    return F.trim(F.regexp_extract(_c(html), TITLE, 1))
+    return stripped(F.regexp_extract(_c(html), TITLE, 1))
 
 
 def checked_title(html: str | Column) -> Column:
     """Title of a checked address: no markup inside, 200 characters, then decoded; null if none."""
     found = F.regexp_extract(_c(html), r"(?i)<title[^>]*>([^<]+)</title>", 1)
-    return F.when(found != "", decoded(F.substring(F.trim(found), 1, 200)))
-
-
-def meta(html: str | Column, attribute: str, name: str) -> Column:
-    """Content of the first ``meta`` with ``attribute="name"``, whichever comes first; '' if none."""
-    h = _c(html)
-    n = name.replace(".", r"\.")
-    one = F.regexp_extract(h, rf'(?is)<meta\s[^>]*{attribute}="{n}"[^>]*content="([^"]*)"', 1)
-    two = F.regexp_extract(h, rf'(?is)<meta\s[^>]*content="([^"]*)"[^>]*{attribute}="{n}"', 1)
-    return F.trim(decoded(F.when(one != "", one).otherwise(two)))
-
-
-def without_noise(html: str | Column) -> Column:
-    return F.regexp_replace(_c(html), NOISE, "")
-
-
-def main_markup(html: str | Column) -> Column:
-    """Inside of the first ``main``, else ``article``, else ``body``."""
-    h = _c(html)
-    found = [F.regexp_extract(h, rf"(?is)<{t}\b[^>]*>(.*?)</{t}\s*>", 1) for t in ("main", "article", "body")]
-    return F.coalesce(*[F.when(x != "", x) for x in found], F.lit(""))
-
-
-def plain(markup: str | Column) -> Column:
-    """Text of markup: tags to spaces, entities decoded, white space to single spaces."""
-    return F.trim(F.regexp_replace(decoded(F.regexp_replace(_c(markup), "<[^>]*>", " ")), r"\s+", " "))
-
-
-def main_text(html: str | Column) -> Column:
-    return plain(main_markup(without_noise(html)))
-
-
-def visible_length(html: str | Column) -> Column:
-    body = F.regexp_extract(without_noise(html), r"(?is)<body\b[^>]*>(.*)", 1)
-    return F.length(plain(body)).cast("long")
-
-
-def needs_render(html: str | Column, least: int = 500) -> Column:
-    body = F.lower(F.regexp_extract(_c(html), r"(?is)<body\b[^>]*>(.*)", 1))
-    return (visible_length(html) < least) | body.rlike("|".join(SCRIPT_PHRASES))
-
-
-def hrefs(markup: str | Column) -> Column:
-    """All link targets in order."""
-    return F.regexp_extract_all(_c(markup), F.lit(r"""(?is)<a\s[^>]*href=["']([^"']*)["']"""), 1)
-
-
-def nav_links(html: str | Column, most: int = 20) -> Column:
-    """Cleaned links of the first ``nav``, distinct, in order, at most ``most``."""
-    nav = F.regexp_extract(_c(html), r"(?is)<nav\b[^>]*>(.*?)</nav\s*>", 1)
-    return F.slice(F.array_distinct(F.filter(F.transform(hrefs(nav), lambda h: nav_href(h)), lambda h: h.isNotNull())), 1, most)
+    return F.when(found != "", unescaped(F.substring(stripped(found), 1, 200)))
 
 
 def menu_targets(html: str | Column) -> Column:
@@ -101,24 +32,3 @@ def menu_targets(html: str | Column) -> Column:
     h = _c(html)
     nav, header = (F.regexp_extract(h, rf"(?is)<{t}[^>]*>(.*?)</{t}>", 1) for t in ("nav", "header"))
     return F.array_distinct(F.regexp_extract_all(F.when(nav != "", nav).otherwise(header), F.lit(r"""href=["']([^"'#]+)["']"""), 1))
-
-
-def semantic_text(html: str | Column, most: int = 10_000) -> Column:
-    """Lines that identify a page's meaning; absent parts have no line."""
-    h = _c(html)
-    clean = without_noise(h)
-    some = lambda label, x: F.when(x != "", F.concat(F.lit(label), x))
-    nav = F.array_join(nav_links(clean), ",")
-    return F.concat_ws(
-        "\n",
-        F.when(clean.rlike("(?i)<title"), F.concat(F.lit("TITLE:"), normal(title(clean)))),
-        some("DESC:", normal(meta(clean, "name", "description"))),
-        some("OG_TITLE:", normal(meta(clean, "property", "og:title"))),
-        some("OG_DESC:", normal(meta(clean, "property", "og:description"))),
-        some("CONTENT:", F.substring(normal(main_text(h)), 1, most)),
-        some("NAV:", nav),
-    )
-
-
-def semantic_hash(html: str | Column, most: int = 10_000) -> Column:
-    return F.sha2(semantic_text(html, most).cast("binary"), 256)

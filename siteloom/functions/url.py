@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 SKIP_CRAWL = ("/wp-admin", "/wp-content", "/wp-includes", "/cdn-cgi/", "/api/", "/_next/", ".pdf", ".jpg", ".jpeg", ".png", ".gif", ".svg", ".css", ".js", ".xml", ".json")
 SKIP_DISCOVERY = (*SKIP_CRAWL, ".ico", ".woff", ".woff2")
 
+#: Fixed value: what a domain name looks like.
+_DOMAIN = r"^([a-zA-Z0-9]([a-zA-Z0-9\-]*[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}$"
+
 _ORIGIN = r"^(https?://[^/?#]+)"
 _PATH = r"^https?://[^/?#]+([^?#;]*)"
 
@@ -60,7 +63,7 @@ def format_error(url: str | Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     netloc = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     domain = F.regexp_replace(F.lower(netloc), ":.*$", "")
-    valid = domain.rlike(r"^([a-zA-Z0-9]([a-zA-Z0-9\-]*[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}$") | (domain == "localhost")
+    valid = domain.rlike(_DOMAIN) | (domain == "localhost")
     return (
         F.when(~scheme.isin("http", "https"), "URL must use http:// or https://")
         .when(netloc == "", "URL must include a domain name")
@@ -68,25 +71,6 @@ def format_error(url: str | Column) -> Column:
     )
 
 
-def resolved(base: str | Column, href: str | Column) -> Column:
-    """Absolute form of a link: absolute, scheme-relative, root-relative, query, fragment or sibling.
-
-    Dot segments are left as written; ``operators.links.resolve_exact`` follows the RFC in full.
-    """
-    b, h = _c(base), _c(href)
-    origin = F.regexp_extract(b, _ORIGIN, 1)
-    scheme = F.regexp_extract(b, r"^(https?:)", 1)
-    page = F.regexp_extract(b, r"^([^?#]*)", 1)
-    folder = F.regexp_extract(b, r"^(https?://[^/?#]+(?:/[^?#]*/|/)?)", 1)
-    return (
-        F.when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme, h))
-        .when(h.startswith("/"), F.concat(origin, h))
-        .when(h.startswith("?"), F.concat(page, h))
-        .otherwise(F.concat(F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/"))), h))
-    )
-
-
 def is_link(href: str | Column) -> Column:
     h = _c(href)
     return (h != "") & ~h.rlike(r"^(javascript:|mailto:|tel:|#)")

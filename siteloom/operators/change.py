@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from siteloom.conf import CONF
 from siteloom.functions.html import menu_targets, raw_title
@@ -56,26 +59,43 @@ def regeneration(counts: DataFrame) -> DataFrame:
     return counts.select("site", rules.alias("reason")).select("site", (~c("reason").isin("no_curated", "within")).alias("full"), "reason")
 
 
-def diff_share(pairs: DataFrame, id_cols: tuple[str, ...] = ("page_id",), most: int = CONF.diff_chars) -> DataFrame:
-    """``(*id_cols, diff)``: percentage of change between ``old`` and ``new``.
+@F.pandas_udf(LongType())
+def _common(old: pd.Series, new: pd.Series) -> pd.Series:
+    """How many characters the two have in common, order aside."""
+
+    def counts(text: str, top: int) -> np.ndarray:
+        return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), minlength=top)
+
+    def one(a: str | None, b: str | None) -> int | None:
+        if a is None or b is None:
+            return None
+        top = max(map(ord, max(a, default="\0") + max(b, default="\0"))) + 1
+        return int(np.minimum(counts(a, top), counts(b, top)).sum())
+
+    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)], dtype="Int64")
+
 
-    Very unlike lengths decide alone. Otherwise both sides' first ``most`` characters
-    are counted by character, map-side, and the common ones make up the likeness.
+def diff_percent(old: str = "old", new: str = "new", most: int = CONF.diff_chars) -> Column:
+    """Percentage of change between two texts.
+
+    Very unlike lengths decide alone. Otherwise both sides' first ``most`` characters are
+    counted, and the common ones make up the likeness.
     """
-    o, n = F.length("old"), F.length("new")
-    ratio = F.least(o, n) / F.greatest(o, n)
-    simple = (
+    o, n = F.length(old), F.length(new)
+    ratio = F.least(o, n) / F.greatest(o, n, F.lit(1))
+    a, b = F.substring(old, 1, most), F.substring(new, 1, most)
+    both = F.greatest(F.length(a) + F.length(b), F.lit(1))
+    return (
         F.when((o == 0) & (n == 0), F.lit(0.0))
         .when((o == 0) | (n == 0), F.lit(100.0))
         .when(ratio < 0.5, (1 - ratio) * 100)
+        .otherwise((1 - 2.0 * _common(a, b) / both) * 100)
     )
-    rated = pairs.select(*id_cols, "old", "new", simple.alias("simple"))
-    easy = rated.where("simple IS NOT NULL").select(*id_cols, F.col("simple").alias("diff"))
-    hard = rated.where("simple IS NULL").select(*id_cols, F.substring("old", 1, most).alias("a"), F.substring("new", 1, most).alias("b"))
-    side = lambda c, x, y: hard.select(*id_cols, F.explode(F.split(c, "")).alias("char"), F.lit(x).alias("x"), F.lit(y).alias("y"))
-    each = side("a", 1, 0).union(side("b", 0, 1)).where("char <> ''").groupBy(*id_cols, "char").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    total = each.groupBy(*id_cols).agg(F.sum(F.least("x", "y")).alias("m"), F.sum(F.col("x") + F.col("y")).alias("n"))
-    return easy.union(total.select(*id_cols, (1 - 2.0 * F.col("m") / F.col("n")) * 100))
+
+
+def diff_share(pairs: DataFrame, id_cols: tuple[str, ...] = ("page_id",), most: int = CONF.diff_chars) -> DataFrame:
+    """``(*id_cols, diff)``: percentage of change between ``old`` and ``new``, without a shuffle."""
+    return pairs.select(*id_cols, diff_percent("old", "new", most).alias("diff"))
 
 
 def title_changed(old: str, new: str) -> Column:
@@ -97,7 +117,7 @@ def length_changed(old: str, new: str) -> Column:
 
 def drift_scores(pairs: DataFrame, id_cols: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """``(*id_cols, score)`` 0 to 100 of pairs ``(old, new)``; an empty side scores 0."""
-    found = pairs.join(diff_share(pairs, id_cols), list(id_cols))
+    found = pairs.withColumn("diff", diff_percent())
     points = (
         F.least(F.lit(40.0), F.col("diff") * 0.4)
         + F.when(title_changed("old", "new"), 20).otherwise(0)

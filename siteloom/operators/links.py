@@ -2,35 +2,20 @@
 
 from __future__ import annotations
 
-from urllib.parse import urljoin
+from itertools import count
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from siteloom.functions.html import hrefs
-from siteloom.functions.url import SKIP_CRAWL, host, is_link, is_skipped, page_key, resolved
+from siteloom.functions.dom import links_of
+from siteloom.functions.url import SKIP_CRAWL, host, is_link, is_skipped, page_key
 from siteloom.storage import cut
 
 
-@F.pandas_udf(StringType())
-def resolve_exact(base: pd.Series, href: pd.Series) -> pd.Series:
-    """RFC 3986 resolution with dot segments; null where either side is no URL."""
-
-    def one(b: str | None, h: str | None) -> str | None:
-        try:
-            return None if b is None or h is None else urljoin(b, h)
-        except ValueError:
-            return None
-
-    return pd.Series([one(b, h) for b, h in zip(base, href, strict=True)])
-
-
 def page_links(pages: DataFrame) -> DataFrame:
-    """``(page_id, url, ord, href, target)`` of every link of every page, in order."""
-    found = pages.select("page_id", "url", F.posexplode(hrefs("html")).alias("ord", "href"))
-    return found.withColumn("target", resolved("url", "href"))
+    """``(page_id, url, ord, href, target)`` of every link of every page, decoded and resolved, in order."""
+    found = pages.select("page_id", "url", F.posexplode(links_of("url", "html")).alias("ord", "link"))
+    return found.select("page_id", "url", "ord", "link.href", "link.target")
 
 
 def site_links(links: DataFrame, skip: tuple[str, ...] = SKIP_CRAWL) -> DataFrame:
@@ -45,20 +30,46 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.sum("o").cast("long").alias("n_out"), F.sum("i").cast("long").alias("n_in"))
 
 
-def frontier(edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def frontier(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
     """``(site, node, depth)``: breadth-first from ``seeds (site, node)`` over ``edges (site, src, dst)``.
 
     All sites advance together, one level a round; the visited set is a checkpoint, so a
-    round reads tables, not the rounds before it. Stops when a level is empty.
+    round reads tables, not the rounds before it. Stops when a level is empty. With
+    ``most``, a site stops at so many nodes, by depth, then by name.
     """
-    visited = level = cut(seeds.select("site", "node").distinct().withColumn("depth", F.lit(0).cast("long")))
-    for depth in range(1, max_depth + 1):
+
+    def budgeted(level: DataFrame, visited: DataFrame | None) -> DataFrame:
+        if most is None:
+            return level
+        rank = F.row_number().over(Window.partitionBy("site").orderBy("node"))
+        ranked = level.withColumn("_rank", rank)
+        if visited is None:
+            return ranked.where(F.col("_rank") <= most).drop("_rank")
+        held = visited.groupBy("site").agg(F.count("*").alias("_held"))
+        return ranked.join(held, "site").where(F.col("_held") + F.col("_rank") <= most).drop("_rank", "_held")
+
+    visited = level = cut(budgeted(seeds.select("site", "node").distinct().withColumn("depth", F.lit(0).cast("long")), None))
+    for depth in count(1):
         step = level.join(edges, (edges["site"] == level["site"]) & (edges["src"] == level["node"])).select(level["site"], F.col("dst").alias("node"))
-        level = cut(step.distinct().join(visited, ["site", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
+        fresh = step.distinct().join(visited, ["site", "node"], "left_anti").withColumn("depth", F.lit(depth).cast("long"))
+        level = cut(budgeted(fresh, visited))
         if level.isEmpty():
-            break
+            return visited
         visited = cut(visited.union(level))
-    return visited
+
+
+def crawl(pages: DataFrame, seeds: DataFrame, most: int, skip: tuple[str, ...] = SKIP_CRAWL) -> DataFrame:
+    """``(site, node, depth)`` of the pages that a crawl from ``seeds (url)`` reaches by their own links.
+
+    A node is a page's normal form. Only links within the site to pages that exist are
+    followed; pages of one form are one node with the links of all. A site stops at
+    ``most`` pages.
+    """
+    here = pages.select(host("url").alias("site"), page_key("url").alias("node")).distinct()
+    found = site_links(page_links(pages), skip).select(host("url").alias("site"), page_key("url").alias("src"), page_key("target").alias("dst")).distinct()
+    edges = cut(found.join(here, (found["site"] == here["site"]) & (found["dst"] == here["node"]), "left_semi"))
+    start = seeds.select(host("url").alias("site"), page_key("url").alias("node"))
+    return frontier(edges, start.join(here, ["site", "node"], "left_semi"), most)
 
 
 def within_budget(visited: DataFrame, most: int) -> DataFrame:

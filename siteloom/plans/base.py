@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.functions.html import semantic_hash
+from siteloom.functions.dom import page_hash
 from siteloom.functions.url import host, inventory_key
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,7 +55,7 @@ def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hashed(df: DataFrame) -> DataFrame:
     """With the fingerprint in place of the markup; '' for an empty page."""
-    return df.withColumn("hash", F.when(F.col("html") == "", "").otherwise(semantic_hash("html"))).drop("html")
+    return df.withColumn("hash", page_hash("html")).drop("html")
 
 
 HOST = "regexp_extract(url, '^https?://([^/?#]+)', 1)"

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.functions.html import title
+from siteloom.functions.dom import facts
 from siteloom.functions.text import content_hash, unfenced
-from siteloom.functions.url import inventory_key
+from siteloom.functions.url import host, inventory_key
 from siteloom.operators import change, curate, digest, versions
 from siteloom.operators.links import section_of
-from siteloom.plans.base import HOST, KEY, SNAPSHOTS, curated, hashed, new_snapshot, old_snapshot, pages, query, sql_hash, sql_title, table
+from siteloom.plans.base import HOST, KEY, SNAPSHOTS, curated, hashed, new_snapshot, old_snapshot, pages, query, sql_clean, sql_hash, sql_main, sql_title, table
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 _SEG = "regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1)"
@@ -225,7 +225,7 @@ def sectioned(spark, d):
     """Pages with a section by language: three standard ones and one of the site's own."""
     seg = section_of("url")
     name = F.when(seg == "en", "Resources").when(seg == "es", "Solutions").when(seg == "de", "Guides").when(seg == "fr", "Company").otherwise("Other")
-    return pages(spark, d).select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site"), "url", title("html").alias("title"), name.alias("section"), seg.alias("category"))
+    return pages(spark, d).select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site"), "url", facts("html")["title"].alias("title"), name.alias("section"), seg.alias("category"))
 
 
 @query("section_hash", f"WITH {_SORTED}, h AS (SELECT sp.*, sha256(html) AS hash FROM sp JOIN pages USING (page_id)) SELECT site, section, sha256(string_agg(hash, '|' ORDER BY h.url, hash)) AS hash FROM h GROUP BY ALL")
@@ -305,17 +305,17 @@ def relevance_rules(spark, d):
     return curate.kept_by_replies(batched, curate.replies(batched)).select("page_id")
 
 
-_TEXTS = f"tx AS (SELECT page_id, {HOST} AS site, url, {sql_title('html')} AS title, (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) AS n FROM pages)"
+_TEXTS = f"tx AS (SELECT page_id, {HOST} AS site, url, {sql_title('html')} AS title, {sql_main(sql_clean('html'))} AS text, (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) AS n FROM pages)"
 
 
 @query("prompt_pages", f"""WITH {_TEXTS} SELECT site, n // 25 AS batch, string_agg((n % 25 + 1) || '. URL: ' || url || chr(10) || '   Title: ' || CASE WHEN title = '' THEN 'Untitled' ELSE title END || chr(10)
-    || CASE WHEN length(trim(title)) > 50 THEN '   Content:' || chr(10) || CASE WHEN length(title) > 2000 THEN trim(substring(title, 1, 2000)) || '...' ELSE trim(title) END || chr(10) WHEN title = '' THEN '   Content: [EMPTY PAGE - NO CONTENT]' || chr(10) ELSE '' END, chr(10) ORDER BY n) AS prompt FROM tx GROUP BY ALL""")
+    || CASE WHEN length(trim(text)) > 50 THEN '   Content:' || chr(10) || CASE WHEN length(text) > 2000 THEN trim(substring(text, 1, 2000)) || '...' ELSE trim(text) END || chr(10) WHEN text = '' THEN '   Content: [EMPTY PAGE - NO CONTENT]' || chr(10) ELSE '' END, chr(10) ORDER BY n) AS prompt FROM tx GROUP BY ALL""")
 def prompt_pages(spark, d):
     from pyspark.sql import Window
 
-    n = F.row_number().over(Window.partitionBy("site").orderBy("page_id")) - 1
-    rows = sectioned(spark, d).withColumn("i", n).withColumn("batch", F.floor(F.col("i") / 25).cast("long"))
-    entries = rows.select("site", "batch", F.col("i").alias("n"), curate.page_entry(F.col("i") % 25 + 1, "url", "title", "title").alias("entry"))
+    page = pages(spark, d).select("page_id", host("url").alias("site"), "url", facts("html").alias("page")).select("page_id", "site", "url", "page.title", "page.text")
+    rows = page.withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("page_id")) - 1).withColumn("batch", F.floor(F.col("i") / 25).cast("long"))
+    entries = rows.select("site", "batch", F.col("i").alias("n"), curate.page_entry(F.col("i") % 25 + 1, "url", "title", "text").alias("entry"))
     return curate.prompts(entries)
 
 

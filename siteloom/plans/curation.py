@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteloom import api
-from siteloom.functions.html import main_text
+from siteloom.functions.dom import facts
 from siteloom.operators import curate, providers, schedule
 from siteloom.plans.base import HOST, SNAPSHOTS, pages, query, sql_clean, sql_main, sql_title, table
 from siteloom.plans.changes import _PAIRS, _pairs, sectioned
@@ -31,7 +31,7 @@ def curate_pages(spark, d):
 
 
 def _batched(spark, d):
-    text = pages(spark, d).select("page_id", main_text("html").alias("text"))
+    text = pages(spark, d).select("page_id", facts("html")["text"].alias("text"))
     return curate.batches(sectioned(spark, d).join(text, "page_id"))
 
 

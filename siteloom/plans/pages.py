@@ -67,12 +67,12 @@ def url_autoprefix(spark, d):
       ELSE rtrim(folder, '/') || '/' || href END AS target FROM f""")
 def url_resolve(spark, d):
     hrefs = F.explode(F.array(*map(F.lit, ("x", "?q=1", "//o.org/z", "/r", "http://e.org/")))).alias("href")
-    return pages(spark, d).select("page_id", "url", hrefs).select("page_id", "href", url.resolved("url", "href").alias("target"))
+    return pages(spark, d).select("page_id", "url", hrefs).select("page_id", "href", dom.resolved("url", "href").alias("target"))
 
 
 @query("page_title", f"SELECT page_id, {sql_title('html')} AS title FROM pages")
 def page_title(spark, d):
-    return pages(spark, d).select("page_id", html.title("html").alias("title"))
+    return pages(spark, d).select("page_id", dom.facts("html")["title"].alias("title"))
 
 
 _CHECKED = "regexp_extract(html, '(?i)<title[^>]*>([^<]+)</title>', 1)"
@@ -85,7 +85,7 @@ def page_title_validator(spark, d):
 
 @query("page_main_text", f"SELECT page_id, {sql_main(sql_clean('html'))} AS text FROM pages")
 def page_main_text(spark, d):
-    return pages(spark, d).select("page_id", html.main_text("html").alias("text"))
+    return pages(spark, d).select("page_id", dom.facts("html")["text"].alias("text"))
 
 
 _VISIBLE = f"length({sql_plain(f"regexp_extract({sql_clean('html')}, '(?is)<body\\b[^>]*>(.*)', 1)")})"
@@ -93,28 +93,28 @@ _VISIBLE = f"length({sql_plain(f"regexp_extract({sql_clean('html')}, '(?is)<body
 
 @query("page_visible_len", f"SELECT page_id, CAST({_VISIBLE} AS BIGINT) AS n FROM pages")
 def page_visible_len(spark, d):
-    return pages(spark, d).select("page_id", html.visible_length("html").alias("n"))
+    return pages(spark, d).select("page_id", dom.facts("html")["visible"].alias("n"))
 
 
-@query("needs_render", f"SELECT page_id, {_VISIBLE} < 500 OR regexp_matches(lower(regexp_extract(html, '(?is)<body\\b[^>]*>(.*)', 1)), '{'|'.join(html.SCRIPT_PHRASES)}') AS needs_render FROM pages")
+@query("needs_render", f"SELECT page_id, {_VISIBLE} < 500 OR regexp_matches(lower(regexp_extract(html, '(?is)<body\\b[^>]*>(.*)', 1)), '{'|'.join(dom.SCRIPT_PHRASES)}') AS needs_render FROM pages")
 def needs_render(spark, d):
-    return pages(spark, d).select("page_id", html.needs_render("html").alias("needs_render"))
+    return pages(spark, d).select("page_id", dom.facts("html")["needs_render"].alias("needs_render"))
 
 
 @query("page_content_hash", f"SELECT page_id, CASE WHEN {sql_main(sql_clean('html'))} <> '' THEN sha256({sql_main(sql_clean('html'))}) ELSE '' END AS hash FROM pages")
 def page_content_hash(spark, d):
-    return pages(spark, d).select("page_id", text.content_hash(html.main_text("html")).alias("hash"))
+    return pages(spark, d).select("page_id", text.content_hash(dom.facts("html")["text"]).alias("hash"))
 
 
 @query("page_fingerprint", f"SELECT page_id, {sql_hash()} AS hash FROM pages")
 def page_fingerprint(spark, d):
-    return pages(spark, d).select("page_id", html.semantic_hash("html").alias("hash"))
+    return pages(spark, d).select("page_id", dom.page_hash("html").alias("hash"))
 
 
 @query("page_fingerprint_exact", f"SELECT page_id, {sql_hash()} AS hash FROM pages")
 def page_fingerprint_exact(spark, d):
-    """By the tree; the page table holds nothing that patterns read otherwise."""
-    return pages(spark, d).select("page_id", dom.semantic_hash_exact("html").alias("hash"))
+    """Of the lines themselves, for the pages of which no one is empty."""
+    return pages(spark, d).select("page_id", F.sha2(dom.semantic_text_of("html").cast("binary"), 256).alias("hash"))
 
 
 @query("page_markdown")
@@ -132,12 +132,12 @@ def _with_head(spark, d):
 
 @query("page_meta_description", "SELECT page_id, CASE WHEN contains(html, '<head>') THEN 'About & more' ELSE '' END AS description FROM pages")
 def page_meta_description(spark, d):
-    return _with_head(spark, d).select("page_id", html.meta("html", "name", "description").alias("description"))
+    return _with_head(spark, d).select("page_id", dom.facts("html")["description"].alias("description"))
 
 
 @query("page_og", "SELECT page_id, CASE WHEN contains(html, '<head>') THEN 'OG' ELSE '' END AS og_title, CASE WHEN contains(html, '<head>') THEN 'Og <d>' ELSE '' END AS og_description FROM pages")
 def page_og(spark, d):
-    return _with_head(spark, d).select("page_id", html.meta("html", "property", "og:title").alias("og_title"), html.meta("html", "property", "og:description").alias("og_description"))
+    return _with_head(spark, d).select("page_id", dom.facts("html")["og_title"].alias("og_title"), dom.facts("html")["og_description"].alias("og_description"))
 
 
 _LINKS = """l AS (SELECT page_id, url, unnest(found) AS href, generate_subscripts(found, 1) - 1 AS ord FROM (SELECT page_id, url, regexp_extract_all(html, '(?is)<a\\s[^>]*href=["'']([^"'']*)["'']', 1) AS found FROM pages)),
@@ -161,7 +161,7 @@ def page_links_filtered(spark, d):
 
 @query("nav_links", f"SELECT page_id, {sql_nav('html')} AS links FROM pages")
 def nav_links(spark, d):
-    return pages(spark, d).select("page_id", F.array_join(html.nav_links("html"), ",").alias("links"))
+    return pages(spark, d).select("page_id", F.array_join(dom.facts("html")["nav"], ",").alias("links"))
 
 
 _SUFFIXES = ("", ".PDF", "/node.js-guide", "/api/x", "/f.woff2", "/favicon.ico", "?x=.css")
@@ -195,6 +195,40 @@ def crawl_frontier(spark, d):
     return links.frontier(edges, nodes.where("node = 1"))
 
 
+_FOLDER = "regexp_extract(url, '^(https?://[^/?#]+(?:/[^?#]*/|/)?)', 1)"
+_ODD_LINKS = """<a href=../y>1</a><A class=x HREF='./z?a=1&amp;b=2'>2</A><a href="?q=&quot;">3</a><a href="//o.org/a/../b">4</a><a name=x>5</a><a href="">6</a>"""
+
+
+@query("page_links_odd", f"""WITH f AS (SELECT page_id, url, CASE WHEN {_FOLDER} LIKE '%/' AND {_FOLDER} NOT LIKE '%://' THEN {_FOLDER} ELSE {_FOLDER} || '/' END AS folder FROM pages),
+    g AS (SELECT *, CASE WHEN regexp_matches(folder, '^https?://[^/]+/$') THEN folder ELSE regexp_replace(folder, '[^/]+/$', '') END AS parent FROM f)
+    SELECT page_id, unnest(['../y', './z?a=1&b=2', '?q="', '//o.org/a/../b', '']) AS href,
+      unnest([parent || 'y', folder || 'z?a=1&b=2', regexp_extract(url, '^([^?#]*)', 1) || '?q="', regexp_extract(url, '^(https?:)', 1) || '//o.org/a/../b', regexp_extract(url, '^([^#]*)', 1)]) AS target FROM g""")
+def page_links_odd(spark, d):
+    """Links without quotes, with references, dot segments or nothing in them, in place of each page's own."""
+    odd = pages(spark, d).select("page_id", "url", F.lit(f"<body><!-- <a href=no> --><script>'<a href=no>'</script>{_ODD_LINKS}</body>").alias("html"))
+    found = links.page_links(odd)
+    return found.select("page_id", "href", F.when(F.col("href") == "", F.regexp_extract("target", "^([^#]*)", 1)).otherwise(F.col("target")).alias("target"))
+
+
+_BUDGET = 20
+
+
+@query("crawl_budget", f"""WITH RECURSIVE k AS (SELECT DISTINCT {HOST} AS site, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1) || coalesce(nullif(rtrim({_PATH}, '/'), ''), '/')) AS node FROM pages),
+    n AS (SELECT site, node, row_number() OVER (PARTITION BY site ORDER BY node) AS i FROM k),
+    r AS (SELECT site, node, i, 0 AS depth FROM n WHERE i = 1 UNION ALL SELECT n.site, n.node, n.i, r.depth + 1 FROM r JOIN n ON n.site = r.site AND n.i // 3 = r.i AND n.i % 3 < 2)
+    SELECT site, node, CAST(depth AS BIGINT) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, node) AS place FROM r) WHERE place <= {_BUDGET}""")
+def crawl_budget(spark, d):
+    """A crawl by links inside the pages; each page gets links to two others of its site, and some that a crawl leaves."""
+    from pyspark.sql import Window
+
+    keys = pages(spark, d).select(url.host("url").alias("site"), url.page_key("url").alias("node")).distinct()
+    numbered = keys.withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("node")))
+    to = F.concat(F.lit('<a href="'), F.col("node"), F.lit('?from=1&amp;x#top">n</a><a href="mailto:a@b.c">m</a><a href="http://elsewhere.org/">o</a>'))
+    inside = numbered.where("i % 3 < 2 AND i >= 3").select("site", F.expr("i div 3").alias("i"), to.alias("link")).groupBy("site", "i").agg(F.array_join(F.array_sort(F.collect_list("link")), "").alias("links"))
+    made = numbered.join(inside, ["site", "i"], "left").select(F.col("i").alias("page_id"), F.col("node").alias("url"), F.coalesce("links", F.lit("")).alias("html"), "i")
+    return links.crawl(made, made.where("i = 1"), _BUDGET)
+
+
 @query("batch_scrape", f"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1) || coalesce(nullif(rtrim({_PATH}, '/'), ''), '/')) AS key FROM pages)
     SELECT page_id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY page_id) AS n FROM p WHERE key IN (SELECT key FROM p WHERE url LIKE '%#top')) WHERE n = 1""")
 def batch_scrape(spark, d):

@@ -25,15 +25,15 @@ def entries(documents: DataFrame, xml: str = "xml") -> DataFrame:
     return found.select(*rest, "kind", "ord", F.trim("e.loc").alias("loc"), F.trim("e.lastmod").alias("lastmod")).where("loc IS NOT NULL AND loc <> ''")
 
 
-def urls(documents: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
+def urls(documents: DataFrame, roots: DataFrame) -> DataFrame:
     """``(root, loc, lastmod)`` reached from ``roots (root)`` over documents ``(address, xml)``.
 
-    Index files are followed level by level; each is read once a root, so cycles end. Of
-    repeated locations the last one's date counts.
+    Index files are followed level by level, however deep; each is read once a root, so
+    cycles end. Of repeated locations the last one's date counts.
     """
     links = cut(entries(documents))
     seen = level = roots.select("root", F.col("root").alias("address"))
-    for _ in range(max_depth):
+    while True:
         level = level.join(links.where("kind = 'sitemap'"), "address").select("root", F.col("loc").alias("address")).distinct()
         level = cut(level.join(seen, ["root", "address"], "left_anti"))
         if level.isEmpty():

@@ -1,6 +1,7 @@
 """Rules against plain-Python models, boundaries and hand-made pages."""
 
 import difflib
+import hashlib
 import html as html_lib
 from urllib.parse import urljoin
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import dom, html, text, timefmt, url
 from siteloom.operators import change, curate, digest, links, schedule
+from siteloom.sources import sitemap
 
 
 def one(spark, *columns):
@@ -29,13 +31,35 @@ def test_format_errors(spark):
     assert got == want
 
 
-def test_resolution_matches_the_library_without_dots(spark):
-    cases = [(b, h) for b in ("http://h/a/b?x=1#f", "http://h", "https://h/a/") for h in ("c", "/r", "?q=2", "//o/z", "http://e/", "mailto:x@y")]
-    df = spark.createDataFrame(cases, "b string, h string").select("b", "h", url.resolved("b", "h").alias("r"), links.resolve_exact("b", "h").alias("x"))
-    for b, h, r, x in df.collect():
-        assert x == urljoin(b, h)
-        assert r == x or (b == "http://h" and h.startswith("?"))
-    assert spark.createDataFrame([("http://h/a/b/c", "../d")], "b string, h string").select(links.resolve_exact("b", "h")).first()[0] == "http://h/a/d"
+def test_resolution_matches_the_library(spark):
+    cases = [(b, h) for b in ("http://h/a/b?x=1#f", "http://h", "https://h/a/") for h in ("c", "/r", "?q=2", "//o/z", "http://e/", "mailto:x@y", "../d", "./e/../f", "", "#g")]
+    df = spark.createDataFrame(cases, "b string, h string").select("b", "h", dom.resolved("b", "h").alias("x"))
+    assert [r.x for r in df.collect()] == [urljoin(b, h) for b, h in cases]
+    odd = spark.createDataFrame([("http://[h/", "x"), (None, "x"), ("http://h", None)], "b string, h string")
+    assert [r[0] for r in odd.select(dom.resolved("b", "h")).collect()] == [None, None, None]
+
+
+def test_links_are_decoded_and_unquoted():
+    page = """<a href=../y>1</a><A HREF='./z?a=1&amp;b=2' class=x>2</A><!-- <a href=no> --><script>"<a href=no>"</script><a name=x>3</a><a href>4</a><a href="">5</a><a title="a>b" href="/q">"""
+    assert dom.link_targets("http://h/a/b/c", page) == [("../y", "http://h/a/y"), ("./z?a=1&b=2", "http://h/a/b/z?a=1&b=2"), ("", "http://h/a/b/c"), ("/q", "http://h/q")]
+
+
+def test_crawl_follows_links_in_pages(spark):
+    page = lambda *to: "".join(f'<a href="{t}">x</a>' for t in to)
+    chain = [(f"http://h/{i}", page(f"./{i + 1}?a&amp;b#c", "/x.pdf", "http://o/0")) for i in range(60)]
+    rows = [*chain, ("http://h/60", ""), ("http://h/x.pdf", ""), ("http://o/0", page("//o/1", "2/")), ("http://o/1", page("/0")), ("http://o/2", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, url string, html string")
+    seeds = spark.createDataFrame([("http://h/0",), ("http://o/0",), ("http://gone/",)], "url string")
+    found = {(r.node, r.depth) for r in links.crawl(df, seeds, 1000).collect()}
+    assert found == {(f"http://h/{i}", i) for i in range(61)} | {("http://o/0", 0), ("http://o/1", 1), ("http://o/2", 1)}
+    assert {(r.node, r.depth) for r in links.crawl(df, seeds, 2).collect()} == {("http://h/0", 0), ("http://h/1", 1), ("http://o/0", 0), ("http://o/1", 1)}
+
+
+def test_sitemaps_of_any_depth(spark):
+    index = lambda to: f"<sitemapindex><sitemap><loc>{to}</loc></sitemap></sitemapindex>"
+    docs = [(str(i), index(i + 1)) for i in range(8)] + [("8", "<urlset><url><loc>http://h/p</loc></url></urlset>")]
+    found = sitemap.urls(spark.createDataFrame(docs, "address string, xml string"), spark.createDataFrame([("0",)], "root string"))
+    assert [(r.root, r.loc) for r in found.collect()] == [("0", "http://h/p")]
 
 
 def test_skip_rules_are_substrings(spark):
@@ -43,17 +67,41 @@ def test_skip_rules_are_substrings(spark):
     assert got == (True, False, True, True)
 
 
-PAGES = {
-    "full": '<html><head><title> A &amp; B </title><meta name="description" content="D"><meta property="og:title" content="O"><meta property="og:description" content="P"></head><body><nav><a href="/x/?q=1">x</a><a href="#a">a</a><a href="/x">y</a></nav><main><p>Hello  <b>World</b></p></main></body></html>',
-    "noise": '<html><head><title>T</title></head><body><article><p>Keep</p><script>no()</script><style>p{}</style><!-- no --></article></body></html>',
-    "bare": "<html><head><title>T</title></head><body><p>x</p></body></html>",
-}
+#: Pages and their lines, worked out by hand from the rules.
+PAGES = [
+    ('<html><head><title> A &amp; B </title><meta content=" D  d " name=description><meta property="og:title" content="O"><meta property="og:description" content="P"></head><body><nav><a href="/x/?q=1">x</a><a href="#a">a</a><a href="/x">y</a></nav><main><p>Hello  <b>World</b></p></main></body></html>',
+     "TITLE:a & b\nDESC:d d\nOG_TITLE:o\nOG_DESC:p\nCONTENT:hello world\nNAV:/x"),
+    ("<html><head><title>T</title></head><body><article><p>Keep</p><script>no()</script><style>p{}</style><!-- no --></article></body></html>", "TITLE:t\nCONTENT:keep"),
+    ("<title>\n T \n</title><body><div class='my cookie-banner'>a<div>b</div></div><p>x</p></body>", "TITLE:t\nCONTENT:x"),
+    ("<title></title><body><main>a<div><main>b</main>c</div>d</main>e</body>", "TITLE:\nCONTENT:a b c d"),
+    ("<body><div role=main>r</div><p>z&eacute;&hellip;</p></body>", "CONTENT:r z\u00e9\u2026"),
+    ("<body><p>z</p><div id=main>m</div><div class='a content b'>c</div></body>", "CONTENT:m"),
+    ("<body><header><a href='/h/'>h</a></header><p>z</p><nav><a href=/n>n</a><a href='javascript:x'>j</a><a href='/h'>h</a></nav></body>", "CONTENT:h z n j h\nNAV:/h,/n"),
+    ("<p>no body</p>", ""),
+    ("", ""),
+]
+
+
+def test_fingerprint_lines(spark):
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(PAGES)] + [(99, None)], "i int, html string")
+    got = {r.i: (r.t, r.h, r.f) for r in df.select("i", dom.semantic_text_of("html").alias("t"), dom.page_hash("html").alias("h"), dom.facts("html")["hash"].alias("f")).collect()}
+    for i, (page, lines) in enumerate(PAGES):
+        digest = hashlib.sha256(lines.encode()).hexdigest()
+        assert got[i] == (lines, digest if page else "", digest)
+    assert got[99] == (None, None, None)
+
+
+def test_facts(spark):
+    page = "<title>\n T &amp; u\n</title><meta name='description' content=' D '><body>direct<div role=main>r<script>s</script> <i class='modal'>m</i></div><p>z</p></body>"
+    got = spark.createDataFrame([(page,), (None,)], "html string").select(dom.facts("html").alias("f")).select("f.*").collect()
+    assert (got[0].title, got[0].description, got[0].og_title, got[0].text, got[0].visible, got[0].needs_render) == ("T & u", "D", "", "r m", len("r m z"), True)
+    assert got[1].title is None and got[1].hash is None
 
 
-def test_patterns_match_the_tree(spark):
-    df = spark.createDataFrame(list(PAGES.items()), "name string, html string")
-    for name, a, b in df.select("name", html.semantic_text("html"), dom.semantic_text_exact("html")).collect():
-        assert a == b, name
+def test_deep_nesting():
+    deep = "<div>" * 10_000 + "x" + "</div>" * 10_000
+    assert dom.semantic_text(f"<body>{deep}</body>") == "CONTENT:x"
+    assert dom.markdown(f"<body>{deep}</body>") == "x" and dom.page_facts(f"<body>{deep}</body>")[4] == "x"
 
 
 def test_tree_removes_boxes_that_patterns_keep():
@@ -70,7 +118,7 @@ def test_markdown():
 
 def test_render_boundary(spark):
     body = lambda n: f"<body><p>{'x' * n}</p></body>"
-    got = one(spark, html.needs_render(F.lit(body(499))), html.needs_render(F.lit(body(500))), html.needs_render(F.lit(body(600) + "Please enable JavaScript")))
+    got = one(spark, *[dom.facts(F.lit(x))["needs_render"] for x in (body(499), body(500), body(600) + "Please enable JavaScript")])
     assert got == (True, False, True)
     assert dom.needs_render(body(499)) and not dom.needs_render(body(500))
 
