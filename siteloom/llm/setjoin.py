@@ -154,13 +154,15 @@ class _Near:
 
     def pairs(self, at: int, stop: int, upto: int) -> tuple[np.ndarray, np.ndarray]:
         """Of rows ``at`` to ``stop`` with those before ``upto``."""
+        if not upto:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         n = (stop - at) * upto
         x, y, hit = self.apart[:n].reshape(-1, upto), self.count[:n].reshape(-1, upto), self.hit[:n].reshape(-1, upto)
         np.bitwise_xor(self.first[at:stop, None], self.first[None, :upto], out=x)
         np.bitwise_count(x, out=y)
         np.less_equal(y, self.most, out=hit)
         found = np.flatnonzero(self.hit[:n])
-        i = found // max(1, upto)
+        i = found // upto
         return at + i, found - i * upto
 
 

@@ -87,7 +87,7 @@ def test_dense_shards(monkeypatch):
     first = {(int(min(p)), int(max(p))) for p in zip(a, b, strict=True)}
     rows = at[left]
     more = set()
-    for center in (left, left % 7):  # nothing linked yet, then a few components
+    for center in (left, left % 7, left * 0):  # nothing linked yet, then a few components
         found = setjoin.pairs_between(left, center, x[rows], size[rows], np.zeros((len(rows), 16), np.uint64), search)
         more = {(int(min(p)), int(max(p))) for c, d in found for p in zip(c, d, strict=True)}
         apart = dict(zip(left.tolist(), center.tolist(), strict=True))
