@@ -51,14 +51,14 @@ def until_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
+def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` as a table in the shared folder, in a folder for each value of ``by``, and read it back.
 
     Cuts the lineage: what reads the result survives lost executors without
     recomputing ``df``, and several consumers share one computation.
     """
     path = new_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     until_exit(df.sparkSession, path)
     MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,12 +8,12 @@ number, or if all levels let it pass and their number is odd. Filters are arrays
 64-bit words that tasks read as scalar subqueries; no key is joined.
 
 A filter has at most ``MOST_WORDS`` words. More keys are dealt by hash over several
-cascades, each of which is applied in a pass over its share of the rows.
+cascades; keys and rows are shuffled by share once and stored in a folder for each, so a
+cascade reads its own share alone and the tables are read once, whatever the number.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path and, like any
-key, a listed or unlisted one; repeated rows are judged alike; very long URLs are keys
-like others; an empty table gives an empty result; other columns are not
-read.
+key, a listed or unlisted one; repeated rows are judged alike; very long URLs are keys like others; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from siteloom.llm.common import materialize, release
 
 #: Bits a key, hash functions, most 64-bit words of a filter (8 MB), most levels.
 BITS_PER_KEY, HASHES, MOST_WORDS, MOST_LEVELS = 12, 8, 1 << 20, 64
+#: Tasks that the rows of a share are dealt over at most.
+SALTS = 16
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -124,16 +126,24 @@ def with_membership(rows: DataFrame, listed: DataFrame, key: str = "key", most_w
     universe = materialize(found.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("listed").alias("listed")), "universe")
     most = universe.agg(F.count_if("listed").alias("a"), F.count_if(~F.col("listed")).alias("b")).first()
     shares = max(1, -(-max(most) * BITS_PER_KEY // (64 * most_words)))
-    part = lambda c: F.pmod(F.xxhash64(F.lit(-1), c), F.lit(shares))
+    if shares == 1:
+        return rows.withColumn("listed", _listed(cascade(universe), key))
+    share = lambda c: F.pmod(F.xxhash64(F.lit(-1), F.coalesce(c, F.lit(""))), F.lit(shares)).cast("int")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))  # a frequent key is one share, but many tasks
+    keys = materialize(universe.withColumn("_share", share("key")).repartition("_share"), "shares", "_share")
+    dealt = materialize(rows.withColumn("_share", share(key)).withColumn("_salt", salt).repartition("_share", "_salt").drop("_salt"), "dealt", "_share")
     out = None
     for i in range(shares):
-        levels = cascade(universe.where(part(F.col("key")) == i)) if shares > 1 else cascade(universe)
-        some = rows.where(part(F.coalesce(F.col(key), F.lit(""))) == i) if shares > 1 else rows
-        some = some.withColumn("listed", F.coalesce(F.col(key).isNotNull() & is_listed(levels, F.col(key)), F.lit(False)))
+        levels = cascade(keys.where(F.col("_share") == i).drop("_share"))
+        some = dealt.where(F.col("_share") == i).select(*rows.columns, _listed(levels, key).alias("listed"))
         out = some if out is None else out.union(some)
     return out
 
 
+def _listed(levels: list[Filter], key: str) -> Column:
+    return F.coalesce(F.col(key).isNotNull() & is_listed(levels, F.col(key)), F.lit(False))
+
+
 def judge_urls(df: DataFrame, listed: DataFrame, id_col: str = "page_id", url: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``(id, host, path, rule, verdict)`` of every row of ``df``, the id under its own name.
 
