@@ -37,6 +37,16 @@ def full_checks(sites: DataFrame, queue: DataFrame, now: Column, most: int) -> D
     return taken.select("site", F.when(F.col("status") == "ready", "crawl").otherwise("reschedule").alias("action"))
 
 
+def light_checks(sites: DataFrame, curated: DataFrame, queue: DataFrame, now: Column, most: int) -> DataFrame:
+    """``(site, action)`` of due sites: ``check`` if ready and any curated page ``(site, hash)`` has a
+    fingerprint, else why it is only scheduled again."""
+    marked = curated.where("hash IS NOT NULL AND hash <> ''").select("site").distinct().withColumn("_m", F.lit(True))
+    taken = schedule.due(queue, now, most).join(sites, "site", "left").join(marked, "site", "left")
+    ready = F.coalesce(F.col("status") == "ready", F.lit(False))
+    action = F.when(~ready, "not_ready").when(F.col("_m"), "check").otherwise("no_curated_pages_with_fingerprints")
+    return taken.select("site", action.alias("action"))
+
+
 def digest_history(stored: DataFrame, site: object) -> DataFrame:
     """Versions of a site's digest, newest first, without their content."""
     return stored.where(F.col("site") == F.lit(site)).drop("content").orderBy(F.desc("version"))

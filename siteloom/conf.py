@@ -24,6 +24,8 @@ class EngineConf:
     progress_ttl_seconds: int = 3600
     full_checks_per_run: int = 100
     light_checks_per_run: int = 500
+    light_run_seconds: int = 60
+    light_interval_seconds: int = 300
     empty_map_is_error: bool = True
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions.url import _c
 
+#: Fixed value: a link line of a digest.
 LINK = r"^-\s*\[([^\]]+)\]\(([^)]+)\)(?::\s*(.*))?$"
 
 
@@ -42,15 +43,25 @@ def unfenced(text: str | Column) -> Column:
 
 def line_kind(line: str | Column) -> Column:
     """Role of a document line by its first characters."""
-    t = F.trim(_c(line))
+    c = _c(line)
+    bare = F.trim(c)
     return (
-        F.when(t == "", "blank")
-        .when(t.startswith("### "), "h3")
-        .when(t.startswith("## "), "h2")
-        .when(t.startswith("# "), "h1")
-        .when(t.startswith("---"), "rule")
-        .when(t.startswith("> "), "quote")
-        .when(t.rlike(LINK), "link")
-        .when(t.startswith("- "), "bullet")
+        F.when(c.startswith("# "), "h1")
+        .when(c.startswith("### "), "h3")
+        .when(c.startswith("## "), "h2")
+        .when(bare == "---", "rule")
+        .when(c.startswith("> "), "quote")
+        .when(c.rlike(r"^- \[[^\]]+\]\([^)]+\)"), "link")
+        .when(c.startswith("- "), "bullet")
+        .when(bare == "", "blank")
         .otherwise("para")
     )
+
+
+def bold_parts(text: str | Column) -> Column:
+    """A line as an array of ``(bold, text)``, split at ``**x**``, empty parts left out."""
+    mark = F.lit("\u0001")
+    parts = F.split(F.regexp_replace(_c(text), r"\*\*[^*]+\*\*", F.concat(mark, F.lit("$0"), mark)), "\u0001")
+    bold = lambda p: p.startswith("**") & p.endswith("**")
+    shown = lambda p: F.when(bold(p), F.substring(p, F.lit(3), F.greatest(F.length(p) - 4, F.lit(0)))).otherwise(p)
+    return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(bold(p).alias("bold"), shown(p).alias("text")))

@@ -92,19 +92,17 @@ def parse_lines(docs: DataFrame, id_col: str = "site", content: str = "content")
     return lines.select(id_col, "n", "line", "s", part.alias("kind"), "section")
 
 
-def _joined(lines: DataFrame, keys: list[str], kind: str, name: str) -> DataFrame:
-    found = lines.where(F.col("kind") == kind).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("x"))
-    text = F.array_join(F.transform("x", lambda x: x["line"]), "\n")
-    return found.select(*keys, F.regexp_replace(text, r"^\s+|\s+$", "").alias(name))
+def _lines_of(kind: str) -> Column:
+    """The lines of a kind in a group, in order, as one text without white space at its ends."""
+    found = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "line"))))
+    return F.regexp_replace(F.array_join(F.transform(found, lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")
 
 
 def parsed_sections(lines: DataFrame, id_col: str = "site") -> DataFrame:
-    """``(id, section, name, prose, n_links)`` of each section in order."""
-    heads = lines.where("kind = 'section'").select(id_col, "section", F.trim(F.substring("s", 4, 1 << 30)).alias("name"))
-    prose = _joined(lines, [id_col, "section"], "prose", "prose")
-    counts = lines.where("kind = 'link'").groupBy(id_col, "section").agg(F.count("*").alias("n_links"))
-    out = heads.join(prose, [id_col, "section"], "left").join(counts, [id_col, "section"], "left")
-    return out.select(id_col, "section", "name", F.coalesce("prose", F.lit("")).alias("prose"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """``(id, section, name, prose, n_links)`` of each section in order, from one grouping."""
+    name = F.max(F.when(F.col("kind") == "section", F.trim(F.substring("s", 4, 1 << 30)))).alias("name")
+    found = lines.where("section > 0").groupBy(id_col, "section").agg(name, _lines_of("prose").alias("prose"), F.count_if(F.col("kind") == "link").alias("n_links"))
+    return found.where("name IS NOT NULL")
 
 
 def parsed_links(lines: DataFrame, id_col: str = "site") -> DataFrame:
@@ -114,10 +112,9 @@ def parsed_links(lines: DataFrame, id_col: str = "site") -> DataFrame:
 
 
 def parsed_overviews(lines: DataFrame, id_col: str = "site") -> DataFrame:
-    """``(id, title, tagline, overview)``."""
+    """``(id, title, tagline, overview)``, from one grouping."""
     line = lambda kind, skip: F.coalesce(F.max(F.when(F.col("kind") == kind, F.trim(F.substring("s", skip, 1 << 30)))), F.lit(""))
-    heads = lines.groupBy(id_col).agg(line("title", 3).alias("title"), line("tagline", 3).alias("tagline"))
-    return heads.join(_joined(lines, [id_col], "overview", "overview"), id_col, "left").withColumn("overview", F.coalesce("overview", F.lit("")))
+    return lines.groupBy(id_col).agg(line("title", 3).alias("title"), line("tagline", 3).alias("tagline"), _lines_of("overview").alias("overview"))
 
 
 def merge(lines: DataFrame, regenerated: DataFrame, unchanged: DataFrame, id_col: str = "site") -> DataFrame:

@@ -31,7 +31,36 @@ def stats(queue: DataFrame, now: Column) -> DataFrame:
 
 def stagger(site: Column, seconds: int) -> Column:
     """A spread of first runs over an interval, the same on every run."""
-    return F.pmod(F.xxhash64(site), F.lit(seconds + 1))
+    return F.pmod(F.conv(F.substring(F.md5(site.cast("string").cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(seconds + 1))
+
+
+def seeded(sites: DataFrame, now: Column, hours: int = CONF.interval_hours, light_seconds: int = CONF.light_interval_seconds) -> DataFrame:
+    """``(queue, site, run_at)``: first entries of all ready sites ``(site, status)`` in both queues.
+
+    Full checks are due after the default interval, light ones at a staggered time within theirs.
+    """
+    ready = sites.where("status = 'ready'").select("site").distinct()
+    start = F.unix_timestamp(now)
+    full = ready.select(F.lit("full").alias("queue"), "site", F.timestamp_seconds(start + hours * 3600).alias("run_at"))
+    return full.union(ready.select(F.lit("light"), "site", F.timestamp_seconds(start + stagger(F.col("site"), light_seconds))))
+
+
+def dispatch_runs(queue: DataFrame, most: int = CONF.light_checks_per_run, every: int = CONF.light_run_seconds) -> DataFrame:
+    """``queue (site, run_at)`` with ``run``: the dispatcher's run, counted from the epoch, that takes each entry.
+
+    A run comes every so many seconds and takes the ``most`` earliest entries that are
+    due, ties by site. In closed form: an entry's place in line is its number plus the
+    largest lead that any run up to its own has over the line before it. Windows go over
+    runs, and over the entries that fall due in one of them.
+    """
+    placed = queue.withColumn("_due", F.ceil(F.unix_micros("run_at") / (every * 1_000_000)).cast("long"))
+    runs = placed.groupBy("_due").agg(F.count("*").alias("_n"))
+    past = Window.orderBy("_due").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    runs = runs.withColumn("_before", F.sum("_n").over(past) - F.col("_n"))
+    runs = runs.withColumn("_lead", F.max(F.col("_due") * most - F.col("_before")).over(past)).drop("_n")
+    number = F.row_number().over(Window.partitionBy("_due").orderBy("run_at", "site")) - 1
+    joined = placed.withColumn("_r", number).join(runs, "_due")
+    return joined.select(*queue.columns, F.floor((F.col("_lead") + F.col("_before") + F.col("_r")) / most).cast("long").alias("run"))
 
 
 def backoff(checks: DataFrame) -> DataFrame:

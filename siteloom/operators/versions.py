@@ -45,6 +45,18 @@ def selective_update(curated: DataFrame, removed: DataFrame, changed: DataFrame)
     return joined.select("site", "url", F.coalesce("_d", "description").alias("description"), F.coalesce("_h", "hash").alias("hash"))
 
 
+def updated_sections(sections: DataFrame, regenerated: DataFrame, gone: DataFrame) -> DataFrame:
+    """``sections (site, name, description)`` with the text of ``regenerated`` ones and without ``gone (site, name)``."""
+    new = regenerated.select("site", "name", F.col("description").alias("_d"))
+    kept = delete(sections, gone, ["site", "name"]).join(new, ["site", "name"], "left")
+    return kept.select("site", "name", F.coalesce("_d", "description").alias("description"))
+
+
+def without_sections(curated: DataFrame, gone: DataFrame) -> DataFrame:
+    """``curated (site, category, ...)`` without the pages of ``gone (site, name)``."""
+    return delete(curated, gone.select("site", F.col("name").alias("category")), ["site", "category"])
+
+
 def replace_curated(assigned: DataFrame) -> DataFrame:
     """Assigned ``(site, section_ord, page_ord, url, ...)`` rows, each URL in the first section that lists it."""
     first = F.row_number().over(Window.partitionBy("site", "url").orderBy("section_ord", "page_ord"))

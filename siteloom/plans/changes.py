@@ -249,9 +249,11 @@ def section_order(spark, d):
     return found.select("site", "section", place.alias("place"))
 
 
-@query("section_summary", f"WITH {_SORTED} SELECT section, count(*) AS link_count, count(DISTINCT url) AS n_urls, min(url) AS first_url FROM sp GROUP BY section")
+@query("section_summary", f"WITH {_SORTED} SELECT site, section, count(*) AS link_count, count(DISTINCT url) AS n_urls, string_agg(DISTINCT url, ' ' ORDER BY url) AS urls FROM sp GROUP BY site, section")
 def section_summary(spark, d):
-    return sectioned(spark, d).groupBy("section").agg(F.count("*").alias("link_count"), F.count_distinct("url").alias("n_urls"), F.min("url").alias("first_url"))
+    urls = F.array_sort(F.collect_set("url"))
+    found = sectioned(spark, d).groupBy("site", "section").agg(F.count("*").alias("link_count"), urls.alias("u"))
+    return found.select("site", "section", "link_count", F.size("u").cast("long").alias("n_urls"), F.array_join("u", " ").alias("urls"))
 
 
 _ASSIGNED = """asg AS (SELECT site, 1 AS section_ord, 'All' AS section, page_id AS page_ord, upper(url) || '/' AS url FROM sp WHERE contains(url, '?page=') UNION ALL SELECT site, 2, section, page_id, url FROM sp UNION ALL SELECT site, 3, 'Made up', page_id, url || '/none' FROM sp)"""
@@ -319,6 +321,16 @@ def prompt_pages(spark, d):
     return curate.prompts(entries)
 
 
+@query("prompt_previews", f"""WITH {_TEXTS}, h AS (SELECT page_id, url, title, text, list_filter(string_split(title, ' '), lambda x: x <> '') AS heads FROM tx)
+    SELECT page_id, '1. URL: ' || url || chr(10) || '   Title: ' || CASE WHEN title = '' THEN 'Untitled' ELSE title END || chr(10) || CASE WHEN text <> '' THEN '   Preview: ' || substring(text, 1, 200) || '...' || chr(10) ELSE '' END
+      || CASE WHEN len(heads) > 0 THEN '   Sections: ' || array_to_string(heads[1:5], ', ') || chr(10) ELSE '' END || CASE WHEN text = '' AND len(heads) = 0 THEN '   Content: [EMPTY PAGE - NO CONTENT]' || chr(10) ELSE '' END AS entry FROM h""")
+def prompt_previews(spark, d):
+    """Entries of pages without content: the first paragraph and the first five of their headings, here the words of their titles."""
+    page = pages(spark, d).select("page_id", "url", facts("html").alias("page")).select("page_id", "url", "page.title", "page.text", F.lit("").alias("none"))
+    heads = page.withColumn("heads", F.filter(F.split("title", " "), lambda x: x != ""))
+    return heads.select("page_id", curate.page_entry(F.lit(1), "url", "title", "none", "text", "heads").alias("entry"))
+
+
 @query("prompt_changes", f"""WITH {SNAPSHOTS}, {_PAIRS}, c AS (SELECT p.site, a.url, old, new, row_number() OVER (PARTITION BY p.site ORDER BY p.page_id) - 1 AS n FROM p JOIN a ON p.page_id = a.page_id WHERE old <> new)
     SELECT site, n // 10 AS batch, string_agg((n % 10 + 1) || '. URL: ' || url || chr(10) || '   PREVIOUS CONTENT:' || chr(10) || CASE WHEN old = '' THEN '(no previous content)' WHEN length(old) > 800 THEN trim(substring(old, 1, 800)) || '...' ELSE trim(old) END
       || chr(10) || chr(10) || '   NEW CONTENT:' || chr(10) || CASE WHEN new = '' THEN '(no new content)' WHEN length(new) > 800 THEN trim(substring(new, 1, 800)) || '...' ELSE trim(new) END || chr(10), chr(10) || '---' || chr(10) ORDER BY n) AS prompt FROM c GROUP BY ALL""")

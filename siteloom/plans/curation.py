@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siteloom import api
+from siteloom.conf import CONF
 from siteloom.functions.dom import facts
 from siteloom.operators import curate, providers, schedule
 from siteloom.plans.base import HOST, SNAPSHOTS, pages, query, sql_clean, sql_main, sql_title, table
@@ -95,6 +96,14 @@ def full_check_plan(spark, d):
     return api.full_checks(_sites(spark, d), _queue(spark, d).where("queue = 'full'"), _at("2024-01-30 12:00:00"), 100)
 
 
+@query("light_check_plan", f"""WITH {_SITES}, q AS (SELECT user_id AS site, max(ts) AS run_at FROM events WHERE event_type = 'click' GROUP BY 1), t AS (SELECT site FROM q WHERE run_at <= {_DUE} ORDER BY run_at, site LIMIT 500)
+    SELECT t.site, CASE WHEN s.status IS DISTINCT FROM 'ready' THEN 'not_ready' WHEN t.site IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') THEN 'check' ELSE 'no_curated_pages_with_fingerprints' END AS action FROM t LEFT JOIN s ON t.site = s.site""")
+def light_check_plan(spark, d):
+    """A run of the light dispatcher; its limit is the operator's. Finished orders stand for pages with a fingerprint."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("site"), F.when(F.col("o_orderstatus") == "F", "x").when(F.col("o_orderstatus") == "P", "").alias("hash"))
+    return api.light_checks(_sites(spark, d), orders, _queue(spark, d).where("queue = 'light'"), _at("2024-01-30 12:00:00"), CONF.light_checks_per_run)
+
+
 @query("drop_sites", f"WITH {_SITES} SELECT o_orderkey AS id FROM orders WHERE o_custkey NOT IN (SELECT site FROM s WHERE status = 'pending')")
 def drop_sites(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("site"), F.col("o_orderkey").alias("id"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.functions.text import line_kind
-from siteloom.operators import digest
-from siteloom.plans.base import HOST, query, sql_title
+from siteloom import api
+from siteloom.functions.text import bold_parts, line_kind
+from siteloom.operators import digest, versions
+from siteloom.plans.base import HOST, query, sql_title, table
 from siteloom.plans.changes import _NAMES, sectioned
+from siteloom.storage import new_path
 
 _PROSE = "'About ' || section || ' on ' || site || '.' || chr(10) || 'Second line.'"
 _FOOT = "'This document helps AI systems understand ' || site || '''s purpose and offerings.'"
@@ -96,9 +98,37 @@ def digest_roundtrip(spark, d):
     return first.join(second.withColumnRenamed("content", "again"), "site").select("site", (F.col("content") == F.col("again")).alias("same"))
 
 
-@query("line_classify", f"""WITH {_BASE}, l AS (SELECT site, unnest(string_split(content, chr(10))) AS line FROM dg), t AS (SELECT site, trim(line) AS t FROM l)
-    SELECT site, CASE WHEN t = '' THEN 'blank' WHEN t LIKE '### %' THEN 'h3' WHEN t LIKE '## %' THEN 'h2' WHEN t LIKE '# %' THEN 'h1' WHEN t LIKE '---%' THEN 'rule' WHEN t LIKE '> %' THEN 'quote'
-      WHEN regexp_matches(t, '^-\\s*\\[([^\\]]+)\\]\\(([^)]+)\\)(?::\\s*(.*))?$') THEN 'link' WHEN t LIKE '- %' THEN 'bullet' ELSE 'para' END AS kind, count(*) AS n FROM t GROUP BY ALL""")
+@query("line_classify", f"""WITH {_BASE}, t AS (SELECT site, unnest(string_split(content, chr(10))) AS t FROM dg)
+    SELECT site, CASE WHEN t LIKE '# %' THEN 'h1' WHEN t LIKE '### %' THEN 'h3' WHEN t LIKE '## %' THEN 'h2' WHEN trim(t) = '---' THEN 'rule' WHEN t LIKE '> %' THEN 'quote'
+      WHEN regexp_matches(t, '^- \\[[^\\]]+\\]\\([^)]+\\)') THEN 'link' WHEN t LIKE '- %' THEN 'bullet' WHEN trim(t) = '' THEN 'blank' ELSE 'para' END AS kind, count(*) AS n FROM t GROUP BY ALL""")
 def line_classify(spark, d):
     lines = _digests(spark, d).select("site", F.explode(F.split("content", "\n")).alias("line"))
     return lines.groupBy("site", line_kind("line").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("bold_split", "SELECT doc_id, lang AS first, CASE WHEN source LIKE '%*%' THEN NULL ELSE source END AS bold, 3 AS n FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL AND source <> '' AND lang <> '' AND NOT contains(source, '*')")
+def bold_split(spark, d):
+    """A line of each document's language, its source in bold, and an odd end."""
+    docs = table(spark, d, "documents").where("source IS NOT NULL AND lang IS NOT NULL AND source <> '' AND lang <> '' AND NOT contains(source, '*')")
+    parts = docs.select("doc_id", bold_parts(F.concat("lang", F.lit("**"), "source", F.lit("** and **"))).alias("p"))
+    return parts.select("doc_id", F.col("p")[0]["text"].alias("first"), F.when(F.col("p")[1]["bold"], F.col("p")[1]["text"]).alias("bold"), F.size("p").alias("n"))
+
+
+@query("digest_download", f"WITH {_BASE} SELECT site, unnest(string_split(content, chr(10))) AS line FROM dg")
+def digest_download(spark, d):
+    """Digests written as text files, a folder a site, and read back by line."""
+    path = new_path(spark, "digests")
+    api.download(_digests(spark, d), path)
+    return spark.read.text(path).select("site", F.col("value").alias("line"))
+
+
+@query("sections_update", f"""WITH {_BASE} SELECT site, section AS name, CASE WHEN section = 'Resources' THEN 'New text.' ELSE 'Old text.' END AS description,
+    count(*) AS n_pages FROM sp WHERE section <> 'Guides' GROUP BY ALL""")
+def sections_update(spark, d):
+    """Resources get new text, Guides are dead and go with their pages."""
+    rows = sectioned(spark, d).select("site", F.col("section").alias("category"), "page_id")
+    held = rows.select("site", F.col("category").alias("name")).distinct().withColumn("description", F.lit("Old text."))
+    new = held.where("name = 'Resources'").withColumn("description", F.lit("New text."))
+    gone = held.where("name = 'Guides'")
+    pages = versions.without_sections(rows, gone).groupBy("site", F.col("category").alias("name")).agg(F.count("*").alias("n_pages"))
+    return versions.updated_sections(held, new, gone).join(pages, ["site", "name"])

@@ -253,6 +253,11 @@ def doc_content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", text.content_hash("text").alias("hash"))
 
 
+@query("doc_short_mark", "SELECT doc_id, substring(md5(text), 1, 8) AS mark FROM documents")
+def doc_short_mark(spark, d):
+    return table(spark, d, "documents").select("doc_id", text.short_mark("text").alias("mark"))
+
+
 @query("doc_duplicates", "SELECT sha256(text) AS hash, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE coalesce(text, '') <> '' GROUP BY 1 HAVING count(*) > 1")
 def doc_duplicates(spark, d):
     found = table(spark, d, "documents").select("doc_id", text.content_hash("text").alias("hash")).where("hash <> ''")

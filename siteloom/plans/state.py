@@ -10,6 +10,7 @@ from siteloom.functions import timefmt
 from siteloom.operators import schedule, versions
 from siteloom.plans.base import HOST, query, table
 from siteloom.sources import sitemap
+from siteloom.storage import new_path
 from siteloom.streaming import state
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -59,6 +60,20 @@ def snapshot_latest(spark, d):
     return rows.join(top, ["site", "version"], "left_semi").groupBy("site", "version").agg(F.count("*").alias("n"))
 
 
+@query("snapshot_append", f"""SELECT {HOST} AS site, v.version, count(*) AS n, max(length(substring(html, 1, 2000))) AS longest FROM pages, (SELECT unnest([1, 2])::BIGINT AS version) v
+    WHERE v.version = 1 OR contains(url, '?page=') GROUP BY ALL""")
+def snapshot_append(spark, d):
+    """All pages as version 1 in a store, then the paged ones again under the next version, read back."""
+    rows = table(spark, d, "pages").select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site"), "url", F.substring("html", 1, 2000).alias("first_paragraph"))
+    path = new_path(spark, "snapshots")
+    versions.append_snapshot(rows.withColumn("version", F.lit(1).cast("long")), path)
+    stored = spark.read.parquet(path)
+    again = rows.where(F.col("url").contains("?page=")).join(versions.next_version(stored, "site"), "site").withColumnRenamed("next_version", "version")
+    versions.append_snapshot(again, path)
+    found = spark.read.parquet(path).groupBy("site", F.col("version").cast("long").alias("version"))
+    return found.agg(F.count("*").alias("n"), F.max(F.length("first_paragraph")).cast("long").alias("longest"))
+
+
 @query("version_upsert", "WITH n AS (SELECT o_custkey AS site, max(o_orderkey) AS id FROM orders WHERE o_orderstatus = 'O' GROUP BY 1) SELECT c_custkey AS site, coalesce(n.id, -1) AS id FROM customer LEFT JOIN n ON c_custkey = site UNION SELECT site, id FROM n WHERE site NOT IN (SELECT c_custkey FROM customer)")
 def version_upsert(spark, d):
     stored = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.lit(-1).cast("long").alias("id"))
@@ -154,11 +169,35 @@ def schedule_next(spark, d):
     return schedule.scheduled(sites, _now(), "hours").select("site", F.unix_micros("run_at").alias("run_at"))
 
 
-@query("schedule_stagger")
+_STAGGER = "('0x' || substring(md5({0}::VARCHAR), 1, 8))::BIGINT % {1}"
+
+
+@query("schedule_stagger", f"SELECT c_custkey AS site, {_STAGGER.format('c_custkey', 301)} AS delay FROM customer")
 def schedule_stagger(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("site"), schedule.stagger(F.col("c_custkey"), 300).alias("delay"))
 
 
+_READY = "r AS (SELECT c_custkey AS site FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY'))"
+
+
+@query("schedule_seed", f"""WITH {_READY} SELECT 'full' AS queue, site, epoch_us({_NOW} + INTERVAL 24 HOUR) AS run_at FROM r
+    UNION ALL SELECT 'light', site, epoch_us({_NOW}) + 1000000 * ({_STAGGER.format('site', 301)}) FROM r""")
+def schedule_seed(spark, d):
+    """First entries of the ready customers in both queues."""
+    status = F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), "pending").otherwise("ready")
+    sites = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), status.alias("status"))
+    return schedule.seeded(sites, _now()).select("queue", "site", F.unix_micros("run_at").alias("run_at"))
+
+
+@query("dispatch_runs", """WITH q AS (SELECT event_id AS site, ts AS run_at, CAST(ceil(epoch_us(ts) / 3600000000.0::DOUBLE) AS BIGINT) AS due FROM events),
+    n AS (SELECT *, row_number() OVER (ORDER BY run_at, site) - 1 AS i FROM q), l AS (SELECT *, max(due * 12 - i) OVER (ORDER BY i) + i AS place FROM n)
+    SELECT site, place // 12 AS run FROM l""")
+def dispatch_runs(spark, d):
+    """All events as entries of a queue of which an hourly run takes twelve."""
+    queue = _events(spark, d).select(F.col("id").alias("site"), F.col("ts").alias("run_at"))
+    return schedule.dispatch_runs(queue, 12, 3600).select("site", "run")
+
+
 def _checks(spark, d):
     return _events(spark, d).where(F.col("event_type").isin("view", "purchase")).withColumn("changed", F.col("event_type") == "purchase")
 
@@ -266,6 +305,12 @@ def stream_progress(spark, d):
     return _drained(state.progress_stream(_stream(spark, d)), "complete").select("site", "id")
 
 
+@query("stream_progress_ttl", f"WITH l AS ({_LAST}), w AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events) SELECT site, id FROM l, w WHERE last_ts + INTERVAL 1 HOUR < mark")
+def stream_progress_ttl(spark, d):
+    """Sites whose last event had expired when the stream ended."""
+    return _drained(state.expiring_progress_stream(_stream(spark, d))).where("kind = 'expired'").select("site", "id")
+
+
 @query("stream_monitor", "SELECT user_id AS site, epoch_us(date_trunc('day', ts)) AS day, count(*) AS n_checks, count(*) FILTER (event_type = 'purchase') AS n_changed FROM events WHERE event_type IN ('view', 'purchase') GROUP BY ALL")
 def stream_monitor(spark, d):
     checks = _stream(spark, d).where("event_type IN ('view', 'purchase')").withColumn("changed", F.col("event_type") == "purchase")

@@ -1,39 +1,108 @@
-"""``spark.read.format("site_crawl")``: pages of stored or fetched sites by address list.
+"""``spark.read.format("site_crawl")``: pages of stored or fetched sites.
 
-The reader splits its address list over tasks. Fetching is a strategy by name, so that
-offline runs read a folder of saved pages and other backends can be registered.
+The reader splits its addresses over tasks. With ``follow`` each address is the start of a
+site, which one task crawls by its links: pages of the same host, in order of depth, each
+normal form once, up to ``max_pages``. Fetching is a strategy by name: ``folder`` reads
+saved pages, ``http`` fetches from the site, ``service`` asks a hosted crawler.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from pathlib import Path
+from urllib.error import HTTPError, URLError
+from urllib.parse import quote, urlsplit
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from siteloom.conf import CONF
+
 SCHEMA = "url string, html string, status int"
 
 
 def from_folder(address: str, options: dict) -> tuple[str | None, int]:
     """A page saved under its percent-encoded address in ``options['folder']``."""
-    from urllib.parse import quote
-
     file = Path(options["folder"]) / quote(address, safe="")
     return (file.read_text(), 200) if file.exists() else (None, 404)
 
 
-BACKENDS = {"folder": from_folder}
+def _asked(request, options: dict) -> tuple[bytes | None, int, str]:
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(request, timeout=float(options.get("timeout", 15))) as answer:
+            return answer.read(), answer.status, answer.headers.get_content_charset() or "utf-8"
+    except HTTPError as e:
+        return e.read(), e.code, "utf-8"
+    except (URLError, TimeoutError):
+        return None, 0, "utf-8"
+
+
+def from_site(address: str, options: dict) -> tuple[str | None, int]:
+    """The page itself; status 0 if no answer came within ``options['timeout']`` seconds."""
+    from urllib.request import Request
+
+    body, status, charset = _asked(Request(address, headers={"User-Agent": options.get("agent", "siteloom")}), options)
+    return None if body is None else body.decode(charset, "replace"), status
+
+
+def from_service(address: str, options: dict) -> tuple[str | None, int]:
+    """From a hosted crawler at ``options['endpoint']``: a POST of ``{"url": ...}`` answered by ``{"html": ..., "status": ...}``."""
+    import json
+    from urllib.request import Request
+
+    headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {options['token']}"} if "token" in options else {})
+    body, status, _ = _asked(Request(options["endpoint"], json.dumps({"url": address}).encode(), headers), options)
+    if status != 200:
+        return None, status
+    answer = json.loads(body)
+    return answer.get("html"), int(answer.get("status", 200))
+
+
+BACKENDS = {"folder": from_folder, "http": from_site, "service": from_service}
+
+
+def page_key(address: str) -> str:
+    """The normal form of ``functions.url.page_key``."""
+    at = urlsplit(address)
+    return f"{at.scheme}://{at.netloc}{at.path.rstrip('/') or '/'}".lower()
+
+
+def crawled(start: str, fetch, options: dict, most: int) -> Iterator[tuple]:
+    """``(url, html, status, depth)`` of the pages of a site that links lead to from its start."""
+    from siteloom.functions.dom import link_targets
+    from siteloom.functions.url import SKIP_CRAWL
+
+    home = urlsplit(start).netloc
+    waiting, known, found = deque([(start, 0)]), {page_key(start)}, 0
+    while waiting and found < most:
+        address, depth = waiting.popleft()
+        html, status = fetch(address, options)
+        found += 1
+        yield address, html, status, depth
+        for href, target in link_targets(address, html or ""):
+            if not href or target is None or href.startswith(("javascript:", "mailto:", "tel:", "#")):
+                continue
+            at = urlsplit(target)
+            if at.netloc == home and not any(x in at.path.lower() for x in SKIP_CRAWL) and (key := page_key(target)) not in known:
+                known.add(key)
+                waiting.append((key, depth + 1))
+
+
+def _follows(options: dict) -> bool:
+    return options.get("follow", "false").lower() == "true"
 
 
 class SiteCrawl(DataSource):
-    """Options: ``urls`` (one a line), ``backend``, ``per_task`` and what the backend takes."""
+    """A row a page; with ``follow`` also its depth. Options: ``urls`` (one a line), ``backend``, ``follow``, ``max_pages``, ``per_task`` and what the backend takes."""
 
     @classmethod
     def name(cls) -> str:
         return "site_crawl"
 
     def schema(self) -> str:
-        return SCHEMA
+        return SCHEMA + ", depth int" * _follows(self.options)
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))
@@ -42,19 +111,23 @@ class SiteCrawl(DataSource):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.options = options
+        self.follow = _follows(options)
         if options.get("backend", "folder") not in BACKENDS:
             raise ValueError(f"backend must be one of {sorted(BACKENDS)}")
 
     def partitions(self) -> list[InputPartition]:
         urls = self.options.get("urls", "").split()
-        n = int(self.options.get("per_task", 100))
+        n = int(self.options.get("per_task", 1 if self.follow else 100))
         return [InputPartition(tuple(urls[i : i + n])) for i in range(0, len(urls), n)] or [InputPartition(())]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         fetch = BACKENDS[self.options.get("backend", "folder")]
         for url in partition.value:
-            html, status = fetch(url, self.options)
-            yield url, html, status
+            if self.follow:
+                yield from crawled(url, fetch, self.options, int(self.options.get("max_pages", CONF.max_pages)))
+            else:
+                html, status = fetch(url, self.options)
+                yield url, html, status
 
 
 def register(spark) -> None:

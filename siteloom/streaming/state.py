@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siteloom.conf import CONF
+from siteloom.storage import new_path
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -75,6 +76,37 @@ def progress_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("site").agg(last.alias("x")).select("site", F.col("x.ts").alias("ts"), F.col("x.id").alias("id"), F.col("x.value").alias("value"))
 
 
+def expiring_progress_stream(events: DataFrame, ttl: int = CONF.progress_ttl_seconds) -> DataFrame:
+    """``(site, ts, id, kind)``: each site's latest event as it is ``set``, and as it has ``expired``.
+
+    State is one event a site with a timer; once the watermark is ``ttl`` seconds past
+    it, the state goes.
+    """
+
+    def step(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            micros, last = state.get
+            state.remove()
+            yield pd.DataFrame({"site": [key[0]], "ts": [pd.Timestamp(micros, unit="us")], "id": [last], "kind": ["expired"]})
+            return
+        found = _sorted(rows).iloc[-1]
+        latest = (int(found["ts"].value // 1000), int(found["id"]))
+        kept = max(latest, state.get) if state.exists else latest
+        ends = kept[0] // 1000 + 1000 * ttl
+        if ends <= state.getCurrentWatermarkMs():  # late, and over already
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"site": [key[0]], "ts": [pd.Timestamp(kept[0], unit="us")], "id": [kept[1]], "kind": ["expired"]})
+            return
+        state.update(kept)
+        state.setTimeoutTimestamp(ends)
+        if kept == latest:
+            yield pd.DataFrame({"site": [key[0]], "ts": [pd.Timestamp(kept[0], unit="us")], "id": [kept[1]], "kind": ["set"]})
+
+    grouped = events.select("site", "ts", "id").groupBy("site")
+    return grouped.applyInPandasWithState(step, "site long, ts timestamp, id long, kind string", "ts long, id long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def monitor_stream(checks: DataFrame, window: str = "1 day") -> DataFrame:
     """Checks and changes by site and event-time window; late events within the watermark count."""
     found = checks.groupBy("site", F.window("ts", window).alias("w")).agg(F.count("*").alias("n_checks"), F.sum(F.col("changed").cast("long")).alias("n_changed"))
@@ -82,7 +114,17 @@ def monitor_stream(checks: DataFrame, window: str = "1 day") -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Everything a stream has now, as a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Everything a stream has now, as a table in the shared folder.
+
+    An appending stream goes to a file sink; of one that gives its whole result with
+    each trigger, the last result stays. Nothing is held by the driver.
+    """
+    spark = stream.sparkSession
+    path, schema = new_path(spark, name), stream.schema
+    writer = stream.writeStream.queryName(name).trigger(availableNow=True).option("checkpointLocation", new_path(spark, f"{name}-state"))
+    if mode == "append":
+        query = writer.outputMode(mode).format("parquet").start(path)
+    else:
+        query = writer.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(path)).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(schema).parquet(path)

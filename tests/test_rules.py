@@ -3,6 +3,7 @@
 import difflib
 import hashlib
 import html as html_lib
+import random
 from urllib.parse import urljoin
 
 from hypothesis import given, settings
@@ -254,3 +255,77 @@ def test_site_crawl_source(spark, tmp_path):
     site_crawl.register(spark)
     df = spark.read.format("site_crawl").option("urls", "http://h/a http://h/b").option("folder", str(tmp_path)).option("per_task", "1").load()
     assert {tuple(r) for r in df.collect()} == {("http://h/a", "<p>x</p>", 200), ("http://h/b", None, 404)}
+
+
+def test_site_crawl_follows_links(spark, tmp_path):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.parse import quote
+
+    from siteloom.sources import site_crawl
+
+    pages = {"http://h/": '<a href="/a?x=1">a</a><a href="b/">b</a><a href="http://o/">o</a><a href="/x.pdf">p</a>', "http://h/a": '<a href="/">h</a><a href="c">c</a>', "http://h/b": "b", "http://h/c": "c"}
+    for address, html_ in pages.items():
+        (tmp_path / quote(address, safe="")).write_text(html_)
+    site_crawl.register(spark)
+    read = spark.read.format("site_crawl").option("urls", "http://h/ http://gone/").option("folder", str(tmp_path)).option("follow", "true")
+    got = {(r.url, r.status, r.depth) for r in read.load().collect()}
+    assert got == {("http://h/", 200, 0), ("http://h/a", 200, 1), ("http://h/b", 200, 1), ("http://h/c", 200, 2), ("http://gone/", 404, 0)}
+    assert {r.url for r in read.option("max_pages", "2").load().collect()} == {"http://h/", "http://h/a", "http://gone/"}
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200 if self.path == "/a" else 404)
+            self.end_headers()
+            self.wfile.write("<p>é</p>".encode())
+
+        def do_POST(self):
+            asked = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(('{"html": "for ' + asked.replace('"', "'") + '"}').encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert site_crawl.from_site(f"{at}/a", {}) == ("<p>é</p>", 200) and site_crawl.from_site(f"{at}/b", {})[1] == 404
+        assert site_crawl.from_service("http://x/", {"endpoint": at}) == ("for {'url': 'http://x/'}", 200)
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert site_crawl.from_site(f"{at}/a", {"timeout": "1"}) == (None, 0)
+
+
+def test_dispatch_runs_and_bold(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.randrange(0, 3000) if i % 3 else 600) for i in range(120)]
+    df = spark.createDataFrame(rows, "site long, at long").select("site", F.timestamp_seconds("at").alias("run_at"))
+    got = {r.site: r.run for r in schedule.dispatch_runs(df, 3, 60).collect()}
+    waiting, want = sorted((at, site) for site, at in rows), {}
+    for run in range(200):
+        due = [x for x in waiting if x[0] <= 60 * run][:3]
+        want |= {site: run for _, site in due}
+        waiting = [x for x in waiting if x not in due]
+    assert got == want
+    parts = one(spark, text.bold_parts(F.lit("a **b** c**d**")), text.bold_parts(F.lit("****")), text.bold_parts(F.lit("")))
+    assert [[(p.bold, p.text) for p in x] for x in parts] == [[(False, "a "), (True, "b"), (False, " c"), (True, "d")], [(True, "")], []]
+
+
+def test_progress_expires_in_a_stream(spark, tmp_path):
+    import datetime
+
+    from siteloom.streaming import state
+
+    at = lambda m: datetime.datetime(2024, 1, 1, tzinfo=datetime.timezone.utc) + datetime.timedelta(minutes=m)
+    batches = [[(1, at(0), 1), (2, at(5), 2)], [(1, at(50), 3)], [(3, at(240), 4)], [(3, at(242), 5)]]
+    schema = "site long, ts timestamp, id long"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.createDataFrame([], schema).write.mode("append").parquet(str(tmp_path / "in"))
+    found = state.drained(state.expiring_progress_stream(state.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)), "expiring").collect()
+    assert sorted((r.site, r.id) for r in found if r.kind == "expired") == [(1, 3), (2, 2)]
+    assert (3, 5) in {(r.site, r.id) for r in found if r.kind == "set"}
