@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: How the Python worker at hand gives back what tasks of other operators left in it.
+CACHES: list[Callable[[], None]] = []
+
+
+def forget() -> None:
+    """Give back the memory of caches that earlier tasks of this Python worker filled."""
+    for clear in CACHES:
+        clear()
+    pa.default_memory_pool().release_unused()
+
+
 def release(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that nothing reads any more."""
     for name in df.inputFiles()[:1]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import materialize, partitions
+from siteloom.llm.common import forget, materialize, partitions
 from siteloom.llm.graph import components
 from siteloom.llm.simhash import _mix, distinct, vote, word_hashes
 from siteloom.llm.vptree import SAMPLE, Forest, apart
@@ -109,6 +109,7 @@ def _described(texts: DataFrame, width: int, words: int) -> DataFrame:
     """``(id, row, mark, size, parity, print)`` of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             marks, sizes, parities, prints = [], [], [], []
             for t in b.column(2).to_pylist():
@@ -287,11 +288,15 @@ def candidates(sets: DataFrame, search: Search) -> tuple[DataFrame, DataFrame]:
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for number, some in forest.route(_words(b.column(2), words)):
-                part = b.take(pa.array(some))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number, np.int32)), *part.columns], names=["shard", "no", "size", "print"])
+            for at in range(0, b.num_rows, 1000):
+                some = b.slice(at, 1000)
+                routed = list(forest.route(_words(some.column(2), words)))
+                numbers = np.repeat(np.array([n for n, _ in routed], np.int32), [len(r) for _, r in routed])
+                part = some.take(pa.array(np.concatenate([r for _, r in routed])))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), *part.columns], names=["shard", "no", "size", "print"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for number, b in by_shard(batches):
             a, c, left = shard_pairs(b.column(1).to_numpy(), _words(b.column(3), words), b.column(2).to_numpy().astype(np.int64), search)
             found = _batch(a, c)

@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from siteloom.llm.common import CACHES
+
 #: Words that one worker keeps; past it the cache starts anew.
 CACHED = 800_000
 _CHUNK = 4 << 20  # characters that are split at once
@@ -153,3 +155,6 @@ class Encoder:
 def encoder(path: str, cached: int = CACHED, literal: bool = False) -> Encoder:
     """The encoder of this Python worker."""
     return Encoder(path, cached, literal)
+
+
+CACHES.append(encoder.cache_clear)
