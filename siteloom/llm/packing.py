@@ -20,7 +20,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.llm.common import materialize, partitions
@@ -85,10 +85,11 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[R
     return runs
 
 
-def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:
-    """``(id, piece, start, length, ids_crc32[, ids])`` of each document's ids with its end id.
+def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = True, place: Column | None = None) -> DataFrame:
+    """``(id, piece, start, length, ids_crc32[, ids][, place])`` of each document's ids with its end id.
 
     Only documents longer than ``capacity`` are cut, into pieces of ``capacity`` ids.
+    ``place``, a string of each document, tells its copies apart and orders them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,17 +98,19 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
                 rows: list[tuple] = []
-                for key, ids in zip(part.column(0).to_pylist(), tool.encode(part.column(1).to_pylist()), strict=True):
+                places = part.column(2).to_pylist()
+                for key, ids, at_place in zip(part.column(0).to_pylist(), tool.encode(part.column(1).to_pylist()), places, strict=True):
                     ids = np.append(ids, np.uint32(end)).astype("<u4", copy=False)
                     for k in range(0, len(ids), capacity):
                         raw = ids[k : k + capacity].tobytes()
-                        rows.append((key, k // capacity, k, len(raw) // 4, zlib.crc32(raw), raw))
-                cols = list(zip(*rows, strict=True)) or [[]] * 6
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + keep_ids]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=False)], names=["id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)])
+                        rows.append((key, k // capacity, k, len(raw) // 4, zlib.crc32(raw), raw, at_place))
+                cols = list(zip(*rows, strict=True)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(cols[i], k) for i, (_, k) in enumerate(made) if k is not None], names=[n for n, k in made if k is not None])
 
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    made = [("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    made += [("ids", pa.binary() if keep_ids else None), ("place", None if place is None else pa.string())]
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), (F.lit(None).cast("string") if place is None else place).alias("place"))
+    return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids + ", place string" * (place is not None))
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("id", "piece", "ids_crc32")) -> DataFrame:
@@ -146,6 +149,10 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] = ("i
     return ranked.select(*kept, "rank").mapInArrow(place, schema)
 
 
-def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = True) -> DataFrame:
-    """Pieces of all documents with their places; ids are encoded once, into the shared folder."""
-    return pack(materialize(pieces(df, tokenizer, id_col, text_col, capacity, end, keep_ids), "pieces"), capacity)
+def pack_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end: int = END, keep_ids: bool = True, place: Column | None = None) -> DataFrame:
+    """Pieces of all documents with their places; ids are encoded once, into the shared folder.
+
+    Of a length, documents take slots by ``place`` where it is given, else by id.
+    """
+    made = materialize(pieces(df, tokenizer, id_col, text_col, capacity, end, keep_ids, place), "pieces")
+    return pack(made, capacity, ("id", "piece", "ids_crc32") if place is None else ("place", "id", "piece"))

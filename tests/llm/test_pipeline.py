@@ -8,7 +8,7 @@ from conftest import DATA, same_rows
 from test_setjoin import near, shingled
 
 import corpus_pipeline
-from siteloom.llm import packing, quality
+from siteloom.llm import mixing, packing, quality
 from siteloom.llm.queries import PACKED_WITH, QUERIES, tokenizer
 from siteloom.llm.sql import ORACLES
 
@@ -65,6 +65,7 @@ def test_run_equals_the_stages_one_by_one(spark, corpus):
     texts = [(r.doc_id, r.text) for r in mixed.collect()]
     assert set(texts) <= {(r.doc_id, r.text) for r in base}
     held = [(r.doc_id, r.text) for r in once.collect()]
+    order = mixing.mix(mixing.sized(once)).collect()
     assert all(texts.count(t) <= 2 * held.count(t) for t in set(texts))
     packed = corpus_pipeline.pack_sequences(spark, mixed, corpus).collect()
     from siteloom.llm.tokens import encoder
@@ -79,7 +80,15 @@ def test_run_equals_the_stages_one_by_one(spark, corpus):
     assert sorted(whole) == [w for w in want if len(w) < packing.CAPACITY]
     assert sum(r.length for r in packed) == sum(map(len, want))
     rows = sorted((r.doc_id, r.piece, r.start, r.ids_crc32) for r in packed)
-    assert sorted((r.doc_id, r.piece, r.start, r.ids_crc32) for r in corpus_pipeline.run(spark, corpus).collect()) == rows
+    ran = corpus_pipeline.run(spark, corpus).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.ids_crc32) for r in ran) == rows
+    assert len({(r.place, r.piece) for r in ran}) == len(ran)  # copies are told apart
+    turns = sorted((p, r.doc_id) for r in order for p in r.positions)
+    at = {}
+    for r in ran:
+        at.setdefault(r.doc_id, set()).add(r.place)
+    firsts = [min(at[i]) for i in dict.fromkeys(i for _, i in turns)]
+    assert firsts == sorted(firsts)  # places follow the training order
 
 
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
