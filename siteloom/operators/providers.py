@@ -92,7 +92,11 @@ def rule_significance(rows: pd.DataFrame) -> str:
 
 
 def curate_sites(pages: DataFrame, provider: Provider = rule_curation) -> DataFrame:
-    """``(site, mark, answer)``: a whole site in one question, within the page limit of a crawl."""
+    """``(site, mark, answer)``: a whole site in one question.
+
+    The question is one group of rows, so ``pages`` should be what a crawl with a budget
+    gave (``links.crawl``), not every page that a large host has.
+    """
     return parsed(ask(pages.select("site", "url", "title"), provider, ("site",)), CURATION)
 
 
