@@ -42,24 +42,42 @@ def _sorted_windows() -> str:
     return "array_sort(transform(sequence(0, size(_words) - 3), i -> struct(concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) as w, i as i)))"
 
 
+#: Bits of a packed window that hold its place; the others hold the start of its hash.
+_PLACE = 20
+
+
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the five whole-text measures.
 
-    ``n_repeat_words`` first hashes every window; only where a hash occurs twice are the
-    windows themselves sorted and compared, so the result is exact.
+    ``n_repeat_words`` first hashes every window. Only where a hash occurs twice, windows
+    are sorted as numbers, hash before place, and those with a neighbour of like hash are
+    the repeated ones. If two neighbours turn out to differ in words, and in texts with
+    more windows than a place can tell, the windows themselves are sorted and compared, so
+    the result is exact.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     plain = F.translate(text, _WS, "")
     lines = F.expr("filter(split(_text, '\\n'), x -> length(translate(x, ' \\t\\n\\u000b\\u000c\\r', '')) > 0)")
-    one = df.withColumn("_text", text).withColumn("_words", F.regexp_extract_all("_text", F.lit(r"([^\x20\x09-\x0D]+)"), 1))
-    one = one.withColumn("_lines", lines).withColumn("_marks", F.expr("CASE WHEN size(_words) >= 3 THEN transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END"))
-    twice = F.expr(f"CASE WHEN size(array_distinct(_marks)) < size(_marks) THEN {_sorted_windows()} END")
-    one = one.withColumn("_sorted", twice)
-    found = F.expr(
-        "array_sort(filter(transform(_sorted, (x, k) -> CASE WHEN x.w = get(_sorted, k - 1).w OR x.w = get(_sorted, k + 1).w THEN x.i END), p -> p IS NOT NULL))"
-    )
+    high = lambda x: f"shiftrightunsigned({x}, {_PLACE})"
+    low = lambda x: f"cast({x} & {(1 << _PLACE) - 1} as int)"
+    window = lambda i: f"concat_ws(' ', _words[{i}], _words[{i} + 1], _words[{i} + 2])"
+    steps = {
+        "_text": text,
+        "_words": F.regexp_extract_all("_text", F.lit(r"([^\x20\x09-\x0D]+)"), 1),
+        "_lines": lines,
+        "_marks": F.expr("CASE WHEN size(_words) >= 3 THEN transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END"),
+        "_twice": F.expr("size(array_distinct(_marks)) < size(_marks)"),
+        "_packed": F.expr(f"CASE WHEN _twice AND size(_marks) <= {1 << _PLACE} THEN sort_array(transform(_marks, (m, i) -> (m & {-(1 << _PLACE)}L) | i)) END"),
+        "_like": F.expr(f"filter(_packed, (x, k) -> {high('x')} <=> {high('get(_packed, k - 1)')} OR {high('x')} <=> {high('get(_packed, k + 1)')})"),
+        "_clash": F.expr(f"exists(transform(_like, (x, k) -> k > 0 AND {high('x')} <=> {high('get(_like, k - 1)')} AND {window(low('x'))} <> {window(low('get(_like, greatest(k - 1, 0))'))}), b -> b)"),
+        "_sorted": F.expr(f"CASE WHEN _twice AND coalesce(_clash, true) THEN {_sorted_windows()} END"),
+        "_same": F.expr("filter(transform(_sorted, (x, k) -> CASE WHEN x.w = get(_sorted, k - 1).w OR x.w = get(_sorted, k + 1).w THEN x.i END), p -> p IS NOT NULL)"),
+        "_places": F.expr(f"sort_array(CASE WHEN _sorted IS NULL THEN transform(_like, x -> {low('x')}) ELSE _same END)"),
+    }
+    one = df
+    for name, how in steps.items():
+        one = one.withColumn(name, how)
     covered = F.expr("coalesce(aggregate(_places, struct(0 AS n, -3 AS last), (a, p) -> struct(a.n + least(3, p - a.last) AS n, p AS last), a -> a.n), 0)")
-    one = one.withColumn("_places", found)
     return one.select(
         *df.columns,
         F.size("_words").cast("long").alias("n_words"),

@@ -129,6 +129,16 @@ def test_measures(spark, texts):
         assert tuple(r[m] for m in quality.MEASURES) == measure_model(texts[r.doc_id])
 
 
+def test_measures_where_hashes_clash(spark, monkeypatch):
+    """With four bits of hash nearly all neighbours clash; with no room for places all windows are compared."""
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("a b c d e f g h i j k l m n".split(), k=rng.randint(3, 120))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bits in (60, 20, 3):
+        monkeypatch.setattr(quality, "_PLACE", bits)
+        assert all(tuple(r[m] for m in quality.MEASURES) == measure_model(texts[r.doc_id]) for r in quality.measures(df).collect())
+
+
 def quality_corpus(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(900)]
