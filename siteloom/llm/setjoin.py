@@ -39,7 +39,7 @@ from siteloom.llm.vptree import SAMPLE, Forest, apart
 #: Probability that a bit differs at similarity 4/5, and what a pair there may be lost with.
 FLIP, LOSS = acos(8 / 9) / pi, 0.001
 #: Parity bits a set; pairs that a row of a shard gives at once.
-BITS, STARS = 1024, 8
+BITS, STARS = 1024, 4
 #: Rows that planning aims at for a shard.
 SHARD = 4096
 #: Rows of a shard above which dense spots are looked for, and rows that are tried for it.
