@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import materialize
 
-_WS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -37,15 +36,36 @@ SKETCHED = {
 }
 
 
-def _sorted_windows() -> str:
-    """Windows with their places, sorted, so that equal ones are neighbours."""
-    return "array_sort(transform(sequence(0, size(_words) - 3), i -> struct(concat_ws(' ', _words[i], _words[i + 1], _words[i + 2]) as w, i as i)))"
-
-
 #: Bits of a packed window that hold its place; the others hold the start of its hash.
 _PLACE = 20
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _repeated() -> str:
+    """How many of the words ``w`` stand in windows that occur twice or more, as one expression.
+
+    Every step is bound to a name once; a chain of columns in its place would be written
+    out again by whatever filter is pushed below it.
+    """
+    high = lambda x: f"shiftrightunsigned({x}, {_PLACE})"
+    low = lambda x: f"cast({x} & {(1 << _PLACE) - 1} as int)"
+    window = lambda i: f"concat_ws(' ', w[{i}], w[{i} + 1], w[{i} + 2])"
+    covered = lambda places: f"aggregate({places}, struct(0 AS n, -3 AS last), (a, p) -> struct(a.n + least(3, p - a.last) AS n, p AS last), a -> a.n)"
+    windows = f"array_sort(transform(m, (x, i) -> struct({window('i')} as w, i as i)))"
+    same = _let("s", windows, "array_sort(filter(transform(s, (x, k) -> CASE WHEN x.w = get(s, k - 1).w OR x.w = get(s, k + 1).w THEN x.i END), p -> p IS NOT NULL))")
+    packed = f"sort_array(transform(m, (x, i) -> (x & {-(1 << _PLACE)}L) | i))"
+    like = f"filter(p, (x, k) -> {high('x')} <=> {high('get(p, k - 1)')} OR {high('x')} <=> {high('get(p, k + 1)')})"
+    clash = f"exists(transform(l, (x, k) -> k > 0 AND {high('x')} <=> {high('get(l, k - 1)')} AND {window(low('x'))} <> {window(low('get(l, greatest(k - 1, 0))'))}), b -> b)"
+    by_hash = _let("p", packed, _let("l", like, f"CASE WHEN {clash} THEN {covered(same)} ELSE {covered(f'array_sort(transform(l, x -> {low("x")}))')} END"))
+    twice = f"CASE WHEN size(array_distinct(m)) = size(m) THEN 0 WHEN size(m) > {1 << _PLACE} THEN {covered(same)} ELSE {by_hash} END"
+    marks = "transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2]))"
+    return f"CASE WHEN size(w) < 3 THEN 0 ELSE {_let('m', marks, twice)} END"
+
+
 def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     """``df`` with the five whole-text measures.
 
@@ -56,35 +76,18 @@ def measures(df: DataFrame, text_col: str = "text") -> DataFrame:
     the result is exact.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = F.translate(text, _WS, "")
-    lines = F.expr("filter(split(_text, '\\n'), x -> length(translate(x, ' \\t\\n\\u000b\\u000c\\r', '')) > 0)")
-    high = lambda x: f"shiftrightunsigned({x}, {_PLACE})"
-    low = lambda x: f"cast({x} & {(1 << _PLACE) - 1} as int)"
-    window = lambda i: f"concat_ws(' ', _words[{i}], _words[{i} + 1], _words[{i} + 2])"
-    steps = {
-        "_text": text,
-        "_words": F.regexp_extract_all("_text", F.lit(r"([^\x20\x09-\x0D]+)"), 1),
-        "_lines": lines,
-        "_marks": F.expr("CASE WHEN size(_words) >= 3 THEN transform(sequence(0, size(_words) - 3), i -> xxhash64(_words[i], _words[i + 1], _words[i + 2])) END"),
-        "_twice": F.expr("size(array_distinct(_marks)) < size(_marks)"),
-        "_packed": F.expr(f"CASE WHEN _twice AND size(_marks) <= {1 << _PLACE} THEN sort_array(transform(_marks, (m, i) -> (m & {-(1 << _PLACE)}L) | i)) END"),
-        "_like": F.expr(f"filter(_packed, (x, k) -> {high('x')} <=> {high('get(_packed, k - 1)')} OR {high('x')} <=> {high('get(_packed, k + 1)')})"),
-        "_clash": F.expr(f"exists(transform(_like, (x, k) -> k > 0 AND {high('x')} <=> {high('get(_like, k - 1)')} AND {window(low('x'))} <> {window(low('get(_like, greatest(k - 1, 0))'))}), b -> b)"),
-        "_sorted": F.expr(f"CASE WHEN _twice AND coalesce(_clash, true) THEN {_sorted_windows()} END"),
-        "_same": F.expr("filter(transform(_sorted, (x, k) -> CASE WHEN x.w = get(_sorted, k - 1).w OR x.w = get(_sorted, k + 1).w THEN x.i END), p -> p IS NOT NULL)"),
-        "_places": F.expr(f"sort_array(CASE WHEN _sorted IS NULL THEN transform(_like, x -> {low('x')}) ELSE _same END)"),
-    }
-    one = df
-    for name, how in steps.items():
-        one = one.withColumn(name, how)
-    covered = F.expr("coalesce(aggregate(_places, struct(0 AS n, -3 AS last), (a, p) -> struct(a.n + least(3, p - a.last) AS n, p AS last), a -> a.n), 0)")
-    return one.select(
+    words = rf"regexp_extract_all(coalesce(`{text_col}`, ''), r'([^\x20\x09-\x0D]+)', 1)"
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    n_dup = bound(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    counted = F.expr(_let("w", words, f"struct(size(w) AS n, {_repeated()} AS repeats)"))
+    return df.select(
         *df.columns,
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(plain).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        covered.cast("long").alias("n_repeat_words"),
+        counted["n"].cast("long").alias("n_words"),
+        (F.length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{_SYMBOLS}]")).cast("long").alias("n_symbols"),
+        n_dup.cast("long").alias("n_dup_lines"),
+        counted["repeats"].cast("long").alias("n_repeat_words"),
     )
 
 
