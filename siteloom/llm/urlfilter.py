@@ -18,6 +18,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+from math import log
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import materialize, release
 
-#: Bits a key, hash functions, most 64-bit words of a filter (8 MB), most levels.
-BITS_PER_KEY, HASHES, MOST_WORDS, MOST_LEVELS = 12, 8, 1 << 20, 64
+#: Bits a key, most 64-bit words of a filter (8 MB), most levels.
+BITS_PER_KEY, MOST_WORDS, MOST_LEVELS = 12, 1 << 20, 64
 #: Tasks that the rows of a share are dealt over at most.
 SALTS = 16
 
@@ -65,8 +66,13 @@ def matching_rule(rules: tuple[Rule, ...] = RULES, host: str = "host", path: str
     return found
 
 
+def hashes() -> int:
+    """As many hash functions as let the fewest other keys pass at that number of bits a key."""
+    return max(1, round(log(2) * BITS_PER_KEY))
+
+
 def _places(key: Column, level: int, size: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(F.lit(level * HASHES + i), key), F.lit(size)) for i in range(HASHES)]
+    return [F.pmod(F.xxhash64(F.lit(level * hashes() + i), key), F.lit(size)) for i in range(hashes())]
 
 
 class Filter(NamedTuple):
