@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import chat, fingerprints, mixing, neardup, packing, quality, tokenfile, urlfilter, warc, wrappers
+from siteloom.llm import chat, fingerprints, mixing, neardup, packing, quality, tokencount, tokenfile, urlfilter, warc, wrappers
 from siteloom.llm.common import materialize
 
-#: Files of the public tokenizers; both are parameters of the operators.
-PACKED_WITH, WRITTEN_WITH = "word_bpe_49k.json", "byte_bpe_50k.json"
+#: Files of the public tokenizers; all are parameters of the operators.
+PACKED_WITH, WRITTEN_WITH, COUNTED_WITH = "word_bpe_49k.json", "byte_bpe_50k.json", "byte_bpe_50k.json"
 #: Every document whose id is divisible by this asks the block tables for its neighbours.
 ASKED = 20
 
@@ -100,6 +100,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, listed, "page_id")
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n_whole``: how many of a document's tokens were pre-tokens proven to be one token."""
+    found = tokencount.count_tokens(_table(spark, sf_dir, "documents"), tokenizer(COUNTED_WITH))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -113,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_quality_rules,
         op10_url_filters,
+        op12_token_counts,
     )
 }
