@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import chat, fingerprints, mixing, neardup, packing, quality, tokencount, tokenfile, urlfilter, warc, wrappers
+from siteloom.llm import chat, fingerprints, lexical, mixing, neardup, packing, quality, tokencount, tokenfile, urlfilter, warc, wrappers
 from siteloom.llm.common import materialize
 
 #: Files of the public tokenizers; all are parameters of the operators.
@@ -106,6 +106,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical.build_index(_table(spark, sf_dir, "documents"))
+    return lexical.search(index, _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -120,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op10_url_filters,
         op12_token_counts,
+        op13_lexical_search,
     )
 }

@@ -80,6 +80,20 @@ OP10 = f"""
 WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages), r AS (SELECT *, {_RULE} AS rule FROM p)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host || path IN (SELECT host || path FROM p WHERE contains(url, '?utm_source=')) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP13 = f"""
+WITH t AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+u AS (SELECT doc_id, len(terms)::BIGINT AS n FROM t), s AS (SELECT count(*) FILTER (n > 0) AS docs, sum(n)::BIGINT AS words FROM u),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM t) GROUP BY ALL),
+q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark)),
+d AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS weight FROM d, s),
+m AS (SELECT doc_id, 50 + (50 * n * docs) // words AS scale FROM u, s WHERE n > 0),
+r AS (SELECT item_id, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * scale)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 50"""
+
 ORACLES: dict[str, str] = {
     "op4_warc_archives": OP4,
     "op6_html_main_text": OP6,
@@ -87,4 +101,5 @@ ORACLES: dict[str, str] = {
     "op8_source_mixing": OP8,
     "op9_quality_rules": OP9,
     "op10_url_filters": OP10,
+    "op13_lexical_search": OP13,
 }
