@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteloom.llm import chat, fingerprints, lexical, mixing, neardup, packing, quality, tokencount, tokenfile, urlfilter, warc, wrappers
+from siteloom.llm import chat, fingerprints, lexical, mixing, neardup, negatives, packing, quality, tokencount, tokenfile, urlfilter, warc, wrappers
 from siteloom.llm.common import materialize
 
 #: Files of the public tokenizers; all are parameters of the operators.
@@ -100,6 +100,12 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(pages, listed, "page_id")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), negatives.whole_components("embedding").alias("vector"))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``n_whole``: how many of a document's tokens were pre-tokens proven to be one token."""
     found = tokencount.count_tokens(_table(spark, sf_dir, "documents"), tokenizer(COUNTED_WITH))
@@ -124,6 +130,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_source_mixing,
         op9_quality_rules,
         op10_url_filters,
+        op11_hard_negatives,
         op12_token_counts,
         op13_lexical_search,
     )
