@@ -45,15 +45,16 @@ def seeded(sites: DataFrame, now: Column, hours: int = CONF.interval_hours, ligh
     return full.union(ready.select(F.lit("light"), "site", F.timestamp_seconds(start + stagger(F.col("site"), light_seconds))))
 
 
-def dispatch_runs(queue: DataFrame, most: int = CONF.light_checks_per_run, every: int = CONF.light_run_seconds) -> DataFrame:
+def dispatch_runs(queue: DataFrame, most: int = CONF.light_checks_per_run, every: int = CONF.light_run_seconds, first: int | None = None) -> DataFrame:
     """``queue (site, run_at)`` with ``run``: the dispatcher's run, counted from the epoch, that takes each entry.
 
-    A run comes every so many seconds and takes the ``most`` earliest entries that are
-    due, ties by site. In closed form: an entry's place in line is its number plus the
-    largest lead that any run up to its own has over the line before it. Windows go over
-    runs, and over the entries that fall due in one of them.
+    A run comes every so many seconds, from run ``first`` on, and takes the ``most``
+    earliest entries that are due, ties by site. In closed form: an entry's place in line
+    is its number plus the largest lead that any run up to its own has over the line before
+    it. Windows go over runs, and over the entries that fall due in one of them.
     """
-    placed = queue.withColumn("_due", F.ceil(F.unix_micros("run_at") / (every * 1_000_000)).cast("long"))
+    due = F.ceil(F.unix_micros("run_at") / (every * 1_000_000)).cast("long")
+    placed = queue.withColumn("_due", due if first is None else F.greatest(due, F.lit(first)))
     runs = placed.groupBy("_due").agg(F.count("*").alias("_n"))
     past = Window.orderBy("_due").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     runs = runs.withColumn("_before", F.sum("_n").over(past) - F.col("_n"))
@@ -63,6 +64,12 @@ def dispatch_runs(queue: DataFrame, most: int = CONF.light_checks_per_run, every
     return joined.select(*queue.columns, F.floor((F.col("_lead") + F.col("_before") + F.col("_r")) / most).cast("long").alias("run"))
 
 
+def runs_until(queue: DataFrame, first: int, last: int, most: int, every: int) -> DataFrame:
+    """``queue`` with the ``run`` between ``first`` and ``last`` that takes each entry; null where it has to wait."""
+    run = dispatch_runs(queue, most, every, first)
+    return run.withColumn("run", F.when(F.col("run") <= last, F.col("run")))
+
+
 def backoff(checks: DataFrame) -> DataFrame:
     """``checks (site, ts, id, changed)`` with ``hours`` until the next check.
 

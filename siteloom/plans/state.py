@@ -11,7 +11,7 @@ from siteloom.operators import schedule, versions
 from siteloom.plans.base import HOST, query, table
 from siteloom.sources import sitemap
 from siteloom.storage import new_path
-from siteloom.streaming import state
+from siteloom.streaming import scheduler, state
 
 _NOW = "TIMESTAMP '2024-01-31 00:00:00'"
 
@@ -315,3 +315,62 @@ def stream_progress_ttl(spark, d):
 def stream_monitor(spark, d):
     checks = _stream(spark, d).where("event_type IN ('view', 'purchase')").withColumn("changed", F.col("event_type") == "purchase")
     return _drained(state.monitor_stream(checks), "complete").select("site", F.unix_micros("day").alias("day"), "n_checks", "n_changed")
+
+
+def _timed(spark, d, kinds):
+    """Events as a stream for the scheduler, and the clock with it: the whole table is one batch of files."""
+    schema = table(spark, d, "events").schema
+    found = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = found.select(F.col("user_id").cast("string").alias("site"), _utc("ts").alias("ts"), F.col("event_id").alias("id"), kinds.alias("kind"))
+    return rows.where("kind IS NOT NULL").select("site", "ts", "id", "kind")
+
+
+def _stamped(spark, times):
+    """The clock's events at given times, a file each, so that the stream meets them one by one."""
+    path = new_path(spark, "ticks")
+    for n, ts in enumerate(times):
+        row = spark.range(1).select(F.lit(scheduler.CLOCK).alias("site"), ts.alias("ts"), F.lit(n).cast("long").alias("id"), F.lit("tick").alias("kind"))
+        row.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(scheduler.EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+_START, _END = "TIMESTAMP '2023-12-31 00:00:00'", "TIMESTAMP '2024-03-01 00:00:00'"
+
+
+@query("stream_schedule", f"""WITH e AS (SELECT user_id AS site, ts, event_id AS id, event_type AS t FROM events WHERE event_type IN ('view', 'purchase', 'error')),
+    c AS (SELECT *, t = 'purchase' AS changed FROM e WHERE t <> 'error'),
+    r AS (SELECT *, sum(changed::INT) OVER (PARTITION BY site ORDER BY ts, id) AS run FROM c),
+    k AS (SELECT *, sum((NOT changed)::INT) OVER (PARTITION BY site, run ORDER BY ts, id) AS quiet FROM r),
+    h AS (SELECT site, ts, id, CAST(least((CASE WHEN run > 0 THEN 6 ELSE 24 END) * power(2, least(quiet, 10)), 168) AS BIGINT) AS hours FROM k),
+    x AS (SELECT site, ts, id, t, hours FROM e LEFT JOIN h USING (site, ts, id) UNION ALL SELECT DISTINCT site, {_START}, -1::BIGINT, 'seed', NULL FROM e),
+    n AS (SELECT *, lead(ts) OVER (PARTITION BY site ORDER BY ts, id) AS later FROM x),
+    f AS (SELECT site, 'full' AS queue, ts + INTERVAL 1 HOUR * coalesce(hours, 24) AS run_at, later FROM n WHERE t <> 'error'
+      UNION ALL SELECT site, 'light', CASE WHEN t = 'seed' THEN ts + INTERVAL 1 SECOND * ({_STAGGER.format('site', 301)}) ELSE ts + INTERVAL 5 MINUTE END, later FROM n WHERE t <> 'error')
+    SELECT site, queue, epoch_us(date_trunc('millisecond', run_at)) AS run_at FROM f WHERE run_at < {_END} AND (later IS NULL OR date_trunc('millisecond', later) >= date_trunc('millisecond', run_at))
+    UNION ALL SELECT site, 'rescrape', epoch_us(date_trunc('millisecond', ts)) FROM e WHERE t = 'error'""")
+def stream_schedule(spark, d):
+    """Users as sites, seeded on the day before; views are quiet checks, purchases changes, errors ask for a crawl (without a cooldown here, which `stream_cooldown` has)."""
+    kind = F.when(F.col("event_type") == "view", "unchanged").when(F.col("event_type") == "purchase", "changed").when(F.col("event_type") == "error", "trigger")
+    events = _timed(spark, d, kind)
+    sites = table(spark, d, "events").where("event_type IN ('view', 'purchase', 'error')").select(F.col("user_id").alias("site"), F.lit("ready").alias("status"))
+    seeds = schedule.seeded(sites, _at("2023-12-31 00:00:00")).withColumn("site", F.col("site").cast("string"))
+    both = events.union(_stamped(spark, [_at("2024-03-01 00:00:00")])).withWatermark("ts", "0 seconds")
+    with state.rocksdb(spark):
+        found = state.drained(scheduler.due_stream(both, seeds, cooldown_hours=0), "s" + uuid.uuid4().hex)
+    return found.where(F.col("queue") != scheduler.TICK).select(F.col("site").cast("long").alias("site"), "queue", F.unix_micros("run_at").alias("run_at"))
+
+
+@query("stream_dispatch", """WITH q AS (SELECT event_id AS site, date_trunc('millisecond', ts) AS run_at, CAST(ceil(epoch_us(date_trunc('millisecond', ts)) / 86400000000.0::DOUBLE) AS BIGINT) AS due FROM events),
+    n AS (SELECT *, row_number() OVER (ORDER BY run_at, site::VARCHAR) - 1 AS i FROM q), l AS (SELECT *, max(due * 300 - i) OVER (ORDER BY i) + i AS place FROM n)
+    SELECT site, place // 300 AS run FROM l""")
+def stream_dispatch(spark, d):
+    """All events as entries that the scheduler is seeded with, of which a daily run takes three hundred, while the clock comes on in uneven steps."""
+    events = table(spark, d, "events")
+    seeds = events.select(F.col("event_id").cast("string").alias("site"), F.lit("full").alias("queue"), _utc("ts").alias("run_at"))
+    days = 40 + events.count() // 300
+    clock = _stamped(spark, [_at(f"2024-01-{n:02d} 00:00:00") for n in (3, 4, 17)] + [F.timestamp_seconds(F.unix_timestamp(_at("2024-01-01 00:00:00")) + 86400 * days)])
+    folder = new_path(spark, "dispatch")
+    due = scheduler.due_stream(clock.withWatermark("ts", "0 seconds"), seeds)
+    with state.rocksdb(spark):
+        scheduler.dispatch(due, folder, new_path(spark, "dispatch-state"), {"full": scheduler.Queue(300, 86400)}, None).awaitTermination()
+    return scheduler.dispatched(spark, folder).select(F.col("site").cast("long").alias("site"), "run")

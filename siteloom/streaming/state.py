@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -113,6 +114,21 @@ def monitor_stream(checks: DataFrame, window: str = "1 day") -> DataFrame:
     return found.select("site", F.col("w.start").alias("day"), "n_checks", "n_changed")
 
 
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start inside keep their state in RocksDB, which timers and typed state need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Everything a stream has now, as a table in the shared folder.
 
