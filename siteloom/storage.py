@@ -30,6 +30,11 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder, if it is there."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
