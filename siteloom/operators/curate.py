@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +9,8 @@ from pyspark.sql import functions as F
 from siteloom.conf import CONF
 from siteloom.functions.text import preview, unfenced
 from siteloom.functions.url import inventory_key
+from siteloom.operators.providers import ask
+from siteloom.operators.replies import Provider, ReplyStore
 
 #: Order of standard sections.
 SECTION_ORDER = ("Platform Features", "Solutions", "Integrations", "Resources", "Pricing", "Company", "Other")
@@ -42,9 +42,6 @@ def one_homepage(pages: DataFrame) -> DataFrame:
     return pages.withColumn("_n", n).where((~F.col("is_homepage")) | (F.col("_n") == 1)).drop("_n")
 
 
-Provider = Callable[[pd.DataFrame], str]
-
-
 def rule_provider(batch: pd.DataFrame) -> str:
     """Offline stand-in for a language model: relevance of a batch by path rules, as a JSON reply."""
     import json
@@ -54,20 +51,9 @@ def rule_provider(batch: pd.DataFrame) -> str:
     return json.dumps({"relevant_urls": found})
 
 
-def replies(batched: DataFrame, provider: Provider = rule_provider) -> DataFrame:
-    """``(site, batch, reply)``: the provider's text for each batch; null where it fails.
-
-    Batches hold at most a few dozen rows, so one group is small whatever the site's size.
-    """
-
-    def ask(rows: pd.DataFrame) -> pd.DataFrame:
-        try:
-            text = provider(rows)
-        except Exception:  # a provider may fail in any way; the batch is kept whole then
-            text = None
-        return pd.DataFrame({"site": [rows["site"].iloc[0]], "batch": [rows["batch"].iloc[0]], "reply": [text]})
-
-    return batched.select("site", "batch", "page_id", "url").groupBy("site", "batch").applyInPandas(ask, "site string, batch long, reply string")
+def replies(batched: DataFrame, provider: Provider = rule_provider, store: ReplyStore | None = None) -> DataFrame:
+    """``(site, batch, reply, error)``: the provider's text for each batch of pages."""
+    return ask(batched.select("site", "batch", "page_id", "url"), provider, store=store)
 
 
 def kept_by_replies(batched: DataFrame, answered: DataFrame) -> DataFrame:

@@ -9,21 +9,24 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from itertools import count
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.text import short_mark, unfenced
 from siteloom.functions.url import inventory_key
-
-Provider = Callable[[pd.DataFrame], str]
+from siteloom.operators.replies import Manners, Provider, ReplyStore, ask_stored, questions
+from siteloom.storage import cut
 
 CURATION = "struct<site_title:string,tagline:string,overview:string,sections:array<struct<name:string,description:string,pages:array<struct<url:string,title:string,description:string>>>>>"
 CATEGORIES = "struct<pages:array<struct<url:string,title:string,description:string,category:string>>,new_sections_needed:array<string>>"
 DESCRIPTIONS = "struct<pages:array<struct<url:string,title:string,description:string,category:string>>>"
 SECTION = "struct<action:string,description:string,reason:string>"
+OUTLINE = "struct<sections:array<struct<name:string,description:string,sources:array<string>>>>"
+HEADER = "struct<site_title:string,tagline:string,overview:string>"
 SIGNIFICANCE = "struct<significant_urls:array<string>,reasons:map<string,string>>"
 
 
@@ -32,21 +35,26 @@ def segment(url: str) -> str:
     return found[1] if found and found[1] else "Other"
 
 
-def ask(batched: DataFrame, provider: Provider, keys: tuple[str, ...] = ("site", "batch")) -> DataFrame:
-    """``(*keys, reply)`` for each group of rows; null where the provider fails.
+def ask(batched: DataFrame, provider: Provider, keys: tuple[str, ...] = ("site", "batch"), store: ReplyStore | None = None, name: str | None = None, manners: Manners = Manners()) -> DataFrame:
+    """``(*keys, reply, error)`` for each group of rows; no reply and the error where the provider fails.
 
     Groups are batches of a few dozen rows, or one site's section, never a whole source.
+    With a store, what it has under the provider's name is not asked again.
     """
+    if store is not None:
+        name = name or provider.__name__
+        return ask_stored(questions(batched, keys, name), provider, name, store, manners).select(*keys, "reply", "error")
     kinds = ", ".join(f"{k} {batched.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        reply = error = None
         try:
             reply = provider(rows)
-        except Exception:  # whatever a provider raises, its batch is kept
-            reply = None
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "reply": [reply]})
+        except Exception as e:  # whatever a provider raises, its batch is kept
+            error = f"{type(e).__name__}: {e}"
+        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in keys}, "reply": [reply], "error": [error]})
 
-    return batched.groupBy(*keys).applyInPandas(run, f"{kinds}, reply string")
+    return batched.groupBy(*keys).applyInPandas(run, f"{kinds}, reply string, error string")
 
 
 def parsed(replies: DataFrame, schema: str) -> DataFrame:
@@ -91,19 +99,79 @@ def rule_significance(rows: pd.DataFrame) -> str:
     return json.dumps({"significant_urls": list(found), "reasons": found})
 
 
-def curate_sites(pages: DataFrame, provider: Provider = rule_curation) -> DataFrame:
-    """``(site, mark, answer)``: a whole site in one question.
+def rule_outline(rows: pd.DataFrame) -> str:
+    """Sections whose names differ in case or outer space alone are one, described by their pages."""
+    alike: dict[str, list[tuple[str, int]]] = {}
+    for name, n in sorted(zip(rows["name"], rows["n"], strict=True)):
+        alike.setdefault(name.strip().lower(), []).append((name, int(n)))
+    sections = [{"name": v[0][0], "description": f"{sum(n for _, n in v)} pages under {v[0][0]}.", "sources": [x for x, _ in v]} for v in alike.values()]
+    return json.dumps({"sections": sections})
 
-    The question is one group of rows, so ``pages`` should be what a crawl with a budget
-    gave (``links.crawl``), not every page that a large host has.
-    """
-    return parsed(ask(pages.select("site", "url", "title"), provider, ("site",)), CURATION)
 
+def rule_header(rows: pd.DataFrame) -> str:
+    """What stands above a site's sections."""
+    site = rows["site"].iloc[0]
+    return json.dumps({"site_title": site, "tagline": f"Pages of {site}", "overview": f"{int(rows['pages'].iloc[0])} pages."})
+
+
+class Curated(NamedTuple):
+    """``sections (site, section, description, n)``, ``pages (site, section, url, title)`` and ``headers (site, mark, answer)``."""
+
+    sections: DataFrame
+    pages: DataFrame
+    headers: DataFrame
 
-def curated_pages(answers: DataFrame) -> DataFrame:
-    """``(site, section_ord, section, page_ord, url, title)`` of curation answers."""
-    listed = answers.select("site", F.posexplode("answer.sections").alias("section_ord", "s"))
-    return listed.select("site", "section_ord", F.col("s.name").alias("section"), F.posexplode("s.pages").alias("page_ord", "p")).select("site", "section_ord", "section", "page_ord", "p.url", "p.title")
+
+#: Pages that a provider curates at once, and section names that it merges at once.
+AT_ONCE, NAMES = 100, 50
+#: Fixed value: the section of pages that no reply places.
+OTHER = "Other"
+
+
+def curate_sites(pages: DataFrame, provider: Provider = rule_curation, merger: Provider = rule_outline, header: Provider = rule_header, at_once: int = AT_ONCE, names: int = NAMES, store: ReplyStore | None = None) -> Curated:
+    """Sites ``pages (site, url, title)`` in sections, on two levels, so that no question holds a site.
+
+    First, batches of about ``at_once`` pages of a site, dealt by hash, are put in sections
+    each for itself. Then the sections' names and sizes, without pages, are merged by up to
+    ``names`` a question, like names together, again and again until no site has more or two
+    rounds have merged none. Last, the site's header is asked for with its largest sections. Pages whose batch failed, or
+    that no section lists, go to ``Other``; section names that a merger does not mention
+    stay.
+    """
+    once = pages.select("site", "url", "title").groupBy("site", "url").agg(F.min("title").alias("title"))
+    sizes = once.groupBy("site").agg(F.count("*").alias("_n"))
+    batch = F.pmod(F.xxhash64("url"), F.ceil(F.col("_n") / at_once)).alias("batch")
+    asked = once.join(sizes, "site").select("site", batch, "url", "title")
+    answers = parsed(ask(asked, provider, store=store), CURATION)
+    placed = answers.select("site", F.posexplode("answer.sections").alias("at", "s")).select("site", F.explode("s.pages.url").alias("url"), F.struct("at", F.col("s.name").alias("name")).alias("s"))
+    first = placed.where("s.name IS NOT NULL").groupBy("site", "url").agg(F.min("s")["name"].alias("name"))
+    assigned = cut(once.join(first, ["site", "url"], "left").withColumn("name", F.coalesce("name", F.lit(OTHER))))
+
+    current = cut(assigned.groupBy("site", "name").agg(F.count("*").alias("n")))
+    final = current.select("site", "name", F.col("name").alias("section"))
+    idle = 0
+    for turn in count():
+        # Like names side by side, then like sizes; every other time with the borders moved.
+        order = [F.desc("n"), F.col("name")] if turn % 2 else [F.lower(F.trim("name")), F.col("name")]
+        rank = F.row_number().over(Window.partitionBy("site").orderBy(*order)) - 1 + (names // 2 if turn % 4 > 1 else 0)
+        batched = current.withColumn("batch", F.floor(rank / names).cast("long")).select("site", "batch", "name", "n")
+        merged = parsed(ask(batched, merger, store=store), OUTLINE).select("site", F.explode("answer.sections").alias("s"))
+        step = merged.select("site", F.explode("s.sources").alias("name"), F.struct("s.name", "s.description").alias("s")).groupBy("site", "name").agg(F.min("s").alias("s"))
+        new = cut(current.join(step, ["site", "name"], "left").select("site", "name", "n", F.coalesce("s.name", "name").alias("section"), "s.description"))
+        final = cut(final.withColumnRenamed("section", "_was").join(new.select("site", F.col("name").alias("_was"), "section"), ["site", "_was"]).select("site", "name", "section"))
+        before = current.count()
+        described = new.groupBy("site", "section").agg(F.sum("n").alias("n"), F.max_by("description", F.struct("n", "description")).alias("description"))
+        current = cut(described.withColumnRenamed("section", "name"))
+        left = current.groupBy("site").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+        idle = idle + 1 if left.n >= before else 0
+        if not left.n or left.most <= names or idle == 2:
+            break
+
+    sections = current.select("site", F.col("name").alias("section"), "description", "n")
+    rank = F.row_number().over(Window.partitionBy("site").orderBy(F.desc("n"), "section"))
+    shown = sections.withColumn("_rank", rank).withColumn("pages", F.sum("n").over(Window.partitionBy("site"))).where(F.col("_rank") <= names)
+    headers = parsed(ask(shown.select("site", "section", "description", "n", "pages"), header, ("site",), store=store), HEADER)
+    return Curated(sections, assigned.join(final, ["site", "name"]).select("site", "section", "url", "title"), headers)
 
 
 def significant(changes: DataFrame, provider: Provider = rule_significance) -> DataFrame:

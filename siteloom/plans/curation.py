@@ -8,27 +8,48 @@ from pyspark.sql import functions as F
 from siteloom import api
 from siteloom.conf import CONF
 from siteloom.functions.dom import facts
-from siteloom.operators import curate, providers, schedule
+from siteloom.operators import curate, providers, replies, schedule
 from siteloom.plans.base import HOST, SNAPSHOTS, pages, query, sql_clean, sql_main, sql_title, table
 from siteloom.plans.changes import _PAIRS, _pairs, sectioned
 from siteloom.plans.state import _at, _queue, _utc
+from siteloom.storage import new_path
 
 _SEG = "coalesce(nullif(regexp_extract(url, '^https?://[^/?#]+/([^/?#]*)', 1), ''), 'Other')"
 
 
 @query("curate_full", f"WITH p AS (SELECT {HOST} AS site, url, {sql_title('html')} AS title, {_SEG} AS section FROM pages) SELECT site, section, count(*) || ' pages under ' || section || '.' AS description, count(*) AS n, string_agg(title, '|' ORDER BY url) AS titles FROM p GROUP BY site, section")
 def curate_full(spark, d):
-    answers = providers.curate_sites(sectioned(spark, d))
-    listed = answers.select("site", F.explode("answer.sections").alias("s"))
-    titles = F.array_join(F.transform("s.pages", lambda p: p["title"]), "|")
-    return listed.select("site", F.col("s.name").alias("section"), F.col("s.description").alias("description"), F.size("s.pages").cast("long").alias("n"), titles.alias("titles"))
+    """Batches of a site curated each for itself, then merged; the titles of a section in one text are the query's, not the operator's."""
+    found = providers.curate_sites(sectioned(spark, d))
+    titles = found.pages.groupBy("site", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", "title"))), lambda p: p["title"]), "|").alias("titles"))
+    return found.sections.join(titles, ["site", "section"]).select("site", "section", "description", "n", "titles")
+
+
+@query("curate_headers", f"SELECT {HOST} AS site, 'Pages of ' || {HOST} AS tagline, count(DISTINCT url) || ' pages.' AS overview FROM pages GROUP BY ALL")
+def curate_headers(spark, d):
+    return providers.curate_sites(sectioned(spark, d), at_once=10, names=3).headers.select("site", "answer.tagline", "answer.overview")
+
+
+@query("reply_store", f"""WITH b AS (SELECT {HOST} AS site, url, (row_number() OVER (PARTITION BY {HOST} ORDER BY page_id) - 1) // 25 AS batch FROM pages)
+    SELECT site, batch, count(*) FILTER (NOT regexp_matches(lower(url), '{"|".join(curate.IRRELEVANT)}')) AS n_relevant, 1::BIGINT AS times_asked FROM b GROUP BY ALL""")
+def reply_store(spark, d):
+    """Every second batch is asked about, then all: the provider meets each question once."""
+    batched = curate.batches(sectioned(spark, d)).select("site", "batch", "page_id", "url")
+    store, name = replies.ReplyStore(spark, new_path(spark, "replies")), curate.rule_provider.__name__
+    curate.replies(batched.where("batch % 2 = 0"), store=store)
+    found = curate.replies(batched, store=store)
+    asked = store.read().groupBy("mark").agg(F.count("*").alias("times_asked"))
+    marks = replies.questions(batched, ("site", "batch"), name).select("site", "batch", "mark").join(asked, "mark")
+    n = F.size(F.from_json("reply", "struct<relevant_urls:array<string>>")["relevant_urls"]).cast("long")
+    return found.join(marks, ["site", "batch"]).select("site", "batch", n.alias("n_relevant"), "times_asked")
 
 
 @query("curate_pages", f"WITH p AS (SELECT {HOST} AS site, url, {_SEG} AS section FROM pages) SELECT site, section, url FROM p")
 def curate_pages(spark, d):
     """Answers unfolded to pages, grounded in the real ones."""
     s = sectioned(spark, d)
-    return curate.grounded(providers.curated_pages(providers.curate_sites(s)), s).select("site", "section", "url")
+    placed = providers.curate_sites(s).pages.withColumns({"section_ord": F.lit(0), "page_ord": F.lit(0)})
+    return curate.grounded(placed, s).select("site", "section", "url")
 
 
 def _batched(spark, d):
