@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siteloom.conf import CONF
 from siteloom.functions import dom, html, text, url
 from siteloom.operators import links
-from siteloom.plans.base import HOST, KEY, _sql_decoded, pages, query, sql_clean, sql_hash, sql_main, sql_nav, sql_plain, sql_title, table
+from siteloom.plans.base import HOST, KEY, ORACLES, _sql_decoded, pages, query, sql_clean, sql_hash, sql_main, sql_nav, sql_plain, sql_title, table
+from siteloom.sources import crawl_rounds as crawl_sites
 from siteloom.sources import responses
+from siteloom.sources.site_crawl import save_pages
+from siteloom.storage import new_path
 
 _PATH = "regexp_extract(url, '^https?://[^/?#]+([^?#;]*)', 1)"
 
@@ -219,14 +223,44 @@ _BUDGET = 20
     SELECT site, node, CAST(depth AS BIGINT) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, node) AS place FROM r) WHERE place <= {_BUDGET}""")
 def crawl_budget(spark, d):
     """A crawl by links inside the pages; each page gets links to two others of its site, and some that a crawl leaves."""
+    made = _linked(spark, d)
+    return links.crawl(made, made.where("i = 1"), _BUDGET)
+
+
+def _linked(spark, d):
+    """A page for each normal form, with links to two others of its site."""
     from pyspark.sql import Window
 
     keys = pages(spark, d).select(url.host("url").alias("site"), url.page_key("url").alias("node")).distinct()
     numbered = keys.withColumn("i", F.row_number().over(Window.partitionBy("site").orderBy("node")))
     to = F.concat(F.lit('<a href="'), F.col("node"), F.lit('?from=1&amp;x#top">n</a><a href="mailto:a@b.c">m</a><a href="http://elsewhere.org/">o</a>'))
     inside = numbered.where("i % 3 < 2 AND i >= 3").select("site", F.expr("i div 3").alias("i"), to.alias("link")).groupBy("site", "i").agg(F.array_join(F.array_sort(F.collect_list("link")), "").alias("links"))
-    made = numbered.join(inside, ["site", "i"], "left").select(F.col("i").alias("page_id"), F.col("node").alias("url"), F.coalesce("links", F.lit("")).alias("html"), "i")
-    return links.crawl(made, made.where("i = 1"), _BUDGET)
+    return numbered.join(inside, ["site", "i"], "left").select(F.col("i").alias("page_id"), F.col("node").alias("url"), F.coalesce("links", F.lit("")).alias("html"), "i")
+
+
+_LIMITED = ORACLES["crawl_budget"].split("SELECT site, node, CAST(depth")[0]
+
+
+@query("discover_urls", f"""{_LIMITED} SELECT node AS url FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY depth, node) AS place FROM r) WHERE place <= 500""")
+def discover_urls(spark, d):
+    """Addresses alone, with discovery's own limit and skip list: icons and fonts that every page links to do not count."""
+    files = F.lit('<a href="/favicon.ICO">i</a><a href="/f.woff2?v=1">f</a><a href="/a.woff">g</a><a href="/logo.svg">s</a>')
+    made = _linked(spark, d).withColumn("html", F.concat(files, "html"))
+    both = made.unionByName(made.where("i = 1").withColumn("url", F.concat(F.regexp_extract("url", "^(https?://[^/]+)", 1), F.lit("/favicon.ico"))))
+    return links.crawl(both, made.where("i = 1"), CONF.max_discovered, url.SKIP_DISCOVERY).select(F.col("node").alias("url"))
+
+
+@query("crawl_rounds", ORACLES["crawl_budget"].replace("SELECT site, node, CAST(depth AS BIGINT) AS depth FROM (", "SELECT lower(site) AS site, node, CAST(depth AS BIGINT) AS depth FROM ("))
+def crawl_rounds(spark, d):
+    """The same sites saved as files and crawled round by round, stopped after two rounds and called again; links to pages that are missing use no budget."""
+    made = _linked(spark, d)
+    missing = F.concat(F.lit('<a href="/0-missing">x</a>'), "html")
+    folder = new_path(spark, "saved")
+    save_pages(made.select("url", missing.alias("html")), folder)
+    at, options = new_path(spark, "crawl"), {"folder": folder, "delay": "0", "tries": "1"}
+    crawl_sites.Crawl(spark, at, options, _BUDGET).run(made.where("i = 1"), rounds=2)
+    found = crawl_sites.Crawl(spark, at, options, _BUDGET).run(made.where("i = 1"))
+    return found.where("ok").select("site", "node", "depth")
 
 
 @query("batch_scrape", f"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^(https?://[^/?#]+)', 1) || coalesce(nullif(rtrim({_PATH}, '/'), ''), '/')) AS key FROM pages)
