@@ -9,9 +9,11 @@ every text fixed; two are aligned item by item, and mismatches are resolved:
 * a run of like items, or of like short squares of items, folds into one repeated group;
 * items that only one side has become optional.
 
-Aligning is how partial wrappers merge as well, so every page of a host counts: each task
-infers the wrappers of the pages it holds and the partial ones merge by host. A text of a
-wrapper also counts on how many pages each of its strings stands there.
+Every page of a host counts, and neither the order nor the partitions of the table do: pages
+of one shape, which is the page without its texts, add up; the shapes of a host are aligned
+in the order of their bytes, first those of one hash bucket, then the buckets. A second pass
+parses every page against its host's wrapper and counts on how many pages each string
+stands at each of its texts.
 
 What a wrapper is used for:
 
@@ -38,7 +40,9 @@ import json
 import re
 from collections.abc import Generator, Iterator
 from functools import lru_cache
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -82,8 +86,8 @@ _MOST_SQUARE = 3
 #: A template's string stands on half the pages of its host, on as many different ones at least,
 #: and all such strings are at most this part of a page's content.
 LEAST, MOST_FIXED = 5, 1 / 3
-#: Strings that a text of a wrapper counts at most; cells of a full alignment, beyond which it is greedy.
-_COUNTED, _CELLS = 512, 1 << 20
+#: Cells of a full alignment, beyond which it is greedy; buckets of a host's shapes; counts that a task holds.
+_CELLS, _BUCKETS, _HELD = 1 << 20, 256, 200_000
 
 
 def run(call: Generator):
@@ -261,10 +265,6 @@ def _added(a: Node, b: Node, across: bool) -> dict[int, list]:
             out[k] = [m + n if across else max(m, n), length, sorted({*seen, *also})[:LEAST]]
         else:
             out[k] = [n, length, seen]
-    if across and (pages := a.pages + b.pages) >= LEAST:  # what is rare so far is no template's
-        out = {k: v for k, v in out.items() if 4 * v[0] >= pages}
-    if len(out) > _COUNTED:
-        out = dict(sorted(out.items(), key=lambda x: (-x[1][0], x[0]))[:_COUNTED])
     return out
 
 
@@ -360,15 +360,20 @@ def _digest(text: str) -> int:
     return xxhash.xxh64_intdigest(" ".join(text.split()), 1)
 
 
-def page_wrapper(page: str) -> Node:
-    """A page as an expression: every run of like items folded, inner lists first."""
+def _page_digest(root: Node) -> int:
+    """Of all texts of a page."""
+    return _digest("\n".join(n.text for n in root.walk() if n.text is not None))
+
+
+def page_wrapper(page: str, counted: bool = True) -> Node:
+    """A page as an expression: every run of like items folded, inner lists first; with its strings, if they are to be counted."""
     root = page_tree(page)
     nodes = list(root.walk())
-    seen = _digest("\n".join(n.text for n in nodes if n.text is not None))
+    seen = _page_digest(root) if counted else 0
     for n in nodes:
         if n.text is not None:
             n.chars = len(n.text)
-            n.counts = {_digest(n.text): [1, n.chars, [seen]]}
+            n.counts = {_digest(n.text): [1, n.chars, [seen]]} if counted else {}
     for n in reversed(nodes):
         if len(n.kids) > 1:
             n.kids = run(_fold(n.kids))
@@ -579,47 +584,148 @@ def host_of(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """``(host, wrapper)`` of ``pages (host, html)``, the wrapper as a plan: every page is aligned, in tasks first, then by host."""
+def _shape(wrapper: Node) -> tuple[str, list[int], list[int]]:
+    """An expression without its texts, and the characters of its items, all and those in links."""
+    nodes = list(wrapper.walk())
+    return json.dumps([[n.key, int(n.opt) + 2 * int(n.rep), len(n.kids)] for n in nodes]), [n.chars for n in nodes], [n.linked for n in nodes]
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Node] = {}
 
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"host": list(held), "wrapper": [json.dumps(w.dump()) for w in held.values()]}, pa.schema([("host", pa.string()), ("wrapper", pa.string())]))
-            held.clear()
-            return out
+def _of_shape(shape: str, pages: int, chars: list[int], linked: list[int]) -> Node:
+    return Node.load([[key, flags, c, x, None, pages, [], kids] for (key, flags, kids), c, x in zip(json.loads(shape), chars, linked, strict=True)])
 
-        for b in batches:
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                new = page_wrapper(page or "")
-                held[host] = merged(held[host], new) if host in held else new
-                if len(held) >= 5000:
-                    yield flush()
-        if held:
-            yield flush()
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, None
-        for b in batches:
-            out: list[tuple] = []
-            for host, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                new = Node.load(json.loads(text))
-                if host == now:
-                    held = merged(held, new)
-                else:
-                    if held is not None:
-                        out.append((now, content_of(held).dump()))
-                    now, held = host, new
-            yield rows(out)
-        if held is not None:
-            yield rows([(now, content_of(held).dump())])
-
-    def rows(found: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["host", "wrapper"])
-
-    parts = pages.select("host", "html").mapInArrow(partial, "host string, wrapper string")
-    return parts.repartition(partitions(pages.sparkSession), "host").sortWithinPartitions("host", "wrapper").mapInArrow(merge, "host string, wrapper string")
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], k) for k in schema.types], schema=schema)
+
+
+_SHAPES = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("shape", pa.string()), ("pages", pa.int64()), ("chars", pa.list_(pa.int64())), ("linked", pa.list_(pa.int64()))])
+_WRAPPERS = pa.schema([("host", pa.string()), ("bucket", pa.int32()), ("wrapper", pa.string())])
+_STRINGS = pa.schema([("host", pa.string()), ("pages", pa.int64()), ("place", pa.int32()), ("digest", pa.int64()), ("n", pa.int64()), ("length", pa.int64()), ("seen", pa.list_(pa.int64()))])
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of one host and shape added up, in a task first."""
+    held: dict[tuple[str, str], list] = {}
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        rows = [(h, xxhash.xxh64_intdigest(s, 2) % _BUCKETS, s, n, c.tolist(), x.tolist()) for (h, s), (n, c, x) in held.items()]
+        held.clear()
+        return _batch(rows, _SHAPES)
+
+    for b in batches:
+        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            shape, chars, linked = _shape(page_wrapper(page or "", counted=False))
+            if (found := held.get((host, shape))) is not None:
+                found[0] += 1
+                found[1] += np.array(chars)
+                found[2] += np.array(linked)
+            else:
+                held[host, shape] = [1, np.array(chars), np.array(linked)]
+                size += len(shape)
+            if size > 16 << 20:
+                yield flush()
+                size = 0
+    if held:
+        yield flush()
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by host, bucket and shape: like shapes add up, the others are aligned in this order."""
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(6)), strict=True))
+    for (host, bucket), of in groupby(rows, key=lambda r: r[:2]):
+        whole = None
+        for shape, same in groupby(of, key=lambda r: r[2]):
+            parts = list(same)
+            one = _of_shape(shape, sum(r[3] for r in parts), *([sum(c) for c in zip(*(r[k] for r in parts), strict=True)] for k in (4, 5)))
+            whole = one if whole is None else merged(whole, one)
+        yield _batch([(host, bucket, json.dumps(whole.dump()))], _WRAPPERS)
+
+
+def _by_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True))
+    for host, of in groupby(rows, key=lambda r: r[0]):
+        whole = None
+        for _, _, text in of:
+            one = Node.load(json.loads(text))
+            whole = one if whole is None else merged(whole, one)
+        yield _batch([(host, 0, json.dumps(whole.dump()))], _WRAPPERS)
+
+
+def infer_structures(pages: DataFrame) -> DataFrame:
+    """``(host, wrapper)`` of ``pages (host, html)``: the expression of all pages of each host, without their strings."""
+    n = partitions(pages.sparkSession)
+    shapes = pages.select("host", "html").mapInArrow(_shapes, "host string, bucket int, shape string, pages long, chars array<bigint>, linked array<bigint>")
+    parts = shapes.repartition(n, "host", "bucket").sortWithinPartitions("host", "bucket", "shape").mapInArrow(_by_bucket, "host string, bucket int, wrapper string")
+    return parts.repartition(n, "host").sortWithinPartitions("host", "bucket").mapInArrow(_by_host, "host string, bucket int, wrapper string").drop("bucket")
+
+
+def _texts(page: Node, root: Node) -> Iterator[tuple[Node, str]]:
+    """A page's texts with the items that they match."""
+    waiting = [(page, root)]
+    while waiting:
+        node, item = waiting.pop()
+        if node.key == _TEXT:
+            yield item, node.text
+        elif node.kids:
+            waiting += [(k, x) for k, x in reversed(list(zip(node.kids, _places(node.kids, item.kids), strict=True))) if x is not None]
+
+
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many pages have a string at a place of their host's wrapper, with the least digests of such pages."""
+    loaded: dict[str, tuple[Node, dict[int, int]]] = {}
+    held: dict[tuple, list] = {}
+
+    def flush() -> pa.RecordBatch:
+        rows = [(host, pages, place, string - (1 << 64) if string >> 63 else string, n, length, sorted(seen)) for (host, pages, place, string), (n, length, seen) in held.items()]
+        held.clear()
+        return _batch(rows, _STRINGS)
+
+    for b in batches:
+        for host, page, wrapper in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            if host not in loaded:
+                if len(loaded) >= 1000:
+                    loaded.clear()
+                root = Node.load(json.loads(wrapper))
+                loaded[host] = root, {id(n): i for i, n in enumerate(root.walk())}
+            root, places = loaded[host]
+            tree = page_tree(page or "")
+            digest = _page_digest(tree) & (1 << 63) - 1
+            for place, string, length in {(places[id(item)], _digest(x), len(x)) for item, x in _texts(tree, root)}:
+                found = held.setdefault((host, root.pages, place, string), [0, 0, set()])
+                found[0] += 1
+                found[1] = max(found[1], length)
+                if digest not in found[2]:
+                    found[2] = {*sorted({*found[2], digest})[:LEAST]}
+            if len(held) > _HELD:
+                yield flush()
+    if held:
+        yield flush()
+
+
+def _planned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Wrappers with the template's strings at their places, made ready for pages."""
+    schema = pa.schema([("host", pa.string()), ("wrapper", pa.string())])
+    for b in batches:
+        rows = []
+        for host, wrapper, strings in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            root = Node.load(json.loads(wrapper))
+            nodes = list(root.walk())
+            for s in strings or []:
+                nodes[s["place"]].counts[s["digest"] & (1 << 64) - 1] = [s["n"], s["length"], s["seen"]]
+            rows.append((host, content_of(root).dump()))
+        yield _batch(rows, schema)
+
+
+def infer_wrappers(pages: DataFrame) -> DataFrame:
+    """``(host, wrapper)`` of ``pages (host, html)``, the wrapper as a plan, the same for any order and partitions of the pages."""
+    structures = materialize(infer_structures(pages), "structures")
+    counted = pages.join(structures, "host").select("host", "html", "wrapper").mapInArrow(_strings, "host string, pages long, place int, digest long, n long, length long, seen array<bigint>")
+    seen = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, LEAST)
+    found = counted.groupBy("host", "place", "digest").agg(F.max("pages").alias("pages"), F.sum("n").alias("n"), F.max("length").alias("length"), seen.alias("seen"))
+    template = found.where((2 * F.col("n") >= F.col("pages")) & (F.size("seen") >= LEAST))
+    by_host = template.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", "digest", "n", "length", "seen"))).alias("strings"))
+    return structures.join(by_host, "host", "left").select("host", "wrapper", "strings").mapInArrow(_planned, "host string, wrapper string")
 
 
 def main_text(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -128,3 +128,21 @@ def test_deep_and_long_pages(spark):
     assert text(long) == "\n".join(map(str, range(20_000)))
     df = spark.createDataFrame([(0, "http://h/", deep), (1, "http://h/", long)], "page_id long, url string, html string")
     assert {r.id: len(r.text) for r in w.main_text(df).collect()} == {0: 4, 1: len(text(long))}
+
+
+def test_texts_do_not_depend_on_the_order_or_partitions_of_pages(spark):
+    """Strings that some pages share, options and repeats, folded forwards, backwards, mixed, in one task and in many."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for i in range(60):
+        shared = "<p>Join our readers on the spring list today.</p>" if i >= 26 else ""
+        odd = rng.choice(["", "<h2>Part</h2><p>x</p>", "<ul><li>a<li>b</ul>", "<div class=box><p>in a box</p></div>"])
+        rows.append((i, f"http://h{i % 2}.org/{i}", f"<body><div class=m>menu</div><div class=x><h1>T{i}</h1>{shared}<p>{words(i, 30)}</p>{odd}{'<p>' + words(i + 99, 8) + '</p>' * (i % 4)}</div></body>"))
+    got = []
+    for n, order in enumerate((rows, rows[::-1], rng.sample(rows, len(rows)), rng.sample(rows, len(rows)))):
+        df = spark.createDataFrame(order, "page_id long, url string, html string").repartition((1, 7, 3, 20)[n])
+        got.append({r.id: r.text for r in w.main_text(df).collect()})
+    assert got[0] == got[1] == got[2] == got[3] and all(f"T{i}" in t and words(i, 30) in t for i, t in got[0].items())
+    assert sum("spring list" in t for t in got[0].values()) < 5  # of 34, half of the pages of each host
