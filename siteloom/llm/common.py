@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -34,8 +35,15 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/siteloom/{tag}-{uuid.uuid4().hex}"
 
 
-#: Tables of :func:`materialize`, in the order in which this session made them.
-MADE: list[str] = []
+class _Made(threading.local):
+    """A thread's tables: ``paths`` of :func:`materialize` in their order, ``stored`` by stages that are over."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+        self.stored: list[str] = []
+
+
+MADE = _Made()
 
 
 def sweep(spark: SparkSession, paths: list[str], reader: DataFrame) -> None:
@@ -62,7 +70,7 @@ def materialize(df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     (df.write.partitionBy(by) if by else df.write).parquet(path)
     until_exit(df.sparkSession, path)
-    MADE.append(path)
+    MADE.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -205,10 +205,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """The rows of ``df`` whose id is the least of their class.
 
-    The id is the document: rows that repeat a kept id stay with it, rows without one stay.
-    Candidates come from SimHash fingerprints through vantage-point trees; a link is a
-    Jaccard similarity of ``width``-word shingle sets of 0.8 or more.
+    A document is an id with a text: rows that repeat a kept one stay with it, an id's other
+    text is judged for itself, rows without an id stay. Candidates come from SimHash
+    fingerprints through vantage-point trees; a link is a Jaccard similarity of
+    ``width``-word shingle sets of 0.8 or more.
     """
     classes = near_copies(df, id_col, text_col, width)
-    lost = classes.where(F.col("id") > F.col("class_id")).select(F.col("id").alias(id_col)).distinct()
-    return df.join(lost, id_col, "left_anti").select(df.columns)
+    lost = classes.where(F.col("id") > F.col("class_id")).select("id", F.col("row").alias("text")).distinct()
+    keyed = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text"))
+    return keyed.join(lost, ["id", "text"], "left_anti").select("row.*")

@@ -21,11 +21,14 @@ import gzip
 import hashlib
 import io
 import json
+import re
 import struct
 import zipfile
+import zlib
 from base64 import b32decode, b32encode
 from collections.abc import Iterator
 from typing import NamedTuple
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -38,6 +41,7 @@ from siteloom.llm.files import attempt_name, opened
 #: Least payload that a revisit may stand for.
 LEAST = 1000
 #: Member names and the profile of a revisit.
+ARCHIVES, INDEXES = "archive/", "indexes/"
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Pages carry no time of capture.
@@ -49,12 +53,14 @@ def with_roles(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """``(id, url, payload, refers_to)``: ``refers_to`` is null for responses.
 
     Only payloads that occur more than once are joined, one row each; the rows of a
-    frequent payload may sit in one partition of the join, which Spark splits.
+    frequent payload may sit in one partition of the join, which Spark splits. Rows without a
+    digest get a key of their own each, so the many small pages do not meet in one task.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.encode(F.coalesce(html_col, F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     heads = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.max("id").alias("head"), F.count("*").alias("n")).where("n > 1 AND head IS NOT NULL")
-    joined = rows.join(heads.select("digest", "head"), "digest", "left")
+    apart = F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64("id", "url", "payload").cast("string")))  # no digest has a dash
+    joined = rows.withColumn("digest", apart).join(heads.select("digest", "head"), "digest", "left")
     return joined.select("id", "url", "payload", F.when(~F.col("id").eqNullSafe(F.col("head")), F.col("head")).alias("refers_to"))
 
 
@@ -98,7 +104,7 @@ def parse_record(raw: bytes) -> Parsed:
     kind = fields["WARC-Type"]
     if kind == "response" and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != length):
         raise ValueError("the payload does not match its digest")
-    number = lambda x: int(x.removeprefix("<urn:page:").rstrip(">")) if x != "<urn:page:>" else None
+    number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x)) else None
     to = fields.get("WARC-Refers-To")
     return Parsed(number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), payload if kind == "response" else None, length, digest, kind, number(to) if to else None)
 
@@ -118,7 +124,8 @@ class ArchiveWriter:
     def add(self, key: int | None, url: str | None, payload: bytes, refers_to: int | None) -> None:
         packed = gzip.compress(record(key, url, payload, refers_to), 6, mtime=0)
         self.data.write(packed)
-        self.index.write(json.dumps({"page": key, "offset": self.at, "length": len(packed)}) + "\n")
+        line = json.dumps({"page": key, "filename": DATA.removeprefix(ARCHIVES), "offset": str(self.at), "length": str(len(packed))})
+        self.index.write(f"{quote(url or '-', safe=':/?&=')} {re.sub('[^0-9]', '', DATE)} {line}\n")
         self.at += len(packed)
 
     def close(self) -> None:
@@ -173,14 +180,24 @@ def read_directory(read, size: int) -> dict[str, Member]:
 
 
 class ArchiveReader:
-    """Records of an archive by byte range through a seekable stream."""
+    """Records of a package by byte range through a seekable stream.
+
+    Every member under ``archive/`` is read, and every index under ``indexes/``. An index
+    line is JSON with ``offset`` and ``length``, after a key and a time as in CDXJ or alone,
+    and names its member as ``filename``, unless there is one only. Members that no index
+    lists are walked record by record. A member that is compressed once more, a line that
+    points to none, and one that is no record's are errors.
+    """
 
     def __init__(self, source, size: int) -> None:
         self.source = source
         self.members = read_directory(self.read, size)
-        self.data, self.size = self._stored(DATA)
-        at, length = self._stored(INDEX)
-        self.index = [json.loads(x) for x in self.read(at, length).decode().splitlines()]
+        self.data = {name: self._stored(name) for name in sorted(self.members) if name.startswith(ARCHIVES) and not name.endswith("/")}
+        if not self.data:
+            raise ValueError(f"no member under {ARCHIVES}")
+        self.index = sorted((e for name in sorted(self.members) if name.startswith(INDEXES) and not name.endswith("/") for e in self._lines(name)), key=lambda e: (e["member"], e["offset"]))
+        listed = {e["member"] for e in self.index}
+        self.walked = [name for name in self.data if name not in listed]
 
     def read(self, at: int, length: int) -> bytes:
         self.source.seek(at)
@@ -196,21 +213,57 @@ class ArchiveReader:
             raise ValueError(f"no local header of {name}")
         return found.header + 30 + sum(struct.unpack("<HH", local[26:30])), found.size
 
+    def _lines(self, name: str) -> Iterator[dict]:
+        """Entries of an index: where a record is, and what else its line says."""
+        raw = self.read(*self._stored(name))
+        for line in (gzip.decompress(raw) if name.endswith(".gz") else raw).decode().splitlines():
+            if not line.strip() or line.startswith("!"):  # a header line
+                continue
+            entry = json.loads(line if line.startswith("{") else line.split(" ", 2)[2])
+            member = ARCHIVES + entry["filename"].removeprefix(ARCHIVES) if "filename" in entry else next(iter(self.data)) if len(self.data) == 1 else None
+            if member not in self.data:
+                raise ValueError(f"a line of {name} points to no member: {line[:200]}")
+            yield entry | {"member": member, "offset": int(entry["offset"]), "length": int(entry["length"])}
+
     def record(self, entry: dict) -> Parsed:
-        return parse_record(gzip.decompress(self.read(self.data + entry["offset"], entry["length"])))
+        return parse_record(gzip.decompress(self.read(self.data[entry["member"]][0] + entry["offset"], entry["length"])))
 
     def records(self) -> Iterator[Parsed]:
-        """All records in order; neighbouring ranges share reads of a few MB."""
+        """All responses and revisits, listed ones first, in order; neighbouring ranges share reads of a few MB."""
         at = 0
         while at < len(self.index):
-            begin, stop, end = self.index[at]["offset"], at, 0
-            while stop < len(self.index) and (stop == at or end - begin < _READ):
-                end = self.index[stop]["offset"] + self.index[stop]["length"]
+            member, begin, stop, end = self.index[at]["member"], self.index[at]["offset"], at, 0
+            while stop < len(self.index) and self.index[stop]["member"] == member and (stop == at or end - begin < _READ):
+                end = max(end, self.index[stop]["offset"] + self.index[stop]["length"])
                 stop += 1
-            data = self.read(self.data + begin, end - begin)
+            data = self.read(self.data[member][0] + begin, end - begin)
             for x in self.index[at:stop]:
                 yield parse_record(gzip.decompress(data[x["offset"] - begin : x["offset"] - begin + x["length"]]))
             at = stop
+        for member in self.walked:
+            yield from (parse_record(raw) for raw in self._walk(member) if _kind(raw) in ("response", "revisit"))
+
+    def _walk(self, member: str) -> Iterator[bytes]:
+        """The records of a member that are gzip members of their own, one after the other."""
+        start, size = self.data[member]
+        at, tool, out = 0, zlib.decompressobj(31), []
+        while at < size:
+            data = self.read(start + at, min(_READ, size - at))
+            at += len(data)
+            while data:
+                out.append(tool.decompress(data))
+                data = tool.unused_data
+                if tool.eof:
+                    yield b"".join(out)
+                    tool, out = zlib.decompressobj(31), []
+        if out:
+            raise ValueError(f"{member} ends within a record")
+
+
+def _kind(raw: bytes) -> str:
+    """A record's type, by its head."""
+    found = re.search(rb"^WARC-Type:[ \t]*(\S+)", raw.partition(b"\r\n\r\n")[0], re.M | re.I)
+    return found[1].decode() if found else ""
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> DataFrame:

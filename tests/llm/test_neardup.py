@@ -103,3 +103,15 @@ def test_components_of_chains(spark):
     found = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert found == {i: i // 20 * 20 for i in range(n + 1) if i % 20 and i <= n} 
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_a_clean_text_outlives_its_ids_other_text(spark):
+    """An id with two texts of which one is a near copy of a smaller id: only that row goes."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(2000)]
+    base, clean = rng.choices(words, k=150), rng.choices(words, k=150)
+    near = [*base[:100], "changed", *base[101:]]
+    rows = [(1, " ".join(base), 0), (7, " ".join(near), 1), (7, " ".join(clean), 2), (7, " ".join(clean), 2), (8, " ".join(clean), 3), (9, None, 4), (9, "", 5), (10, "", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int")
+    kept = neardup.keep_one(df)
+    assert kept.columns == df.columns and sorted(r.id for r in kept.collect()) == [0, 2, 2, 4, 5]

@@ -88,3 +88,47 @@ def test_pages(spark):
         want.append((i, len(p), hashlib.sha1(p).hexdigest(), "revisit" if to is not None else "response", to))
     assert got == sorted(want, key=str)
     assert warc.read_archives(spark, warc.write_archives(df.limit(0))).count() == 0
+
+
+def package(members, compressed=()):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, data in members.items():
+            z.writestr(name, data, zipfile.ZIP_DEFLATED if name in compressed else zipfile.ZIP_STORED)
+    return out.getvalue()
+
+
+def test_packages_of_several_members_and_indexes():
+    """Two archives with CDXJ lines, one index packed, and a third archive that no index lists."""
+    import gzip
+    import json
+
+    parts = [[gzip.compress(warc.record(i, f"http://h/{i}", f"page {i}".encode() * 9, None)) for i in some] for some in ((1, 2, 3), (4, 5), (6, 7))]
+    info = gzip.compress(b"WARC/1.1\r\nWARC-Type: warcinfo\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    parts[2].insert(0, info)
+    lines = []
+    for n, records in enumerate(parts[:2]):
+        at = 0
+        for r in records:
+            lines.append(f"h)/{n} 20240101000000 " + json.dumps({"url": "http://h/{x}", "filename": f"data-{n}.warc.gz", "offset": str(at), "length": str(len(r))}))
+            at += len(r)
+    members = {f"archive/data-{n}.warc.gz": b"".join(records) for n, records in enumerate(parts)}
+    indexes = {"indexes/a.cdxj": ("!meta {}\n" + lines[4] + "\n\n" + lines[0] + "\n").encode(), "indexes/b.cdx.gz": gzip.compress("\n".join(lines[1:4]).encode()), "pages/pages.jsonl": b"not an index", "archive/": b""}
+    data = package(members | indexes)
+    reader = warc.ArchiveReader(io.BytesIO(data), len(data))
+    assert [r.page_id for r in reader.records()] == [1, 2, 3, 4, 5, 6, 7] and len(reader.index) == 5
+    assert [reader.record(e).payload for e in reader.index] == [f"page {i}".encode() * 9 for i in (1, 2, 3, 4, 5)]
+    read = lambda d: list(warc.ArchiveReader(io.BytesIO(d), len(d)).records())
+    for members_, packed, why in (
+        (members | {"indexes/c.cdxj": b'k 1 {"filename": "none.warc.gz", "offset": 0, "length": 1}'}, (), "no member"),
+        (members, ("archive/data-1.warc.gz",), "not stored"),
+        ({"archive/a.warc.gz": parts[0][0][:-9]}, (), "within a record"),
+        ({"indexes/a.cdxj": b""}, (), "no member under"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            read(package(members_, packed))
+
+
+def test_small_pages_do_not_share_a_key(spark):
+    df = spark.createDataFrame([(i, f"http://h/{i}", "small") for i in range(200)], "page_id long, url string, html string")
+    assert warc.with_roles(df).where("refers_to IS NOT NULL").count() == 0
