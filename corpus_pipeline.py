@@ -13,19 +13,15 @@ from siteloom.llm.common import MADE, new_path, sweep, until_exit
 from siteloom.llm.queries import PACKED_WITH, tokenizer
 
 
-#: Tables that the stages so far have stored for themselves.
-_STORED: list[str] = []
-
-
 def _stage(fn):
     """A stage begins when the one before it is written, so what that one stored can go, unless it is still read."""
 
     @wraps(fn)
     def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        sweep(spark, _STORED, docs)
-        before = len(MADE)
+        sweep(spark, MADE.stored, docs)
+        before = len(MADE.paths)
         out = fn(spark, docs, sf_dir)
-        _STORED.extend(MADE[before:])
+        MADE.stored.extend(MADE.paths[before:])
         return out
 
     return staged
@@ -47,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the least id stays.
 
     Null and empty texts are copies of each other; rows without an id stay, and rows that
-    repeat a kept id with it; very long texts count whole; an empty table stays empty; all
+    repeat a kept id and text with it; an id's other text is judged for itself; very long texts count whole; an empty table stays empty; all
     columns stay.
     """
     return neardup.keep_one(docs)
