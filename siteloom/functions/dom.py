@@ -217,6 +217,12 @@ def title(elements: list[Element]) -> str:
     return next((k for k in found.kids if k.__class__ is str), "").strip() if found else ""
 
 
+def headings(elements: list[Element], tag: str) -> list[str]:
+    """Texts of the headings of a kind, in page order, white space as one; empty ones left out."""
+    texts = (" ".join("".join(e.strings(without=NOISY)).split()) for e in elements if e.tag == tag)
+    return [x for x in texts if x]
+
+
 def pruned_text(root: Element, most: int = CONF.fingerprint_chars) -> str:
     """Lines that identify a page's meaning, of a pruned tree; absent parts have no line."""
     elements = list(root.walk())
@@ -333,6 +339,7 @@ def _md_of(e: Element, depth: int, index: int | None, text: str) -> str:
 FACTS = T.StructType(
     [T.StructField(n, T.StringType()) for n in ("title", "description", "og_title", "og_description", "text")]
     + [T.StructField("nav", T.ArrayType(T.StringType())), T.StructField("visible", T.LongType()), T.StructField("needs_render", T.BooleanType()), T.StructField("hash", T.StringType())]
+    + [T.StructField("h1", T.StringType()), T.StructField("h2s", T.ArrayType(T.StringType()))]
 )
 
 
@@ -343,8 +350,9 @@ def page_facts(html: str) -> tuple:
     metas = [_meta(elements, a, n).strip() for a, n in (("name", "description"), ("property", "og:title"), ("property", "og:description"))]
     before = (title(elements), *metas, main_text(root))
     visible, render = visible_length(root), needs_render(html, root)
+    heads = next(iter(headings(elements, "h1")), ""), headings(elements, "h2")
     pruned = prune(root)
-    return (*before, nav_links(pruned), visible, render, hashlib.sha256(pruned_text(pruned).encode()).hexdigest())
+    return (*before, nav_links(pruned), visible, render, hashlib.sha256(pruned_text(pruned).encode()).hexdigest(), *heads)
 
 
 def _each(fn, *names: str):

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siteloom.functions.text import LINK
 from siteloom.functions.url import site_key
@@ -53,43 +58,77 @@ def assemble_flat(overviews: DataFrame, pages: DataFrame) -> DataFrame:
     return assemble(overviews, sections, shown)
 
 
-def parse_lines(docs: DataFrame, id_col: str = "site", content: str = "content") -> DataFrame:
-    """``(id, n, line, kind, section, title_n, tagline_n)`` of every line of every document.
+#: What :func:`read_lines` tells of a line.
+LINE = T.StructType([T.StructField("n", T.IntegerType()), *(T.StructField(x, T.StringType()) for x in ("line", "s", "kind")), T.StructField("section", T.LongType())])
+#: A link line as the plan's expressions see it: ASCII white space, and ends of line of any kind.
+_LINK = re.compile(LINK.replace(r"(.*)", "([^\n\r\x85\u2028\u2029]*)").replace("$", "(?=[\r\x85\u2028\u2029]?\\Z)"), re.ASCII)
+
+
+def read_lines(content: str) -> list[tuple[int, str, str, str, int]]:
+    """Number, line, trimmed line, kind and section of every line of a document, in one pass and a look back.
 
-    The parser's state as running values over a document's lines: a title, a tagline
-    after it, sections, link lists inside them, rules, the footer after the last rule
-    that no heading follows, and text, which belongs to the overview or to a section.
+    The parser's state: a title, a tagline after it, sections, link lists inside them,
+    rules, the footer after the last rule that no heading follows, and text, which belongs
+    to the overview or to a section.
     """
-    lines = docs.select(id_col, F.posexplode(F.split(content, "\n")).alias("n", "line")).withColumn("s", F.trim("line"))
-    doc = Window.partitionBy(id_col)
-    upto = doc.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    s, n = F.col("s"), F.col("n")
-    lines = lines.withColumn("title_n", F.min(F.when(s.startswith("# "), n)).over(doc)).withColumn("last_h2", F.max(F.when(F.col("line").contains("## "), n)).over(doc))
-    lines = lines.withColumn("tagline_n", F.min(F.when((n > F.col("title_n")) & s.startswith("> "), n)).over(doc))
-    lines = lines.withColumn("footer_n", F.min(F.when(s.startswith("---") & (n >= F.coalesce("last_h2", F.lit(-1))), n)).over(doc))
-    head = s.startswith("## ")
-    lines = lines.withColumn("section", F.sum(F.when(head, 1).otherwise(0)).over(upto).cast("long"))
-    listing = F.max(F.when(F.lower(s) == "### links", n)).over(upto)
-    lines = lines.withColumn("in_links", F.coalesce(listing > F.coalesce(F.max(F.when(head, n)).over(upto), F.lit(-1)), F.lit(False)))
-    kind = (
-        F.when(n > F.col("footer_n"), "footer")
-        .when(n == F.col("footer_n"), "rule")
-        .when((s == "") & (n < F.coalesce("title_n", F.lit(1 << 30))), "skip")
-        .when(n == F.col("title_n"), "title")
-        .when(n == F.col("tagline_n"), "tagline")
-        .when(head, "section")
-        .when(F.lower(s) == "### links", "links")
-        .when(F.col("in_links") & (F.col("section") > 0) & s.startswith("- "), F.when(s.rlike(LINK), "link").otherwise("swallowed"))
-        .when(s.startswith("---"), "rule")
-        .otherwise("text")
-    )
-    lines = lines.withColumn("kind", kind)
-    # The overview starts after the tagline and ends at the first section that follows some text of it.
-    lines = lines.withColumn("first_text", F.min(F.when((F.col("kind") == "text") & (n > F.col("tagline_n")), n)).over(doc))
-    lines = lines.withColumn("overview_end", F.min(F.when((F.col("kind") == "section") & (n > F.col("first_text")), n)).over(doc))
-    over = (n > F.col("tagline_n")) & (n < F.coalesce("overview_end", F.lit(1 << 30)))
-    part = F.when(F.col("kind") != "text", F.col("kind")).when(over, "overview").when((F.col("section") > 0) & ~F.col("in_links"), "prose").otherwise("lost")
-    return lines.select(id_col, "n", "line", "s", part.alias("kind"), "section")
+    lines = content.split("\n")
+    trimmed = [x.strip(" ") for x in lines]
+    never = len(lines)
+    title = next((n for n, s in enumerate(trimmed) if s.startswith("# ")), never)
+    tagline = next((n for n in range(title + 1, never) if trimmed[n].startswith("> ")), never)
+    last = max((n for n, x in enumerate(lines) if "## " in x), default=-1)
+    footer = next((n for n in range(max(last, 0), never) if trimmed[n].startswith("---")), never)
+    found, section, listing, first_text, overview_end = [], 0, False, never, never
+    for n, (line, s) in enumerate(zip(lines, trimmed, strict=True)):
+        head, links = s.startswith("## "), s.lower() == "### links"
+        section, listing = section + head, links or listing and not head
+        if n > footer:
+            kind = "footer"
+        elif n == footer:
+            kind = "rule"
+        elif not s and n < title:
+            kind = "skip"
+        elif n == title:
+            kind = "title"
+        elif n == tagline:
+            kind = "tagline"
+        elif head:
+            kind = "section"
+        elif links:
+            kind = "links"
+        elif listing and section and s.startswith("- "):
+            kind = "link" if _LINK.search(s) else "swallowed"
+        else:
+            kind = "rule" if s.startswith("---") else "text"
+        # The overview starts after the tagline and ends at the first section that follows some text of it.
+        if kind == "text" and n > tagline:
+            first_text = min(first_text, n)
+        if kind == "section" and n > first_text:
+            overview_end = min(overview_end, n)
+        if kind == "text":
+            kind = "overview" if tagline < n < overview_end else "prose" if section and not listing else "lost"
+        found.append((n, line, s, kind, section))
+    return found
+
+
+@F.pandas_udf(T.ArrayType(LINE))
+def lines_of(content: pd.Series) -> pd.Series:
+    """:func:`read_lines` of each document; null for null."""
+    return pd.Series([None if x is None else read_lines(x) for x in content], dtype=object)
+
+
+@F.udtf(returnType=LINE, useArrow=True)
+class DigestLines:
+    """``SELECT ... FROM docs, LATERAL digest_lines(content)``: a row a line."""
+
+    def eval(self, content: str) -> Iterator[tuple]:
+        if content is not None:
+            yield from read_lines(content)
+
+
+def parse_lines(docs: DataFrame, id_col: str = "site", content: str = "content") -> DataFrame:
+    """``(id, n, line, s, kind, section)`` of every line of every document; nothing is sorted or shuffled for it."""
+    return docs.select(id_col, F.inline(lines_of(content)))
 
 
 def _lines_of(kind: str) -> Column:

@@ -331,6 +331,21 @@ def prompt_previews(spark, d):
     return heads.select("page_id", curate.page_entry(F.lit(1), "url", "title", "none", "text", "heads").alias("entry"))
 
 
+_HEADED = "list_filter(string_split(title, ' '), lambda x: x <> '')"
+
+
+@query("prompt_headings", f"""WITH {_TEXTS}, h AS (SELECT page_id, url, title, {_HEADED} AS heads FROM tx)
+    SELECT page_id, coalesce(heads[1], '') AS h1, '1. URL: ' || url || chr(10) || '   Title: ' || CASE WHEN title = '' THEN 'Untitled' ELSE title END || chr(10)
+      || CASE WHEN len(heads) > 0 THEN '   Sections: ' || array_to_string(heads[1:5], ', ') || chr(10) ELSE '   Content: [EMPTY PAGE - NO CONTENT]' || chr(10) END AS entry FROM h""")
+def prompt_headings(spark, d):
+    """Entries of pages whose first five second-level headings stand for their content; each page gets its title's words as headings, with markup inside."""
+    p = pages(spark, d).withColumn("title", facts("html")["title"])
+    words = F.transform(F.filter(F.split("title", " "), lambda x: x != ""), lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")))
+    made = F.concat(F.lit("<body><h1> "), F.coalesce(F.get(words, F.lit(0)), F.lit("")), F.lit("\n</h1>"), F.array_join(F.transform(words, lambda x: F.concat(F.lit("<h2 class=a>\t<b>"), x, F.lit("</b><script>x</script> </h2><h3>no</h3>"))), ""), F.lit("<h2> </h2></body>"))
+    read = p.select("page_id", "url", "title", F.lit("").alias("none"), facts(made).alias("page")).select("page_id", "url", "title", "none", "page.h1", "page.h2s")
+    return read.select("page_id", "h1", curate.page_entry(F.lit(1), "url", "title", "none", "none", "h2s").alias("entry"))
+
+
 @query("prompt_changes", f"""WITH {SNAPSHOTS}, {_PAIRS}, c AS (SELECT p.site, a.url, old, new, row_number() OVER (PARTITION BY p.site ORDER BY p.page_id) - 1 AS n FROM p JOIN a ON p.page_id = a.page_id WHERE old <> new)
     SELECT site, n // 10 AS batch, string_agg((n % 10 + 1) || '. URL: ' || url || chr(10) || '   PREVIOUS CONTENT:' || chr(10) || CASE WHEN old = '' THEN '(no previous content)' WHEN length(old) > 800 THEN trim(substring(old, 1, 800)) || '...' ELSE trim(old) END
       || chr(10) || chr(10) || '   NEW CONTENT:' || chr(10) || CASE WHEN new = '' THEN '(no new content)' WHEN length(new) > 800 THEN trim(substring(new, 1, 800)) || '...' ELSE trim(new) END || chr(10), chr(10) || '---' || chr(10) ORDER BY n) AS prompt FROM c GROUP BY ALL""")

@@ -64,6 +64,14 @@ def digest_parse_sections(spark, d):
     return digest.parsed_sections(digest.parse_lines(_digests(spark, d)))
 
 
+@query("digest_lines_sql", f"WITH {_BASE} SELECT site, count(*) FILTER (t LIKE '## %') AS n_sections, count(*) AS n_lines FROM (SELECT site, unnest(string_split(content, chr(10))) AS t FROM dg) GROUP BY site")
+def digest_lines_sql(spark, d):
+    """The parser as a table function of SQL."""
+    spark.udtf.register("digest_lines", digest.DigestLines)
+    _digests(spark, d).createOrReplaceTempView("_digests_to_parse")
+    return spark.sql("SELECT site, count_if(kind = 'section') AS n_sections, count(*) AS n_lines FROM _digests_to_parse, LATERAL digest_lines(content) GROUP BY site")
+
+
 @query("digest_parse_overview", f"WITH {_BASE} SELECT site, site AS title, 'Pages of ' || site AS tagline, 'All pages.' AS overview FROM dg")
 def digest_parse_overview(spark, d):
     return digest.parsed_overviews(digest.parse_lines(_digests(spark, d)))

@@ -4,6 +4,7 @@ import difflib
 import hashlib
 import html as html_lib
 import random
+import re
 from urllib.parse import urljoin
 
 from hypothesis import given, settings
@@ -329,3 +330,39 @@ def test_progress_expires_in_a_stream(spark, tmp_path):
     found = state.drained(state.expiring_progress_stream(state.event_stream(spark, str(tmp_path / "in"), spark.createDataFrame([], schema).schema)), "expiring").collect()
     assert sorted((r.site, r.id) for r in found if r.kind == "expired") == [(1, 3), (2, 2)]
     assert (3, 5) in {(r.site, r.id) for r in found if r.kind == "set"}
+
+
+def test_parser_in_one_pass_equals_its_definition(spark):
+    """Random documents line by line: the fold against what each kind is defined as, over the whole document."""
+    rng = random.Random(12)
+    some = ["# T", "## S", "### Links", "### LINKS ", " ## in", "> q", "---", "--- x", "- [a](b)", "- [a](b): c", "- x", "", "  ", "text", "x ## y", "- [a]b](c)", "\u3000"]
+    docs = ["\n".join(rng.choices(some, k=rng.randrange(1, 25))) for _ in range(400)] + ["", "\n"]
+    for doc in docs:
+        lines = doc.split("\n")
+        s = [x.strip(" ") for x in lines]
+        at = range(len(lines))
+        first = lambda ok: next((n for n in at if ok(n)), None)
+        title = first(lambda n: s[n].startswith("# "))
+        tagline = first(lambda n: title is not None and n > title and s[n].startswith("> "))
+        heads = [n for n in at if "## " in lines[n]]
+        footer = first(lambda n: s[n].startswith("---") and n >= max(heads, default=-1))
+        for n, line, t, kind, section in digest.read_lines(doc):
+            assert (line, t, section) == (lines[n], s[n], sum(x.startswith("## ") for x in s[: n + 1]))
+            assert (kind == "footer") == (footer is not None and n > footer) and (kind == "title") == (n == title and kind != "footer")
+            if kind == "tagline":
+                assert n == tagline
+            if kind == "link":
+                assert section and any(x.lower() == "### links" for x in s[:n]) and re.search(r"^-\s*\[([^\]]+)\]\(([^)]+)\)(?::\s*(.*))?$", t)
+            if kind == "overview":
+                assert tagline is not None and n > tagline
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)] + [(None, None)], "site long, content string")
+    spark.udtf.register("digest_lines", digest.DigestLines)
+    df.createOrReplaceTempView("some_docs")
+    by_sql = spark.sql("SELECT site, n, line, s, kind, section FROM some_docs, LATERAL digest_lines(content)")
+    assert sorted(map(tuple, by_sql.collect())) == sorted(map(tuple, digest.parse_lines(df).collect())) == sorted((i, *x) for i, d in enumerate(docs) for x in digest.read_lines(d))
+
+
+def test_headings():
+    page = "<body><h1> </h1><h1>One <b>and</b>\n two</h1><h2>a</h2><div><h2><script>x</script>b &amp; c</h2></div><h2></h2><h3>no</h3></body>"
+    found = dict(zip(dom.FACTS.names, dom.page_facts(page), strict=True))
+    assert found["h1"] == "One and two" and found["h2s"] == ["a", "b & c"]
