@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import timefmt
 from siteloom.operators import schedule, versions
-from siteloom.plans.base import HOST, query, table
+from siteloom.plans.base import HOST, ORACLES, query, table
 from siteloom.sources import sitemap
+from siteloom.sources.site_crawl import save_pages
 from siteloom.storage import new_path
 from siteloom.streaming import scheduler, state
 
@@ -279,6 +280,15 @@ def sitemap_lastmod(spark, d):
     return sitemap.urls(_sitemaps(spark, d), _roots(spark)).select("loc", F.unix_micros("lastmod").alias("lastmod"))
 
 
+@query("sitemap_split", ORACLES["sitemap_lastmod"])
+def sitemap_split(spark, d):
+    """The same sitemaps as files, which are cut at their entries; their names hold their addresses."""
+    folder = new_path(spark, "sitemaps")
+    save_pages(_sitemaps(spark, d).select(F.col("address").alias("url"), F.col("xml").alias("html")), folder)
+    listed = sitemap.read_split(spark, folder).withColumn("address", sitemap.saved_address())
+    return sitemap.reached(listed, _roots(spark)).select("loc", F.unix_micros("lastmod").alias("lastmod"))
+
+
 def _stream(spark, d):
     schema = table(spark, d, "events").schema
     found = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions.timefmt import lastmod
@@ -26,12 +26,17 @@ def entries(documents: DataFrame, xml: str = "xml") -> DataFrame:
 
 
 def urls(documents: DataFrame, roots: DataFrame) -> DataFrame:
-    """``(root, loc, lastmod)`` reached from ``roots (root)`` over documents ``(address, xml)``.
+    """``(root, loc, lastmod)`` reached from ``roots (root)`` over documents ``(address, xml)``, see :func:`reached`."""
+    return reached(entries(documents), roots)
+
+
+def reached(listed: DataFrame, roots: DataFrame) -> DataFrame:
+    """``(root, loc, lastmod)`` reached from ``roots (root)`` over entries ``(address, kind, ord, loc, lastmod)``.
 
     Index files are followed level by level, however deep; each is read once a root, so
     cycles end. Of repeated locations the last one's date counts.
     """
-    links = cut(entries(documents))
+    links = cut(listed)
     seen = level = roots.select("root", F.col("root").alias("address"))
     while True:
         level = level.join(links.where("kind = 'sitemap'"), "address").select("root", F.col("loc").alias("address")).distinct()
@@ -44,6 +49,29 @@ def urls(documents: DataFrame, roots: DataFrame) -> DataFrame:
     return found.withColumn("_n", last).where("_n = 1").select("root", "loc", lastmod("lastmod").alias("lastmod"))
 
 
+def read_split(spark: SparkSession, path: str) -> DataFrame:
+    """``(address, kind, ord, loc, lastmod)`` of the entries of sitemap files, plain or compressed.
+
+    A plain file is cut at the ends of its entries, so several tasks read one large file and
+    none holds a document; a compressed one is read by one task as it unpacks. ``ord`` sorts
+    as the entries stand in their file. Entries in comments count, prefixed elements do not:
+    for such files there is :func:`read`.
+    """
+    parts = []
+    for tag in ("url", "sitemap"):
+        pieces = spark.read.option("lineSep", f"</{tag}>").text(path)
+        order = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+        found = pieces.select(F.col("_metadata.file_path").alias("address"), order.alias("ord"), F.regexp_extract("value", rf"(?s)<{tag}[\s>].*$", 0).alias("x")).where("x <> ''")
+        read = found.withColumn("e", F.from_xml(F.concat("x", F.lit(f"</{tag}>")), _ENTRY, {"mode": "PERMISSIVE"}))
+        parts.append(read.select("address", F.lit(tag).alias("kind"), "ord", F.trim("e.loc").alias("loc"), F.trim("e.lastmod").alias("lastmod")))
+    return parts[0].union(parts[1]).where("loc IS NOT NULL AND loc <> ''")
+
+
+def saved_address(file: str = "address") -> Column:
+    """Of a file that ``site_crawl.save_pages`` has named: the address in its name."""
+    return F.url_decode(F.url_decode(F.regexp_extract(file, "[^/]+$", 0)))
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """``(address, xml)`` of sitemap files, one document a file."""
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("address"), F.col("value").alias("xml"))

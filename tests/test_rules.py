@@ -366,3 +366,29 @@ def test_headings():
     page = "<body><h1> </h1><h1>One <b>and</b>\n two</h1><h2>a</h2><div><h2><script>x</script>b &amp; c</h2></div><h2></h2><h3>no</h3></body>"
     found = dict(zip(dom.FACTS.names, dom.page_facts(page), strict=True))
     assert found["h1"] == "One and two" and found["h2s"] == ["a", "b & c"]
+
+
+def test_large_sitemaps_are_read_by_several_tasks(spark, tmp_path):
+    import gzip
+
+    entry = lambda i: f"<url>\n  <loc> http://h/{i % 30_000}?a&amp;b={i} </loc><lastmod>2024-01-{i % 28 + 1:02d}</lastmod>{'<priority>1</priority>' * (i % 3)}</url>\n"
+    body = "".join(entry(i) for i in range(40_000))
+    text_ = f'<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">{body}<url><lastmod>2024</lastmod></url></urlset>'
+    (tmp_path / "big.xml").write_text(text_)
+    (tmp_path / "packed.xml.gz").write_bytes(gzip.compress(text_[:9000].rsplit("<url>", 1)[0].encode() + b"</urlset>"))
+    (tmp_path / "index.xml").write_text("<sitemapindex><sitemap><loc>a</loc></sitemap>\n<sitemap ><loc>b</loc></sitemap></sitemapindex>")
+    (tmp_path / "odd.xml").write_text("no XML </url> <url><loc>broken</url>")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(512 << 10))
+    try:
+        found = sitemap.read_split(spark, str(tmp_path)).withColumn("name", F.regexp_extract("address", "[^/]+$", 0)).withColumn("block", F.col("ord.block"))
+        rows = found.orderBy("name", "kind", "ord").collect()
+    finally:
+        spark.conf.set(key, before)
+    of = lambda name: [(r.kind, r.loc, r.lastmod) for r in rows if r.name == name]
+    want = sitemap.entries(spark.createDataFrame([("x", text_)], "address string, xml string")).orderBy("ord").collect()
+    assert of("big.xml") == [(r.kind, r.loc, r.lastmod) for r in want] and len(want) == 40_000
+    assert len({r.block for r in rows if r.name == "big.xml"}) > 4
+    assert of("packed.xml.gz") == of("big.xml")[: len(of("packed.xml.gz"))] and len(of("packed.xml.gz")) > 50
+    assert of("index.xml") == [("sitemap", "a", None), ("sitemap", "b", None)] and of("odd.xml") == []
