@@ -10,7 +10,7 @@ SKIP_CRAWL = ("/wp-admin", "/wp-content", "/wp-includes", "/cdn-cgi/", "/api/",
 SKIP_DISCOVERY = (*SKIP_CRAWL, ".ico", ".woff", ".woff2")
 
 #: Fixed value: what a domain name looks like.
-_DOMAIN = r"^([a-zA-Z0-9]([a-zA-Z0-9\-]*[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}$"
+DOMAIN = r"^([a-zA-Z0-9]([a-zA-Z0-9\-]*[a-zA-Z0-9])?\.)+[a-zA-Z]{2,}$"
 
 _ORIGIN = r"^(https?://[^/?#]+)"
 _PATH = r"^https?://[^/?#]+([^?#;]*)"
@@ -63,7 +63,7 @@ def format_error(url: str | Column) -> Column:
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
     netloc = F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
     domain = F.regexp_replace(F.lower(netloc), ":.*$", "")
-    valid = domain.rlike(_DOMAIN) | (domain == "localhost")
+    valid = domain.rlike(DOMAIN) | (domain == "localhost")
     return (
         F.when(~scheme.isin("http", "https"), "URL must use http:// or https://")
         .when(netloc == "", "URL must include a domain name")
