@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions.dom import unescaped
 from siteloom.functions.url import _c
 
+#: Fixed values, here and in the functions below: patterns of a title, of a checked one, and of a menu and its targets.
 TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 

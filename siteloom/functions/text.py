@@ -12,8 +12,8 @@ LINK = r"^-\s*\[([^\]]+)\]\(([^)]+)\)(?::\s*(.*))?$"
 
 
 def normal(text: str | Column) -> Column:
-    """White space to single spaces, trimmed, lower case."""
-    return F.lower(F.trim(F.regexp_replace(_c(text), r"\s+", " ")))
+    """White space of any script to single spaces, trimmed, lower case."""
+    return F.lower(F.trim(F.regexp_replace(_c(text), r"(?U)\s+", " ")))
 
 
 def content_hash(text: str | Column) -> Column:
@@ -60,8 +60,11 @@ def line_kind(line: str | Column) -> Column:
 
 def bold_parts(text: str | Column) -> Column:
     """A line as an array of ``(bold, text)``, split at ``**x**``, empty parts left out."""
-    mark = F.lit("\u0001")
-    parts = F.split(F.regexp_replace(_c(text), r"\*\*[^*]+\*\*", F.concat(mark, F.lit("$0"), mark)), "\u0001")
+    # A mark that no text holds: those it does hold are written with another one before the split.
+    mark, other = F.lit("\u0001"), F.lit("\u0002")
+    free = F.replace(F.replace(_c(text), other, F.lit("\u0002b")), mark, F.lit("\u0002a"))
+    split = F.split(F.regexp_replace(free, r"\*\*[^*]+\*\*", F.concat(mark, F.lit("$0"), mark)), "\u0001")
+    parts = F.transform(split, lambda p: F.replace(F.replace(p, F.lit("\u0002a"), mark), F.lit("\u0002b"), other))
     bold = lambda p: p.startswith("**") & p.endswith("**")
     shown = lambda p: F.when(bold(p), F.substring(p, F.lit(3), F.greatest(F.length(p) - 4, F.lit(0)))).otherwise(p)
     return F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.struct(bold(p).alias("bold"), shown(p).alias("text")))

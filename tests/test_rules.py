@@ -392,3 +392,12 @@ def test_large_sitemaps_are_read_by_several_tasks(spark, tmp_path):
     assert len({r.block for r in rows if r.name == "big.xml"}) > 4
     assert of("packed.xml.gz") == of("big.xml")[: len(of("packed.xml.gz"))] and len(of("packed.xml.gz")) > 50
     assert of("index.xml") == [("sitemap", "a", None), ("sitemap", "b", None)] and of("odd.xml") == []
+
+
+def test_marks_inside_bold_lines_and_odd_spaces(spark):
+    from siteloom.functions.text import bold_parts, normal
+
+    lines = ["a\u0001b**c\u0001d**\u0002\u0002a**e**", "**x**", "plain", "", "\u0002b**\u0002**"]
+    got = [[(p.bold, p.text) for p in r.p] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(bold_parts("t").alias("p")).collect()]
+    assert got == [[(False, "a\u0001b"), (True, "c\u0001d"), (False, "\u0002\u0002a"), (True, "e")], [(True, "x")], [(False, "plain")], [], [(False, "\u0002b"), (True, "\u0002")]]
+    assert one(spark, normal(F.lit("A\u3000\u00a0 b\n"))) == ("a b",)
