@@ -163,7 +163,7 @@ def curate_sites(pages: DataFrame, provider: Provider = rule_curation, merger: P
         described = new.groupBy("site", "section").agg(F.sum("n").alias("n"), F.max_by("description", F.struct("n", "description")).alias("description"))
         current = cut(described.withColumnRenamed("section", "name"))
         left = current.groupBy("site").agg(F.count("*").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
-        idle = idle + 1 if left.n >= before else 0
+        idle = idle + 1 if (left.n or 0) >= before else 0
         if not left.n or left.most <= names or idle == 2:
             break
 
