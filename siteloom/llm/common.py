@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import threading
+import time
 import uuid
 from collections.abc import Callable
 
@@ -85,6 +87,28 @@ def forget() -> None:
     pa.default_memory_pool().release_unused()
 
 
+#: Seconds without use after which a Python worker gives back its caches; stages without Python need the memory.
+IDLE_S = 8.0
+_used = {"at": 0.0}
+
+
+def in_use() -> None:
+    """Called by what fills a cache: the worker keeps it while calls come."""
+    if not _used["at"]:
+        threading.Thread(target=_give_back, daemon=True).start()
+    _used["at"] = time.monotonic()
+
+
+def _give_back() -> None:
+    while True:
+        time.sleep(IDLE_S / 4)
+        if _used["at"] and time.monotonic() - _used["at"] > IDLE_S:
+            forget()
+            gc.collect()
+            _used["at"] = 0.0
+            return
+
+
 def release(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table of :func:`materialize` that nothing reads any more."""
     for name in df.inputFiles()[:1]:

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from siteloom.llm.common import CACHES
+from siteloom.llm.common import CACHES, in_use
 
 #: Words that one worker keeps; past it the cache starts anew.
 CACHED = 800_000
@@ -104,6 +104,7 @@ class Encoder:
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        in_use()
         out: list[np.ndarray | None] = [None] * len(texts)
         group: list[int] = []
         size = 0
