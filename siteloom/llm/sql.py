@@ -78,7 +78,7 @@ _RULE = "CASE " + " ".join(f"WHEN {_FITS.format(h, p)} THEN '{h}{p}'" for h, p i
 
 OP10 = f"""
 WITH p AS (SELECT page_id, url, {_HOST} AS host, {_PATH} AS path FROM pages), r AS (SELECT *, {_RULE} AS rule FROM p)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host || path IN (SELECT host || path FROM p WHERE contains(url, '?utm_source=')) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN host || path IN (SELECT host || path FROM p WHERE regexp_matches(url, '^[^?#]*\\?([^#]*&)?utm_source=')) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
 
 OP11 = """
 WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
