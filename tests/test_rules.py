@@ -131,6 +131,15 @@ def test_checked_title_decodes_after_the_cut(spark):
     assert one(spark, html.checked_title(F.lit("<title><b>x</b></title>")))[0] is None
 
 
+def test_references_need_their_semicolon(spark):
+    """A title that is cut inside a reference keeps what is there; whole references are decoded once."""
+    cut, whole = "a &amp;&amp; b&amp", "&amp;lt; &copy;&middot;&quot;&#39;&#x41; &notit; &am &quot &copy=2"
+    page = f"<title>{cut}</title><body><p title='&copy=2'>{whole}</p></body>"
+    got = spark.createDataFrame([(page,)], "html string").select(dom.facts("html")["title"].alias("t"), dom.facts("html")["text"].alias("x"), html.checked_title("html").alias("c")).first()
+    assert (got.t, got.c, got.x) == ("a && b&amp", "a && b&amp", "&lt; ©·\"'A &notit; &am &quot &copy=2")
+    assert dom.attributes("href='/x?a=1&copy=2&amp;b'") == {"href": "/x?a=1&copy=2&b"}
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.text("abcé\U0001f600", min_size=1, max_size=30), st.text("abcé\U0001f600", min_size=1, max_size=30)), min_size=1, max_size=8))
 def test_diff_matches_difflib(spark, pairs):
