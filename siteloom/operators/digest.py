@@ -28,12 +28,14 @@ def link_line(title: str, url: str, description: str) -> Column:
 def section_blocks(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """``(site, ord, name, block)`` of sections ``(site, ord, name, prose)`` with the links of their pages.
 
-    Pages ``(site, section, title, url, description)`` go by URL; homepages have no link;
+    Pages ``(site, section, title, url, description)`` go by URL, those of one URL by ``ord``
+    if there is such a column, else by what their lines say; homepages have no link;
     a section without pages stays, a page without section does not show.
     """
     shown = pages.where(site_key("url") != F.col("site"))
+    order = ["url", "ord"] if "ord" in pages.columns else ["url"]
     lines = shown.groupBy("site", F.col("section").alias("name")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("url", link_line("title", "url", "description").alias("line")))), lambda x: x["line"]), "\n").alias("links")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, link_line("title", "url", "description").alias("line")))), lambda x: x["line"]), "\n").alias("links")
     )
     joined = sections.join(lines, ["site", "name"], "left")
     some = lambda c, head: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit(head), F.col(c), F.lit("\n\n"))).otherwise("")

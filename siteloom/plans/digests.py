@@ -23,7 +23,7 @@ _BASE = f"""sp AS (SELECT page_id, {HOST} AS site, url, {sql_title('html')} AS t
 
 
 def _parts(spark, d):
-    rows = sectioned(spark, d).withColumn("description", F.concat(F.lit("Page "), F.col("page_id").cast("string")))
+    rows = sectioned(spark, d).withColumn("description", F.concat(F.lit("Page "), F.col("page_id").cast("string"))).withColumn("ord", F.col("page_id"))
     prose = F.concat(F.lit("About "), F.col("name"), F.lit(" on "), F.col("site"), F.lit(".\nSecond line."))
     sections = rows.groupBy("site", F.col("section").alias("name")).agg(F.min("page_id").alias("ord")).withColumn("prose", prose)
     heads = rows.select("site").distinct().select("site", F.col("site").alias("title"), F.concat(F.lit("Pages of "), "site").alias("tagline"), F.lit("All pages.").alias("overview"))
@@ -101,7 +101,7 @@ def digest_roundtrip(spark, d):
     first = digest.assemble(heads, sections, safe)
     lines = digest.parse_lines(first)
     parsed = digest.parsed_sections(lines)
-    linked = digest.parsed_links(lines).join(parsed.select("site", "section", F.col("name")), ["site", "section"]).select("site", F.col("name").alias("section"), "title", "url", "description")
+    linked = digest.parsed_links(lines).join(parsed.select("site", "section", F.col("name")), ["site", "section"]).select("site", F.col("name").alias("section"), "title", "url", "description", F.col("n").alias("ord"))
     second = digest.assemble(digest.parsed_overviews(lines), parsed.select("site", F.col("section").alias("ord"), "name", "prose"), linked)
     return first.join(second.withColumnRenamed("content", "again"), "site").select("site", (F.col("content") == F.col("again")).alias("same"))
 

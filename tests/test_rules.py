@@ -410,3 +410,12 @@ def test_marks_inside_bold_lines_and_odd_spaces(spark):
     got = [[(p.bold, p.text) for p in r.p] for r in spark.createDataFrame([(x,) for x in lines], "t string").select(bold_parts("t").alias("p")).collect()]
     assert got == [[(False, "a\u0001b"), (True, "c\u0001d"), (False, "\u0002\u0002a"), (True, "e")], [(True, "x")], [(False, "plain")], [], [(False, "\u0002b"), (True, "\u0002")]]
     assert one(spark, normal(F.lit("A\u3000\u00a0 b\n"))) == ("a b",)
+
+
+def test_links_of_one_address_go_by_their_number(spark):
+    """Pages 9 and 10 share an address: by number, not by what their lines say; without a number by the lines."""
+    heads = spark.createDataFrame([("s", "s", "", "")], "site string, title string, tagline string, overview string")
+    sections = spark.createDataFrame([("s", 1, "A", "")], "site string, ord long, name string, prose string")
+    rows = spark.createDataFrame([("s", "A", "t", "http://s/x", f"Page {n}", n) for n in (10, 9)], "site string, section string, title string, url string, description string, ord long")
+    places = lambda df: [x[-2:] for x in digest.assemble(heads, sections, df).first().content.split("\n") if x.startswith("- ")]
+    assert places(rows) == [" 9", "10"] and places(rows.drop("ord")) == ["10", " 9"]
