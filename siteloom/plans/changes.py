@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.functions.dom import facts
+from siteloom.functions.dom import facts, title_of
 from siteloom.functions.text import content_hash, unfenced
 from siteloom.functions.url import host, inventory_key
 from siteloom.operators import change, curate, digest, versions
@@ -225,7 +225,7 @@ def sectioned(spark, d):
     """Pages with a section by language: three standard ones and one of the site's own."""
     seg = section_of("url")
     name = F.when(seg == "en", "Resources").when(seg == "es", "Solutions").when(seg == "de", "Guides").when(seg == "fr", "Company").otherwise("Other")
-    return pages(spark, d).select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site"), "url", facts("html")["title"].alias("title"), name.alias("section"), seg.alias("category"))
+    return pages(spark, d).select("page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("site"), "url", title_of("html").alias("title"), name.alias("section"), seg.alias("category"))
 
 
 @query("section_hash", f"WITH {_SORTED}, h AS (SELECT sp.*, sha256(html) AS hash FROM sp JOIN pages USING (page_id)) SELECT site, section, sha256(string_agg(hash, '|' ORDER BY h.url, hash)) AS hash FROM h GROUP BY ALL")

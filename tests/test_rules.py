@@ -419,3 +419,16 @@ def test_links_of_one_address_go_by_their_number(spark):
     rows = spark.createDataFrame([("s", "A", "t", "http://s/x", f"Page {n}", n) for n in (10, 9)], "site string, section string, title string, url string, description string, ord long")
     places = lambda df: [x[-2:] for x in digest.assemble(heads, sections, df).first().content.split("\n") if x.startswith("- ")]
     assert places(rows) == [" 9", "10"] and places(rows.drop("ord")) == ["10", " 9"]
+
+
+def test_pages_are_read_a_few_at_a_time():
+    """Facts of a batch equal those of each page for itself, whatever the batch; only a few pages are strings at once."""
+    import pyarrow as pa
+
+    read = []
+    half = dom._each(lambda x: read.append(x) or x[:1], dom.T.StringType()).func
+    pages = [None, *(f"{n % 70}" for n in range(300)), None]
+    assert half(pa.array(pages)).to_pylist() == [x and x[:1] for x in pages] and len(read) > 70
+    assert half(pa.array([], pa.string())).to_pylist() == []
+    got = dom.facts.func(pa.array([None, "<title>a</title>"])).to_pylist()
+    assert got[0] is None and got[1]["title"] == "a" and dom.title_of.func(pa.array(["<title>a &amp; b</title>"])).to_pylist() == ["a & b"]
