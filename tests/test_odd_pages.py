@@ -29,6 +29,6 @@ def same_as_sql(spark, folder, name):
     return bool(mine) and mine == theirs
 
 
-@pytest.mark.parametrize("name", ["page_main_text", "page_fingerprint", "page_fingerprint_exact", "page_content_hash"])
+@pytest.mark.parametrize("name", ["page_main_text", "page_fingerprint", "page_fingerprint_exact", "page_content_hash", "digest_parse_links"])
 def test_cut_and_missing_pages(spark, tmp_path, name):
     assert same_as_sql(spark, odd_pages(tmp_path, [*CUT, "", None]), name)
