@@ -32,3 +32,21 @@ def same_as_sql(spark, folder, name):
 @pytest.mark.parametrize("name", ["page_main_text", "page_fingerprint", "page_fingerprint_exact", "page_content_hash", "digest_parse_links"])
 def test_cut_and_missing_pages(spark, tmp_path, name):
     assert same_as_sql(spark, odd_pages(tmp_path, [*CUT, "", None]), name)
+
+
+def test_a_title_is_read_no_further_than_it_needs(monkeypatch):
+    """What follows a whole title is left unread, and the title is that of the whole page."""
+    import random
+
+    from siteloom.functions import dom
+
+    whole = lambda h: dom.title(list(dom.tree(h).walk()))
+    early = lambda h: dom.title_of.func(dom.pa.array([h]))[0].as_py()
+    parts = ["<title>", "</title>", "<title/>", "<TITLE x='</title>'>", "a", " b ", "&amp;", "<b>", "</b>", "<svg>", "</svg>", "<!--", "-->", "<script>", "</script>", '<a t="', '">', "'", ">", "</head>", "<p"]
+    r = random.Random(1)
+    pages = ["".join(r.choice(parts) for _ in range(r.randint(1, 16))) for _ in range(3000)]
+    assert [early(h) for h in pages] == [whole(h) for h in pages] and len({whole(h) for h in pages}) > 20
+
+    read, attributes = [], dom.attributes
+    monkeypatch.setattr(dom, "attributes", lambda rest: read.append(rest) or attributes(rest))
+    assert early("<head><title></title><title x=1>a</title></head>" + "<p id=x>b</p>" * 100) == "a" and len(read) == 3
