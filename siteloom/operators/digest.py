@@ -66,12 +66,26 @@ LINE = T.StructType([T.StructField("n", T.IntegerType()), *(T.StructField(x, T.S
 _LINK = re.compile(LINK.replace(r"(.*)", "([^\n\r\x85\u2028\u2029]*)").replace("$", "(?=[\r\x85\u2028\u2029]?\\Z)"), re.ASCII)
 
 
+def _whole_link(lines: list[str], trimmed: list[str], n: int) -> tuple[str, int]:
+    """The link that starts in line ``n``, as one text, and its last line: its title may hold ends of line."""
+    end = n
+    if "]" not in trimmed[n] and trimmed[n][1:].lstrip().startswith("["):
+        for end in range(n + 1, len(lines)):
+            if trimmed[end].startswith(("- ", "## ", "### ", "---")):
+                return trimmed[n], n
+            if "]" in lines[end]:
+                break
+    s = "\n".join(lines[n : end + 1]).strip(" ")
+    return (s, end) if _LINK.search(s) else (trimmed[n], n)
+
+
 def read_lines(content: str) -> list[tuple[int, str, str, str, int]]:
     """Number, line, trimmed line, kind and section of every line of a document, in one pass and a look back.
 
     The parser's state: a title, a tagline after it, sections, link lists inside them,
     rules, the footer after the last rule that no heading follows, and text, which belongs
-    to the overview or to a section.
+    to the overview or to a section. A link whose title holds ends of line is trimmed as a
+    whole in its first line; the others have the kind ``more``.
     """
     lines = content.split("\n")
     trimmed = [x.strip(" ") for x in lines]
@@ -80,11 +94,13 @@ def read_lines(content: str) -> list[tuple[int, str, str, str, int]]:
     tagline = next((n for n in range(title + 1, never) if trimmed[n].startswith("> ")), never)
     last = max((n for n, x in enumerate(lines) if "## " in x), default=-1)
     footer = next((n for n in range(max(last, 0), never) if trimmed[n].startswith("---")), never)
-    found, section, listing, first_text, overview_end = [], 0, False, never, never
+    found, section, listing, first_text, overview_end, link_end = [], 0, False, never, never, -1
     for n, (line, s) in enumerate(zip(lines, trimmed, strict=True)):
         head, links = s.startswith("## "), s.lower() == "### links"
         section, listing = section + head, links or listing and not head
-        if n > footer:
+        if n <= link_end:
+            kind = "more"
+        elif n > footer:
             kind = "footer"
         elif n == footer:
             kind = "rule"
@@ -99,6 +115,7 @@ def read_lines(content: str) -> list[tuple[int, str, str, str, int]]:
         elif links:
             kind = "links"
         elif listing and section and s.startswith("- "):
+            s, link_end = _whole_link(lines, trimmed, n)
             kind = "link" if _LINK.search(s) else "swallowed"
         else:
             kind = "rule" if s.startswith("---") else "text"

@@ -50,3 +50,26 @@ def test_a_title_is_read_no_further_than_it_needs(monkeypatch):
     read, attributes = [], dom.attributes
     monkeypatch.setattr(dom, "attributes", lambda rest: read.append(rest) or attributes(rest))
     assert early("<head><title></title><title x=1>a</title></head>" + "<p id=x>b</p>" * 100) == "a" and len(read) == 3
+
+
+@pytest.mark.parametrize("name", ["digest_parse_links", "digest_parse_sections", "digest_merge", "page_title"])
+def test_links_of_odd_titles_and_addresses(spark, tmp_path, name):
+    """Markup and ends of line in a title, brackets in an address: no link is lost, none is made up."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    titles = ["a\nb", "a\r\n\n b", "x\n\n", "<b>x</b>", "a<b", "a <i", "1 > 0 <", "a](b", "a]\nb", "a\n[b", "[c\nd", "(t)", "t", "]"]
+    urls = ["a", "a(b)", "a)", "(a)/pricing", "a]", "a](b", "blog/f(x)(y)"]
+    rows = [(t.strip(), f"https://s{i % 2}.org/{u}") for i, t in enumerate(titles) for u in urls]
+    n = range(len(rows))
+    pq.write_table(pa.table({"page_id": list(n), "url": [u for _, u in rows], "html": [PAGE.format(t, "text") for t, _ in rows]}), f"{tmp_path}/pages.parquet")
+    assert same_as_sql(spark, tmp_path, name)
+
+
+def test_a_link_goes_on_up_to_its_bracket():
+    from siteloom.operators.digest import read_lines
+
+    doc = "# T\n\n## S\n\n### Links\n\n- [a\n\n b](u): d\n- [broken\n- [c](v)\n- [open\n---\n\n## R\n\n### Links\n\n- [x\n## y](z)"
+    links = [s for _, _, s, kind, _ in read_lines(doc) if kind == "link"]
+    assert links == ["- [a\n\n b](u): d", "- [c](v)"]
+    assert [kind for *_, kind, _ in read_lines(doc)][6:13] == ["link", "more", "more", "swallowed", "link", "swallowed", "rule"]
