@@ -73,3 +73,13 @@ def test_a_link_goes_on_up_to_its_bracket():
     links = [s for _, _, s, kind, _ in read_lines(doc) if kind == "link"]
     assert links == ["- [a\n\n b](u): d", "- [c](v)"]
     assert [kind for *_, kind, _ in read_lines(doc)][6:13] == ["link", "more", "more", "swallowed", "link", "swallowed", "rule"]
+
+
+@pytest.mark.parametrize("name", ["page_content_hash", "page_main_text"])
+def test_text_around_noise_and_blanks(spark, tmp_path, name):
+    """Noise parts no word and makes no box a content; only white space that HTML folds is folded."""
+    noise = ["<script>a</script>", "<style>p{}</style>", "<noscript>n</noscript>", "<svg><path/></svg>", "<iframe>i</iframe>", "<video>v<track></video>", "<embed src=a>", "<!-- c -->"]
+    bodies = [f"<p>x{n}y {n}z</p>" for n in noise] + [f"<main>{n}</main><article>x</article>" for n in ["", " ", "<br>", *noise]] + [f"<main>{n}</main><article>{n}</article>" for n in noise]
+    blanks = ["&nbsp;", "\xa0", "\u2003", "\u202f", "\u3000", "\u2028", "\x85", "\u200b", "\x0b", "\x1c", "\t", "\x0c", "\r\n", "&nbsp; &nbsp;"]
+    bodies += [f"<p>a{b}b</p>{b}<p>{b}c</p>{b}" for b in blanks] + [f"{b}a{b}" for b in blanks] + blanks
+    assert same_as_sql(spark, odd_pages(tmp_path, [f"<title>t</title><body>{b}</body>" for b in bodies]), name)
