@@ -64,6 +64,13 @@ def assemble_flat(overviews: DataFrame, pages: DataFrame) -> DataFrame:
 LINE = T.StructType([T.StructField("n", T.IntegerType()), *(T.StructField(x, T.StringType()) for x in ("line", "s", "kind")), T.StructField("section", T.LongType())])
 #: A link line as the plan's expressions see it: ASCII white space, and ends of line of any kind.
 _LINK = re.compile(LINK.replace(r"(.*)", "([^\n\r\x85\u2028\u2029]*)").replace("$", "(?=[\r\x85\u2028\u2029]?\\Z)"), re.ASCII)
+#: The rest of a title and the address after it, taken for an address: the title held a bracket.
+_NO_ADDRESS = re.compile(r"\]\(\w+://", re.ASCII)
+
+
+def _is_link(s: str) -> bool:
+    m = _LINK.search(s)
+    return m is not None and not _NO_ADDRESS.search(m[2])
 
 
 def _whole_link(lines: list[str], trimmed: list[str], n: int) -> tuple[str, int]:
@@ -76,7 +83,7 @@ def _whole_link(lines: list[str], trimmed: list[str], n: int) -> tuple[str, int]
             if "]" in lines[end]:
                 break
     s = "\n".join(lines[n : end + 1]).strip(" ")
-    return (s, end) if _LINK.search(s) else (trimmed[n], n)
+    return (s, end) if _is_link(s) else (trimmed[n], n)
 
 
 def read_lines(content: str) -> list[tuple[int, str, str, str, int]]:
@@ -116,7 +123,7 @@ def read_lines(content: str) -> list[tuple[int, str, str, str, int]]:
             kind = "links"
         elif listing and section and s.startswith("- "):
             s, link_end = _whole_link(lines, trimmed, n)
-            kind = "link" if _LINK.search(s) else "swallowed"
+            kind = "link" if _is_link(s) else "swallowed"
         else:
             kind = "rule" if s.startswith("---") else "text"
         # The overview starts after the tagline and ends at the first section that follows some text of it.

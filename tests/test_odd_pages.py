@@ -83,3 +83,11 @@ def test_text_around_noise_and_blanks(spark, tmp_path, name):
     blanks = ["&nbsp;", "\xa0", "\u2003", "\u202f", "\u3000", "\u2028", "\x85", "\u200b", "\x0b", "\x1c", "\t", "\x0c", "\r\n", "&nbsp; &nbsp;"]
     bodies += [f"<p>a{b}b</p>{b}<p>{b}c</p>{b}" for b in blanks] + [f"{b}a{b}" for b in blanks] + blanks
     assert same_as_sql(spark, odd_pages(tmp_path, [f"<title>t</title><body>{b}</body>" for b in bodies]), name)
+
+
+def test_a_long_address_of_brackets_is_read_whole(spark):
+    from siteloom.operators import digest
+
+    doc = "# T\n\n## S\n\n### Links\n\n- [t](http://x/" + "]" * 50_000 + "): d"
+    found = digest.parsed_links(digest.parse_lines(spark.createDataFrame([("a", doc)], "site string, content string"))).first()
+    assert (len(found.url), found.title, found.description) == (50_009, "t", "d")
